@@ -77,7 +77,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAGE: web pages as files of the projects named by their host."""
+    """PAGE: web pages as files of the project ``pages``."""
     scan = read(spark, sf_dir, "pages").select("page_id", "html")
     return files_from(spread_small(scan, "page_id"), F.lit("pages"), "page_id", "html")
 

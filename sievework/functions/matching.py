@@ -33,10 +33,10 @@ def matched_lines(
     text: str | Column,
     pattern: str,
     build: Callable[[Column, Column], Column],
-    empty: Column,
+    nothing: Column,
     group: int = 0,
 ) -> Column:
-    """``build(line, matched)`` for every match of ``pattern``; ``empty`` without any.
+    """``build(line, matched)`` for every match of ``pattern``; ``nothing`` without any.
 
     ``pattern`` must not match the empty string. The text is searched once to see
     whether it matches at all, so files without a match cost one pass.
@@ -49,4 +49,4 @@ def matched_lines(
         F.regexp_extract_all(safe, F.lit(java), F.lit(group)).alias("found"),
     )
     built = F.transform(pairs, lambda p: build(p["line"], p["found"]))
-    return F.when(text.rlike(java), built).otherwise(empty)
+    return F.when(text.rlike(java), built).otherwise(nothing)

@@ -144,8 +144,8 @@ def normalised_code(block: str | Column) -> Column:
         r"'(?:[^'\\\n]++|\\[^\n])*+'|" + r'"(?:[^"\\\n]++|\\[^\n])*+"|' + r"`(?:[^`\\\n]++|\\[^\n])*+`",
         "STR",
     )
-    text = F.regexp_replace(text, f"[{SPACE}]+", " ")
-    text = F.regexp_replace(text, r"\A +| +\z", "")
+    # Single spaces stay as they are, which spares most of the replacements.
+    text = F.trim(F.regexp_replace(text, f"[{SPACE}&&[^ ]][{SPACE}]*+| [{SPACE}]++", " "))
     return F.regexp_replace(
         text, rf"(?<![{WORD}])[a-zA-Z_][{WORD}]*+|(?<=[{WORD}])\$[{WORD}]++", "ID"
     )

@@ -228,9 +228,10 @@ def unpinned(deps: DataFrame, shown: int = 10) -> DataFrame:
 
 
 def advisory_table(spark, advisories: Sequence[tuple] = tuple(ADVISORIES)) -> DataFrame:
-    return spark.createDataFrame(
-        list(advisories), "ecosystem string, package string, version_prefix string, note string"
-    )
+    """The advisory list as a table that lives in the plan, with its size known."""
+    fields = ["ecosystem", "package", "version_prefix", "note"]
+    rows = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, row)]) for row in advisories]
+    return spark.sql("SELECT 1").select(F.inline(F.array(*rows)))
 
 
 def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import downgraded, entropy, is_comment, redact, snippet, strip
+from ..functions.text import SNIPPET_LENGTH, downgraded, entropy, is_comment, redact, strip
 from ..rules import (
     ERROR_RULES,
     INSECURE_RULES,
@@ -26,7 +26,7 @@ from ..rules import (
     Rule,
     java_pattern,
 )
-from ..schema import FINDING_COLUMNS, display_path, fact, no_facts
+from ..schema import FINDING_COLUMNS, display_path, empty
 
 HIT = "struct<severity:string,message:string>"
 MASK_BITS = 62
@@ -96,15 +96,23 @@ def secret_match(
     A rule whose quoted value fails the gate gives way to the next rule.
     """
     quoted = java_pattern(QUOTED_VALUE)
-    chain = None
-    for i, rule in enumerate(rules):
-        found = F.regexp_extract(text, rule.java, 0)
-        value = F.regexp_extract(found, quoted, 1)
-        passes = ~found.rlike(quoted) | ((F.length(value) >= min_length) & (entropy(value) >= min_entropy))
-        test = _enabled(mask, i) & text.rlike(rule.java) & passes
-        hit = _hit(rule.severity, rule.message)
-        chain = F.when(test, hit) if chain is None else chain.when(test, hit)
-    return _none() if chain is None else chain.otherwise(_none())
+    found = [
+        F.when(
+            _enabled(mask, i) & text.rlike(rule.java),
+            F.struct(
+                F.regexp_extract(text, rule.java, 0).alias("found"),
+                _hit(rule.severity, rule.message).alias("hit"),
+            ),
+        )
+        for i, rule in enumerate(rules)
+    ]
+
+    def passes(candidate: Column) -> Column:
+        value = F.regexp_extract(candidate["found"], quoted, 1)
+        random = (F.length(value) >= min_length) & (entropy(value) >= min_entropy)
+        return candidate.isNotNull() & (~candidate["found"].rlike(quoted) | random)
+
+    return F.get(F.filter(F.array(*found), passes), F.lit(0))["hit"]
 
 
 def prefix_pattern(prefix: str) -> str:
@@ -236,51 +244,77 @@ def worth_a_look(text: Column, groups: Sequence[LineGroup]) -> Column:
     return test
 
 
-def _group_facts(text: Column, line: Column, shown: Column, group: LineGroup) -> Column:
-    in_test = downgraded(shown, group.tokens)
-
-    def live(hit: Column) -> Column:
-        return hit.isNotNull() & ~is_comment(text, group.comments)
-
-    def build(hit: Column) -> Column:
-        severity, message = hit["severity"], hit["message"]
-        if group.downgrade:
-            severity = F.when(in_test, F.lit("info")).otherwise(severity)
-            if group.tag:
-                message = F.concat(message, F.when(in_test, F.lit(group.tag)).otherwise(F.lit("")))
-        return fact(
-            kind="finding",
-            check=group.check,
-            severity=severity,
-            line=line,
-            message=message,
-            snippet=redact(strip(text)) if group.whole_line else snippet(text),
-        )
+def line_hits(text: Column, groups: Sequence[LineGroup]) -> Column:
+    """What a line amounts to in every group: array<struct<g,hit>>, g = place of the group."""
+    parts = []
+    for i, group in enumerate(groups):
+        mask = F.col(mask_column(group))
+        hits = F.when(mask != 0, group.hits(text, mask)).otherwise(empty(HIT))
+        parts.append(F.transform(hits, _tagged(i)))
+    return F.filter(F.concat(*parts), lambda t: t["hit"].isNotNull())
 
-    mask = F.col(mask_column(group))
-    found = F.transform(F.filter(group.hits(text, mask), live), build)
-    return F.when(mask != 0, found).otherwise(no_facts())
 
+def _tagged(i: int) -> Callable[[Column], Column]:
+    return lambda hit: F.struct(F.lit(i).alias("g"), hit.alias("hit"))
 
-def line_facts(text: Column, line: Column, shown: Column, groups: Sequence[LineGroup]) -> Column:
-    """Finding facts of one line, from every group."""
-    return F.concat(*[_group_facts(text, line, shown, g) for g in groups])
+
+def _per_group(which: Column, groups: Sequence[LineGroup], value: Callable[[LineGroup], Column]) -> Column:
+    chain = None
+    for i, group in enumerate(groups):
+        chain = F.when(which == i, value(group)) if chain is None else chain.when(which == i, value(group))
+    return chain
+
+
+def not_comment(text: Column, which: Column, groups: Sequence[LineGroup]) -> Column:
+    return ~_per_group(which, groups, lambda g: is_comment(text, g.comments))
+
+
+def hit_columns(text: Column, shown: Column, which: Column, hit: Column, groups: Sequence[LineGroup]) -> dict[str, Column]:
+    """Check, severity, message and snippet of one hit on one line."""
+    tokens = {g.tokens for g in groups if g.downgrade}
+    in_test = {t: downgraded(shown, t) for t in tokens}
+
+    def severity(g: LineGroup) -> Column:
+        if not g.downgrade:
+            return hit["severity"]
+        return F.when(in_test[g.tokens], F.lit("info")).otherwise(hit["severity"])
+
+    def message(g: LineGroup) -> Column:
+        if not (g.downgrade and g.tag):
+            return hit["message"]
+        return F.concat(hit["message"], F.when(in_test[g.tokens], F.lit(g.tag)).otherwise(F.lit("")))
+
+    whole = _per_group(which, groups, lambda g: F.lit(g.whole_line))
+    evidence = redact(strip(text))
+    return {
+        "check": _per_group(which, groups, lambda g: F.lit(g.check)),
+        "severity": _per_group(which, groups, severity),
+        "message": _per_group(which, groups, message),
+        "snippet": F.left(evidence, F.when(whole, F.length(text) * 2 + 100).otherwise(F.lit(SNIPPET_LENGTH))),
+    }
 
 
 def hits_on(line_rows: DataFrame, groups: Sequence[LineGroup]) -> DataFrame:
     """Findings for line rows (project, path, line, text, masks)."""
-    text, shown = F.col("text"), display_path()
-    rows = line_rows.where(worth_a_look(text, groups)).withColumn("file", shown)
-    found = rows.select(
-        "project", "file", F.inline(line_facts(text, F.col("line"), shown, groups))
-    )
-    return found.select(*FINDING_COLUMNS)
+    text = F.col("text")
+    rows = line_rows.where(worth_a_look(text, groups))
+    found = rows.select("project", "path", "line", "text", F.inline(line_hits(text, groups)))
+    code = found.where(not_comment(text, F.col("g"), groups))
+    columns = hit_columns(text, display_path(), F.col("g"), F.col("hit"), groups)
+    return code.withColumn("file", display_path()).withColumns(columns).select(*FINDING_COLUMNS)
 
 
 def line_scan(files: DataFrame, groups: Sequence[LineGroup]) -> DataFrame:
-    """All findings of several rule groups in one pass over the files."""
-    masked = with_masks(files.where(F.length("content") > 0), groups).where(any_mask(groups))
-    return hits_on(lines(masked, *[mask_column(g) for g in groups]), groups)
+    """All findings of several rule groups in one pass over the files.
+
+    Files on which no rule is possible yield no lines. That is part of the explode,
+    not a filter before it: a filter would be pushed down and test each file twice.
+    """
+    masked = with_masks(files, groups)
+    masks = [mask_column(g) for g in groups]
+    cut = F.posexplode_outer(F.when(any_mask(groups), F.split("content", "\n"))).alias("pos", "text")
+    rows = masked.select("project", "path", *masks, cut).where(F.col("pos").isNotNull())
+    return hits_on(rows.withColumn("line", F.col("pos") + 1), groups)
 
 
 def prefix_scan(files: DataFrame, prefixes: Sequence[tuple[str, str]] = tuple(PREFIXES)) -> DataFrame:

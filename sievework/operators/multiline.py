@@ -13,39 +13,50 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import matched_lines
 from ..functions.text import file_lang, multiline_snippet, redact
-from ..rules import (
-    EXPENSIVE_RULES,
-    LOOP_RULES,
-    N_PLUS_1_RULES,
-    SPACE,
-    UNBOUNDED_RULES,
-    Rule,
-    java_pattern,
-)
-from ..schema import FINDING_COLUMNS, display_path, fact, no_facts
+from ..rules import LOOP_RULES, PERFORMANCE_RULES, SPACE, LoopRule, Rule, java_pattern
+from ..schema import FINDING_COLUMNS, display_path, empty
 
 CHECK = "performance_lint"
+MATCH = "struct<rule:int,line:int,found:string>"
 
 
-def _finding(severity: str, message: str, line: Column, shown: Column) -> Column:
-    return fact(
-        kind="finding", check=CHECK, severity=severity, message=message, line=line, snippet=shown
-    )
+def _match(rule: int, line: Column, found: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), line.cast("int").alias("line"), found.alias("found"))
 
 
-def multiline_facts(text: Column, rules: Sequence[Rule], lang: Column | None = None) -> Column:
-    """Every non-overlapping match of every rule; rules with a language need that file language."""
-    parts = []
-    for rule in rules:
+def pattern_matches(text: Column, rule: Rule, number: int) -> Column:
+    """Every non-overlapping match of one rule: array<MATCH>."""
+    possible = rule.possible_in(text, F.lower(text) if rule.ignores_case else text)
+    found = matched_lines(text, rule.pattern, lambda line, m: _match(number, line, m), empty(MATCH))
+    return F.when(possible, found).otherwise(empty(MATCH))
 
-        def build(line: Column, found: Column, rule=rule) -> Column:
-            return _finding(rule.severity, rule.message, line, multiline_snippet(redact(found)))
 
-        possible = rule.possible_in(text, F.lower(text) if rule.ignores_case else text)
+def text_matches(text: Column, rules: Sequence[Rule | LoopRule], lang: Column | None = None) -> Column:
+    """Matches of all rules, numbered by place; rules with a language need that file language."""
+    parts = []
+    for number, rule in enumerate(rules):
+        if isinstance(rule, LoopRule):
+            part = loop_matches(text, rule, number)
+        else:
+            part = pattern_matches(text, rule, number)
         if rule.lang != "any" and lang is not None:
-            possible = (lang == rule.lang) & possible
-        parts.append(F.when(possible, matched_lines(text, rule.pattern, build, no_facts())).otherwise(no_facts()))
-    return F.concat(*parts) if parts else no_facts()
+            part = F.when(lang == rule.lang, part).otherwise(empty(MATCH))
+        parts.append(part)
+    return F.concat(*parts) if parts else empty(MATCH)
+
+
+def match_columns(rule: Column, found: Column, rules: Sequence[Rule | LoopRule]) -> dict[str, Column]:
+    """Severity, message and snippet for a rule number and the matched text."""
+
+    def pick(values: Sequence[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), rule + 1)
+
+    return {
+        "check": F.lit(CHECK),
+        "severity": pick([r.severity for r in rules]),
+        "message": pick([r.message for r in rules]),
+        "snippet": multiline_snippet(redact(found)),
+    }
 
 
 # Line flags of the loop fold.
@@ -119,43 +130,30 @@ def _loop_spans(text: Column, header: str, call: str) -> Column:
     return F.aggregate(values, start, step)["found"]
 
 
-def loop_facts(
-    text: Column, header: str, call: str, message: str, severity: str, applies: Column | None = None
-) -> Column:
-    """One finding per loop header whose body reaches a call."""
+def loop_matches(text: Column, rule: LoopRule, number: int) -> Column:
+    """Loop headers whose body reaches a call: array<MATCH>."""
     rows = F.split(text, "\n")
-    keyword = header.split(r"\s", 1)[0]
+    header, call = java_pattern(rule.header), java_pattern(rule.call)
+    keyword = java_pattern(rule.header.split(r"\s", 1)[0])
 
-    def shown(span: Column) -> Column:
+    def built(span: Column) -> Column:
         opening = F.element_at(rows, span["first"])
-        whole = F.regexp_extract(opening, java_pattern(header) + r"[^\n]*", 0)
-        broken = F.regexp_extract(opening, java_pattern(keyword) + rf"[{SPACE}]*\z", 0)
+        whole = F.regexp_extract(opening, header + r"[^\n]*", 0)
+        broken = F.regexp_extract(opening, keyword + rf"[{SPACE}]*\z", 0)
         head = F.when(whole != "", whole).otherwise(broken)
         body = F.slice(rows, span["first"] + 1, span["last"] - span["first"] - 1)
-        last = F.regexp_extract(F.element_at(rows, span["last"]), r".*" + java_pattern(call), 0)
-        match = F.array_join(F.concat(F.array(head), body, F.array(last)), "\n")
-        return multiline_snippet(redact(match))
+        last = F.regexp_extract(F.element_at(rows, span["last"]), r".*" + call, 0)
+        return _match(number, span["first"], F.array_join(F.concat(F.array(head), body, F.array(last)), "\n"))
 
-    built = F.transform(
-        _loop_spans(text, header, call),
-        lambda span: _finding(severity, message, span["first"], shown(span)),
-    )
-    test = text.rlike(java_pattern(call)) & text.rlike(java_pattern(header))
-    if applies is not None:
-        test = applies & test
-    return F.when(test, built).otherwise(no_facts())
+    spans = F.transform(_loop_spans(text, rule.header, rule.call), built)
+    return F.when(text.rlike(call) & text.rlike(header), spans).otherwise(empty(MATCH))
 
 
-def performance_facts(text: Column, lang: Column) -> Column:
-    """All whole-text performance findings of one file."""
-    parts = []
-    for header, call, rule_lang, message, severity in LOOP_RULES:
-        applies = lang == rule_lang if rule_lang != "any" else None
-        parts.append(loop_facts(text, header, call, message, severity, applies))
-    parts.append(multiline_facts(text, N_PLUS_1_RULES, lang))
-    parts.append(multiline_facts(text, UNBOUNDED_RULES))
-    parts.append(multiline_facts(text, EXPENSIVE_RULES))
-    return F.concat(*parts)
+def match_findings(files: DataFrame, rules: Sequence[Rule | LoopRule], lang: Column | None) -> DataFrame:
+    matches = text_matches(F.col("content"), rules, lang)
+    rows = files.select("project", "path", F.inline(matches))
+    columns = match_columns(F.col("rule"), F.col("found"), rules)
+    return rows.withColumn("file", display_path()).withColumns(columns).select(*FINDING_COLUMNS)
 
 
 def finding_rows(files: DataFrame, facts: Column) -> DataFrame:
@@ -164,17 +162,19 @@ def finding_rows(files: DataFrame, facts: Column) -> DataFrame:
     return shown.withColumn("file", display_path()).select(*FINDING_COLUMNS)
 
 
-def multiline_scan(files: DataFrame, rules: Sequence[Rule], lang_col: str | None = None) -> DataFrame:
-    """Every match of every rule; with ``lang_col`` a rule only runs on its language."""
-    lang = F.col(lang_col) if lang_col else file_lang("path")
-    return finding_rows(files, multiline_facts(F.col("content"), rules, lang))
+def multiline_scan(
+    files: DataFrame, rules: Sequence[Rule | LoopRule] = tuple(PERFORMANCE_RULES), lang_col: str | None = None
+) -> DataFrame:
+    """Every match of every rule; a rule with a language only runs on files of it.
 
+    The language comes from ``lang_col`` or, without one, from the file suffix.
+    """
+    return match_findings(files, rules, F.col(lang_col) if lang_col else file_lang("path"))
 
-def loop_scan(
-    files: DataFrame, header: str, call: str, message: str, severity: str = "warning", lang: str = "any"
-) -> DataFrame:
-    applies = file_lang("path") == lang if lang != "any" else None
-    return finding_rows(files, loop_facts(F.col("content"), header, call, message, severity, applies))
+
+def loop_scan(files: DataFrame, rules: Sequence[LoopRule] = tuple(LOOP_RULES)) -> DataFrame:
+    """Loops that reach a call in their body."""
+    return match_findings(files, rules, file_lang("path"))
 
 
 def absent_within(files: DataFrame, x: str, y: str, n: int, message: str, severity: str = "warning") -> DataFrame:

@@ -10,7 +10,7 @@ and never the text again.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +26,22 @@ from ..operators.lines import (
     any_mask,
     error_group,
     insecure_group,
-    line_facts,
+    hit_columns,
+    line_hits,
     mask_column,
+    not_comment,
     prefix_group,
     secret_group,
     sql_group,
     with_masks,
     worth_a_look,
 )
-from ..operators.multiline import performance_facts
+from ..operators.multiline import match_columns, text_matches
 from ..rules import (
     CONFIG_EXTENSIONS,
     EXTENSIONS,
     MAX_FILE_SIZE,
+    PERFORMANCE_RULES,
     PROJECT_CHECKS,
     SAFE_BASENAMES,
     SECRET_RULES,
@@ -48,7 +51,7 @@ from ..rules import (
 from ..schema import FACT_TYPES, FINDING_COLUMNS, display_path, fact, facts_when, no_facts
 from ..sources.filters import glob_lists, ignored_by
 from ..sources.registry import present_projects, select_projects
-from .scale import INLINE_LIMIT, small_side, stage
+from .scale import INLINE_LIMIT, stage
 
 MANIFESTS = [deps.JS_MANIFEST, deps.PY_MANIFEST, layout.IGNORE_FILE]
 
@@ -75,15 +78,14 @@ class AuditInputs:
         return self.kind("manifest").select("project", F.col("name").alias("path"), F.col("value").alias("content"))
 
     def root(self) -> DataFrame:
-        return layout.root_files(self.files)
-
-    def scanned(self) -> DataFrame:
-        return present_projects(self.files, self.projects)
+        """Files directly in a project's root: name and time, without text."""
+        stamp = F.timestamp_micros(F.col("value").cast("bigint"))
+        return self.kind("root").select("project", F.col("name").alias("path"), F.lit(None).cast("bigint").alias("size"), stamp.alias("mtime"))
 
     def speaking(self, *languages: str) -> DataFrame:
-        """Scanned projects with one of the languages."""
+        """Projects with one of the languages."""
         wanted = F.array(*[F.lit(x) for x in languages])
-        return self.scanned().where(F.arrays_overlap("languages", wanted))
+        return self.projects.where(F.arrays_overlap("languages", wanted))
 
     def of_projects(self, rows: DataFrame, *languages: str) -> DataFrame:
         names = self.speaking(*languages).select(F.col("name").alias("project"))
@@ -101,13 +103,13 @@ def _line_groups(inputs: AuditInputs, checks: Sequence[str]) -> list[LineGroup]:
 
 def classified(inputs: AuditInputs) -> DataFrame:
     """Files with usable text and one flag per use of it."""
-    lists = glob_lists(inputs.projects)
+    lists, few = glob_lists(inputs.projects)
     dimension = inputs.projects.select(
         F.col("name").alias("project"),
         F.coalesce("languages", F.array().cast("array<string>")).alias("languages"),
         F.col("ignore_patterns").alias("globs"),
     )
-    files = inputs.files.join(small_side(dimension), "project")
+    files = inputs.files.join(F.broadcast(dimension) if few else dimension, "project")
     path = F.col("path")
     speaks = {lang: F.array_contains("languages", lang) for lang in EXTENSIONS}
     python = speaks["python"] & has_suffix(path, EXTENSIONS["python"])
@@ -160,6 +162,10 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
             col("manifest"), F.array(fact(kind="manifest", name=col("path"), value=F.coalesce(text, F.lit(""))))
         )
     ]
+    if {"dependency_audit", "architecture_review"} & set(checks):
+        stamp = F.unix_micros("mtime").cast("string")
+        in_root = ~F.contains("path", F.lit("/"))
+        parts.append(facts_when(in_root, F.array(fact(kind="root", name=col("path"), value=stamp))))
     if {"duplicate_code", "dead_code"} & set(checks):
         files = files.withColumn("py", python_facts(F.when(python, text)))
         parts.append(dups.extraction_errors(col("py.error"), "duplicate_code" if "duplicate_code" in checks else "dead_code"))
@@ -188,7 +194,13 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
         parts += [facts_when(listed, F.concat(clients.client_facts(text), clients.wrapper_facts(text)))]
     if "performance_lint" in checks:
         parts += [
-            facts_when(listed, performance_facts(text, file_lang("path"))),
+            facts_when(
+                listed,
+                F.transform(
+                    text_matches(text, PERFORMANCE_RULES, file_lang("path")),
+                    lambda m: fact(kind="match", line=m["line"], value=m["found"], num=m["rule"]),
+                ),
+            ),
             facts_when(col("migration") & has_text, layout.unindexed_facts(text)),
         ]
     if groups:
@@ -203,11 +215,24 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
     if not groups:
         return rows.select("project", "path", *FACT_TYPES)
 
-    is_line = col("kind") == "line"
+    # Lines worth a look become one row per hit; all other facts pass through as g = NULL.
+    is_line, is_match = col("kind") == "line", col("kind") == "match"
     kept = rows.where(~is_line | worth_a_look(col("value"), groups))
-    itself = F.array(fact(**{name: col(name) for name in FACT_TYPES}))
-    final = F.when(is_line, line_facts(col("value"), col("line"), display_path(), groups)).otherwise(itself)
-    return kept.select("project", "path", final.alias("final")).select("project", "path", F.inline("final"))
+    hits = F.when(is_line, line_hits(col("value"), groups))
+    spread = kept.select("project", "path", *FACT_TYPES, F.inline_outer(hits)).where(
+        ~is_line | (col("g").isNotNull() & not_comment(col("value"), col("g"), groups))
+    )
+    of_line = hit_columns(col("value"), display_path(), col("g"), col("hit"), groups)
+    of_match = match_columns(col("num"), col("value"), PERFORMANCE_RULES)
+    done = {"kind": F.lit("finding"), "value": F.lit(None), "num": F.lit(None)}
+
+    def final(name: str) -> Column:
+        value = F.when(is_line, {**of_line, **done}.get(name, col(name)))
+        value = value.when(is_match, {**of_match, **done}.get(name, col(name))).otherwise(col(name))
+        return value.cast(FACT_TYPES[name]).alias(name)
+
+    changed = {*of_line, *of_match, *done}
+    return spread.select("project", "path", *[final(n) if n in changed else col(n) for n in FACT_TYPES])
 
 
 # --- checks ----------------------------------------------------------------
@@ -225,7 +250,7 @@ def duplicate_code(inputs: AuditInputs) -> DataFrame:
 
 def security_scan(inputs: AuditInputs) -> DataFrame:
     return _local(inputs, "security_scan").unionByName(
-        layout.missing_entries(inputs.manifests(), inputs.scanned())
+        layout.missing_entries(inputs.manifests(), inputs.projects)
     )
 
 
@@ -246,7 +271,7 @@ def architecture_review(inputs: AuditInputs) -> DataFrame:
     versions = deps.tracked_versions(inputs.manifests())
     return (
         clients.sprawl_findings(per_project)
-        .unionByName(layout.missing_counterpart(inputs.files, inputs.scanned()))
+        .unionByName(layout.missing_counterpart(inputs.root(), inputs.projects))
         .unionByName(deps.version_mismatch(versions, inputs.inline_limit))
         .unionByName(clients.sprawl_global(per_project.select("project", "n_files"), inline_limit=inputs.inline_limit))
         .unionByName(clients.wrapper_global(inputs.kind("wrapper")))
@@ -268,7 +293,7 @@ def dependency_audit(inputs: AuditInputs) -> DataFrame:
         .unionByName(deps.lockfile_check(manifests, inputs.root(), inputs.as_of))
         .unionByName(deps.missing_key(manifests))
         .unionByName(deps.unpinned(requirements))
-        .unionByName(layout.missing_manifest(inputs.files, inputs.speaking("python")))
+        .unionByName(layout.missing_manifest(inputs.root(), inputs.speaking("python")))
     )
 
 
@@ -310,9 +335,12 @@ def audit(
     names = [check] if check else list(CHECKS)
     projects = select_projects(inputs.projects, project)
     files = inputs.files if project is None else inputs.files.where(F.col("project") == project)
-    chosen = AuditInputs(**{**inputs.__dict__, "files": files, "projects": projects})
+    scanned = present_projects(files, projects)
+    if staged:
+        scanned = stage(scanned, "projects")
+    chosen = replace(inputs, files=files, projects=scanned)
     if chosen.facts is None:
-        facts = extract_facts(chosen, [n for n in names])
+        facts = extract_facts(chosen, names)
         chosen.facts = stage(facts, "facts", rebalance=["kind"]) if staged else facts
     found = [CHECKS[n](chosen).select(*FINDING_COLUMNS) for n in names]
     union = found[0]

@@ -13,9 +13,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 # A list shown inside one row may hold this many entries; longer ones stay a table.
 INLINE_LIMIT = 1_000
 SALTS = 8
+# A table is only broadcast after it was found to have no more rows than this.
+SMALL_ROWS = 200_000
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Broadcast a dimension table after counting it; beyond the bound, plain join."""
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)

@@ -57,6 +57,17 @@ class Rule:
         return test
 
 
+@dataclass(frozen=True)
+class LoopRule:
+    """A loop header line, and a call that must not occur in the lines after it."""
+
+    header: str
+    call: str
+    message: str
+    severity: str
+    lang: str = "any"
+
+
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 
@@ -240,18 +251,16 @@ SQL_RULES = [
 ]
 
 LOOP_RULES = [
-    # header pattern, call pattern, language, message, severity
-    (
+    LoopRule(
         r"(?:for|while)\s+.+:",
         r"\.(?:execute|fetchone|fetchall|select|from_|query)\s*\(",
-        "python",
         "Potential N+1 query: database call inside a loop",
         "warning",
+        lang="python",
     ),
-    (
+    LoopRule(
         r"(?:for|while)\s+.+:",
         r"re\.(?:compile|search|match|findall)\s*\(",
-        "any",
         "Regex operation inside loop -- compile the regex once outside the loop",
         "info",
     ),
@@ -421,6 +430,8 @@ SPRAWL_TOTAL, SPRAWL_PROJECTS = 5, 1
 WRAPPER_TOTAL, WRAPPER_PROJECTS = 8, 2
 DRIFT_LABELS, DRIFT_MEAN, DRIFT_SINGLE = 0.05, 0.03, 0.15
 
+PERFORMANCE_RULES = LOOP_RULES + N_PLUS_1_RULES + UNBOUNDED_RULES + EXPENSIVE_RULES
+
 PROJECT_CHECKS = [
     "duplicate_code",
     "security_scan",

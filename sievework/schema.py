@@ -56,6 +56,9 @@ def fact(**fields) -> Column:
     cols = []
     for name, dtype in FACT_TYPES.items():
         value = fields.pop(name, None)
+        if value is None:
+            cols.append(F.expr(f"CAST(NULL AS {dtype}) AS {name}"))
+            continue
         if not isinstance(value, Column):
             value = F.lit(value)
         cols.append(value.cast(dtype).alias(name))
@@ -64,8 +67,12 @@ def fact(**fields) -> Column:
     return F.struct(*cols)
 
 
+def empty(element_type: str) -> Column:
+    return F.expr(f"CAST(array() AS array<{element_type}>)")
+
+
 def no_facts() -> Column:
-    return F.array().cast(f"array<{FACT}>")
+    return empty(FACT)
 
 
 def facts_when(condition: Column, facts: Column) -> Column:

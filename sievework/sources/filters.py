@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_suffix, in_basenames, normalise_newlines
-from ..plans.scale import small_side
+from ..plans.scale import SMALL_ROWS
 from ..rules import LARGE_FILE_SIZE, MAX_FILE_SIZE, SAFE_BASENAMES
 
 
@@ -65,18 +65,16 @@ def path_ignored(path: Column, globs: Iterable[str]) -> Column:
     return path.rlike(component) | path.rlike(whole) | (F.contains(path, F.lit("/")) & top.rlike(root))
 
 
-def glob_lists(projects: DataFrame, max_lists: int = 500) -> list[list[str]]:
-    """The distinct non-empty ignore lists, of which projects share few."""
-    rows = (
-        projects.select(F.col("ignore_patterns").alias("globs"))
-        .where(F.size("globs") > 0)
-        .distinct()
-        .limit(max_lists + 1)
-        .collect()
-    )
+def glob_lists(projects: DataFrame, max_lists: int = 500) -> tuple[list[list[str]], bool]:
+    """The distinct non-empty ignore lists, and whether the registry can be broadcast.
+
+    Projects share few lists; one aggregation finds them and counts the projects.
+    """
+    per_list = projects.groupBy(F.col("ignore_patterns").alias("globs")).agg(F.count(F.lit(1)).alias("n"))
+    rows = per_list.limit(max_lists + 1).collect()
     if len(rows) > max_lists:
         raise ValueError(f"more than {max_lists} distinct ignore lists; group the projects first")
-    return [list(r.globs) for r in rows]
+    return [list(r.globs) for r in rows if r.globs], sum(r.n for r in rows) <= SMALL_ROWS
 
 
 def ignored_by(path: Column, globs: Column, lists: Iterable[list[str]]) -> Column:
@@ -95,11 +93,11 @@ def filter_ignored(files: DataFrame, projects: DataFrame) -> DataFrame:
     The glob lists become literal patterns in the plan; a project only contributes
     which list it uses.
     """
-    lists = glob_lists(projects)
+    lists, few = glob_lists(projects)
     if not lists:
         return files
     dimension = projects.select(F.col("name").alias("project"), F.col("ignore_patterns").alias("__globs"))
-    joined = files.join(small_side(dimension), "project", "left")
+    joined = files.join(F.broadcast(dimension) if few else dimension, "project", "left")
     return joined.where(~ignored_by(F.col("path"), F.col("__globs"), lists)).drop("__globs")
 
 
