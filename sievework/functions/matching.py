@@ -2,51 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..rules import java_pattern
+from ..schema import sql_text
 
 # A control character marks where a match starts; the same character in the text
 # is first replaced by its neighbour, which no pattern tells apart from it.
-MARK, STAND_IN = "\x01", "\x02"
-
-
-def match_lines_of(text: Column, pattern: str) -> Column:
-    """1-based line of each non-overlapping match, in order: array<int>.
-
-    Each match start is marked, the text is cut into lines, and every line yields
-    its number once per mark. That is linear in the text, with no running sums.
-    """
-    marked = F.regexp_replace(text, pattern, f"{MARK}$0")
-
-    def numbers(line: Column, i: Column) -> Column:
-        marks = F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
-        return F.array_repeat(i + 1, marks)
+MARK, STAND_IN = "\\u0001", "\\u0002"
 
-    return F.flatten(F.transform(F.split(marked, "\n"), numbers))
 
+def matched_lines(text: str, pattern: str, item: str, group: int = 0, possible: str = "true") -> str:
+    """SQL for ``item`` over every non-overlapping match of ``pattern`` in column ``text``.
 
-def matched_lines(
-    text: str | Column,
-    pattern: str,
-    build: Callable[[Column, Column], Column],
-    nothing: Column,
-    group: int = 0,
-) -> Column:
-    """``build(line, matched)`` for every match of ``pattern``; ``nothing`` without any.
+    ``item`` is a SQL expression over ``m.line`` (1-based) and ``m.found``. The
+    pattern must not match the empty string. A text that fails ``possible`` or does
+    not match gives NULL, after one pass over it at most.
 
-    ``pattern`` must not match the empty string. The text is searched once to see
-    whether it matches at all, so files without a match cost one pass.
+    Each match start is marked, the text is cut into lines, and every line yields its
+    number once per mark: linear in the text, with no running sums.
     """
-    text = F.col(text) if isinstance(text, str) else text
-    java = java_pattern(pattern)
-    safe = F.translate(text, MARK, STAND_IN)
-    pairs = F.arrays_zip(
-        match_lines_of(safe, java).alias("line"),
-        F.regexp_extract_all(safe, F.lit(java), F.lit(group)).alias("found"),
-    )
-    built = F.transform(pairs, lambda p: build(p["line"], p["found"]))
-    return F.when(text.rlike(java), built).otherwise(nothing)
+    regex = sql_text(java_pattern(pattern))
+    safe = f"replace({text}, '{MARK}', '{STAND_IN}')"
+    marked = f"split(regexp_replace({safe}, {regex}, '{MARK}$0'), '\\n')"
+    marks = f"length(l) - length(replace(l, '{MARK}', ''))"
+    numbers = f"flatten(transform({marked}, (l, i) -> array_repeat(i + 1, {marks})))"
+    found = f"regexp_extract_all({safe}, {regex}, {group})"
+    pairs = f"transform(arrays_zip({numbers}, {found}), z -> named_struct('line', z.`0`, 'found', z.`1`))"
+    return f"IF({possible} AND {text} RLIKE {regex}, transform({pairs}, m -> {item}), NULL)"

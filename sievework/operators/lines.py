@@ -26,7 +26,7 @@ from ..rules import (
     Rule,
     java_pattern,
 )
-from ..schema import FINDING_COLUMNS, display_path, empty
+from ..schema import FINDING_COLUMNS, display_path, empty, sql_text
 
 HIT = "struct<severity:string,message:string>"
 MASK_BITS = 62
@@ -44,50 +44,52 @@ def drop_comments(line_rows: DataFrame, markers: Sequence[str] = ("#", "//")) ->
     return line_rows.where(~is_comment("text", markers))
 
 
-def _hit(severity: str | Column, message: str | Column) -> Column:
-    severity = F.lit(severity) if isinstance(severity, str) else severity
-    message = F.lit(message) if isinstance(message, str) else message
-    return F.struct(severity.alias("severity"), message.alias("message"))
+# Rule lists can be long, so they are written as SQL text: one expression each.
 
 
-def _none() -> Column:
-    return F.lit(None).cast(HIT)
+def _hit(severity: str, message: str) -> str:
+    return f"named_struct('severity', {sql_text(severity)}, 'message', {sql_text(message)})"
 
 
-def rule_mask(text: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
+def rule_mask(text: str, lowered: str, rules: Sequence[Rule]) -> Column:
     """Which rules a text may match, as a bit set; 0 when none can."""
-    mask = F.lit(0).cast("bigint")
-    for i, rule in enumerate(rules[:MASK_BITS]):
-        bit = F.lit(1 << i).cast("bigint")
-        mask = mask + F.when(rule.possible_in(text, lowered), bit).otherwise(F.lit(0).cast("bigint"))
+    bits = [
+        f"IF({rule.possible_in(text, lowered)}, {1 << i}L, 0L)" for i, rule in enumerate(rules[:MASK_BITS])
+    ]
     if len(rules) > MASK_BITS:
-        mask = mask + F.lit(1 << MASK_BITS).cast("bigint")
-    return mask
+        bits.append(f"{1 << MASK_BITS}L")
+    return F.expr(" + ".join(bits) if bits else "0L")
+
+
+def _tries(text: str, mask: str | None, rules: Sequence[Rule]) -> list[str]:
+    """For every rule, whether it may match at all and does."""
+    tests = []
+    for i, rule in enumerate(rules):
+        enabled = "" if mask is None or i >= MASK_BITS else f"({mask} & {1 << i}L) != 0 AND "
+        tests.append(enabled + rule.found_in(text))
+    return tests
 
 
-def _enabled(mask: Column | None, i: int) -> Column:
-    if mask is None or i >= MASK_BITS:
-        return F.lit(True)
-    return mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+def any_rule(text: str, mask: str, rules: Sequence[Rule]) -> Column:
+    return F.expr(" OR ".join(f"({t})" for t in _tries(text, mask, rules)) or "false")
 
 
-def first_match(text: Column, rules: Sequence[Rule], mask: Column | None = None) -> Column:
+def first_match(text: str, rules: Sequence[Rule], mask: str | None = None) -> Column:
     """Severity and message of the first rule that finds something, else NULL."""
-    chain = None
-    for i, rule in enumerate(rules):
-        test = _enabled(mask, i) & text.rlike(rule.java)
-        hit = _hit(rule.severity, rule.message)
-        chain = F.when(test, hit) if chain is None else chain.when(test, hit)
-    return _none() if chain is None else chain.otherwise(_none())
+    whens = [
+        f"WHEN {test} THEN {_hit(rule.severity, rule.message)}"
+        for test, rule in zip(_tries(text, mask, rules), rules)
+    ]
+    return F.expr(f"CASE {' '.join(whens)} END" if whens else f"CAST(NULL AS {HIT})")
 
 
 QUOTED_VALUE = r"""['"](.*?)['"]"""
 
 
 def secret_match(
-    text: Column,
+    text: str,
     rules: Sequence[Rule],
-    mask: Column | None = None,
+    mask: str | None = None,
     min_entropy: float = MIN_ENTROPY,
     min_length: int = MIN_SECRET_LENGTH,
 ) -> Column:
@@ -97,14 +99,9 @@ def secret_match(
     """
     quoted = java_pattern(QUOTED_VALUE)
     found = [
-        F.when(
-            _enabled(mask, i) & text.rlike(rule.java),
-            F.struct(
-                F.regexp_extract(text, rule.java, 0).alias("found"),
-                _hit(rule.severity, rule.message).alias("hit"),
-            ),
-        )
-        for i, rule in enumerate(rules)
+        f"IF({test}, named_struct('found', regexp_extract({text}, {sql_text(rule.java)}, 0), "
+        f"'hit', {_hit(rule.severity, rule.message)}), NULL)"
+        for test, rule in zip(_tries(text, mask, rules), rules)
     ]
 
     def passes(candidate: Column) -> Column:
@@ -112,23 +109,23 @@ def secret_match(
         random = (F.length(value) >= min_length) & (entropy(value) >= min_entropy)
         return candidate.isNotNull() & (~candidate["found"].rlike(quoted) | random)
 
-    return F.get(F.filter(F.array(*found), passes), F.lit(0))["hit"]
+    if not found:
+        return F.lit(None).cast(HIT)
+    return F.get(F.filter(F.expr(f"array({', '.join(found)})"), passes), F.lit(0))["hit"]
 
 
-def prefix_pattern(prefix: str) -> str:
-    return "['\"]\\Q" + prefix + "\\E[A-Za-z0-9_\\-]{10,}['\"]"
+def prefix_pattern(*prefixes: str) -> str:
+    return "['\"](?:" + "|".join("\\Q" + p + "\\E" for p in prefixes) + ")[A-Za-z0-9_\\-]{10,}['\"]"
 
 
-def prefix_matches(text: Column, prefixes: Sequence[tuple[str, str]]) -> Column:
+def prefix_matches(text: str, prefixes: Sequence[tuple[str, str]]) -> Column:
     """Every known key prefix in a quoted literal; one text may give several hits."""
     found = [
-        F.when(
-            text.rlike(prefix_pattern(prefix)),
-            _hit("critical", f"Hardcoded {what} found in source code"),
-        ).otherwise(_none())
+        f"IF({text} RLIKE {sql_text(prefix_pattern(prefix))}, "
+        f"{_hit('critical', f'Hardcoded {what} found in source code')}, NULL)"
         for prefix, what in prefixes
     ]
-    return F.array_compact(F.array(*found))
+    return F.expr(f"array({', '.join(found)})")
 
 
 @dataclass(frozen=True)
@@ -137,14 +134,14 @@ class LineGroup:
 
     ``mask(text, lowered)`` tells from a whole file which rules can match at all,
     ``test(line, mask)`` whether a line is worth a closer look, and
-    ``hits(line, mask)`` what it amounts to.
+    ``hits(line, mask)`` what it amounts to; all take column names.
     """
 
     name: str
     check: str
-    mask: Callable[[Column, Column], Column]
-    test: Callable[[Column, Column], Column]
-    hits: Callable[[Column, Column], Column]
+    mask: Callable[[str, str], Column]
+    test: Callable[[str, str], Column]
+    hits: Callable[[str, str], Column]
     comments: tuple[str, ...] = ("#", "//")
     downgrade: bool = False
     tag: str = ""
@@ -152,22 +149,15 @@ class LineGroup:
     tokens: tuple[str, ...] = tuple(TEST_PATH_TOKENS)
 
 
-def any_rule(text: Column, rules: Sequence[Rule], mask: Column) -> Column:
-    test = F.lit(False)
-    for i, rule in enumerate(rules):
-        test = test | (_enabled(mask, i) & text.rlike(rule.java))
-    return test
-
-
 def prefix_group(prefixes: Sequence[tuple[str, str]] = tuple(PREFIXES), **options) -> LineGroup:
-    anywhere = "['\"](?:" + "|".join("\\Q" + p + "\\E" for p, _ in prefixes) + ")[A-Za-z0-9_\\-]{10,}['\"]"
+    anywhere = sql_text(prefix_pattern(*[p for p, _ in prefixes]))
     settings = dict(
         check="security_scan", comments=("#", "//", "*"), downgrade=True, tag=" (test file)", whole_line=True
     )
     return LineGroup(
         name="prefix",
-        mask=lambda text, _: F.when(text.rlike(anywhere), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-        test=lambda text, mask: (mask != 0) & text.rlike(anywhere),
+        mask=lambda text, _: F.expr(f"IF({text} RLIKE {anywhere}, 1L, 0L)"),
+        test=lambda text, mask: F.expr(f"{mask} != 0 AND {text} RLIKE {anywhere}"),
         hits=lambda text, _: prefix_matches(text, prefixes),
         **{**settings, **options},
     )
@@ -183,7 +173,7 @@ def secret_group(
     return LineGroup(
         name="secret",
         mask=lambda text, lowered: rule_mask(text, lowered, rules),
-        test=lambda text, mask: any_rule(text, rules, mask),
+        test=lambda text, mask: any_rule(text, mask, rules),
         hits=lambda text, mask: F.array(secret_match(text, rules, mask, min_entropy, min_length)),
         **{**settings, **options},
     )
@@ -194,7 +184,7 @@ def first_match_group(name: str, check: str, rules: Sequence[Rule], **options) -
         name=name,
         check=check,
         mask=lambda text, lowered: rule_mask(text, lowered, rules),
-        test=lambda text, mask: any_rule(text, rules, mask),
+        test=lambda text, mask: any_rule(text, mask, rules),
         hits=lambda text, mask: F.array(first_match(text, rules, mask)),
         **options,
     )
@@ -222,7 +212,7 @@ def with_masks(files: DataFrame, groups: Sequence[LineGroup], applies: dict[str,
     lowered = files.withColumn("__lowered", F.lower("content"))
     masks = {
         mask_column(g): F.when(
-            applies.get(g.name, F.lit(True)), g.mask(F.col("content"), F.col("__lowered"))
+            applies.get(g.name, F.lit(True)), g.mask("content", "__lowered")
         ).otherwise(F.lit(0).cast("bigint"))
         for g in groups
     }
@@ -236,20 +226,20 @@ def any_mask(groups: Sequence[LineGroup]) -> Column:
     return test
 
 
-def worth_a_look(text: Column, groups: Sequence[LineGroup]) -> Column:
+def worth_a_look(text: str, groups: Sequence[LineGroup]) -> Column:
     """Cheap, compiled test that leaves only lines on which some rule matches."""
     test = F.lit(False)
     for g in groups:
-        test = test | g.test(text, F.col(mask_column(g)))
+        test = test | g.test(text, mask_column(g))
     return test
 
 
-def line_hits(text: Column, groups: Sequence[LineGroup]) -> Column:
+def line_hits(text: str, groups: Sequence[LineGroup]) -> Column:
     """What a line amounts to in every group: array<struct<g,hit>>, g = place of the group."""
     parts = []
     for i, group in enumerate(groups):
         mask = F.col(mask_column(group))
-        hits = F.when(mask != 0, group.hits(text, mask)).otherwise(empty(HIT))
+        hits = F.when(mask != 0, group.hits(text, mask_column(group))).otherwise(empty(HIT))
         parts.append(F.transform(hits, _tagged(i)))
     return F.filter(F.concat(*parts), lambda t: t["hit"].isNotNull())
 
@@ -297,8 +287,8 @@ def hit_columns(text: Column, shown: Column, which: Column, hit: Column, groups:
 def hits_on(line_rows: DataFrame, groups: Sequence[LineGroup]) -> DataFrame:
     """Findings for line rows (project, path, line, text, masks)."""
     text = F.col("text")
-    rows = line_rows.where(worth_a_look(text, groups))
-    found = rows.select("project", "path", "line", "text", F.inline(line_hits(text, groups)))
+    rows = line_rows.where(worth_a_look("text", groups))
+    found = rows.select("project", "path", "line", "text", F.inline(line_hits("text", groups)))
     code = found.where(not_comment(text, F.col("g"), groups))
     columns = hit_columns(text, display_path(), F.col("g"), F.col("hit"), groups)
     return code.withColumn("file", display_path()).withColumns(columns).select(*FINDING_COLUMNS)

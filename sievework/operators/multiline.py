@@ -24,24 +24,24 @@ def _match(rule: int, line: Column, found: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), line.cast("int").alias("line"), found.alias("found"))
 
 
-def pattern_matches(text: Column, rule: Rule, number: int) -> Column:
-    """Every non-overlapping match of one rule: array<MATCH>."""
-    possible = rule.possible_in(text, F.lower(text) if rule.ignores_case else text)
-    found = matched_lines(text, rule.pattern, lambda line, m: _match(number, line, m), empty(MATCH))
-    return F.when(possible, found).otherwise(empty(MATCH))
+def pattern_matches(text: str, rule: Rule, number: int) -> Column:
+    """Every non-overlapping match of one rule: array<MATCH>, NULL without any."""
+    lowered = f"lower({text})" if rule.ignores_case else text
+    item = f"named_struct('rule', {number}, 'line', m.line, 'found', m.found)"
+    return F.expr(matched_lines(text, rule.pattern, item, possible=rule.possible_in(text, lowered)))
 
 
-def text_matches(text: Column, rules: Sequence[Rule | LoopRule], lang: Column | None = None) -> Column:
+def text_matches(text: str, rules: Sequence[Rule | LoopRule], lang: Column | None = None) -> Column:
     """Matches of all rules, numbered by place; rules with a language need that file language."""
     parts = []
     for number, rule in enumerate(rules):
         if isinstance(rule, LoopRule):
-            part = loop_matches(text, rule, number)
+            part = loop_matches(F.col(text), rule, number)
         else:
             part = pattern_matches(text, rule, number)
         if rule.lang != "any" and lang is not None:
-            part = F.when(lang == rule.lang, part).otherwise(empty(MATCH))
-        parts.append(part)
+            part = F.when(lang == rule.lang, part)
+        parts.append(F.coalesce(part, empty(MATCH)))
     return F.concat(*parts) if parts else empty(MATCH)
 
 
@@ -109,7 +109,7 @@ def _loop_spans(text: Column, header: str, call: str) -> Column:
             .otherwise(F.lit(0))
         )
         waits = F.when((state["broken"] > 0) & on(value, BLANK), state["broken"])
-        broken = waits.when((opened == 0) & on(value, HEADER_HEAD), i).otherwise(F.lit(0))
+        broken = waits.when(on(value, HEADER_HEAD), i).otherwise(F.lit(0))
         return F.struct(
             i.alias("i"),
             F.when(hit, F.lit(0)).otherwise(opened).alias("open"),
@@ -150,7 +150,7 @@ def loop_matches(text: Column, rule: LoopRule, number: int) -> Column:
 
 
 def match_findings(files: DataFrame, rules: Sequence[Rule | LoopRule], lang: Column | None) -> DataFrame:
-    matches = text_matches(F.col("content"), rules, lang)
+    matches = text_matches("content", rules, lang)
     rows = files.select("project", "path", F.inline(matches))
     columns = match_columns(F.col("rule"), F.col("found"), rules)
     return rows.withColumn("file", display_path()).withColumns(columns).select(*FINDING_COLUMNS)

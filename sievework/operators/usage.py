@@ -28,17 +28,15 @@ CALL_PATTERN = rf"(?<![{WORD}])(def[ \t]+)?([{WORD}]+)\s*\("
 # --- exports ---------------------------------------------------------------
 
 
-def export_facts(text: Column) -> Column:
-    return F.when(
-        F.contains(text, F.lit("export")),
-        matched_lines(
-            text,
-            EXPORT_PATTERN,
-            lambda line, name: fact(kind="export", line=line, name=name),
-            no_facts(),
-            group=1,
-        ),
-    ).otherwise(no_facts())
+def export_sites(text: str) -> Column:
+    """Exported names with their lines: array<struct<name,line>>, NULL without any."""
+    item = "named_struct('name', m.found, 'line', m.line)"
+    return F.expr(matched_lines(text, EXPORT_PATTERN, item, group=1, possible=f"contains({text}, 'export')"))
+
+
+def export_facts(text: str) -> Column:
+    sites = F.transform(export_sites(text), lambda s: fact(kind="export", line=s["line"], name=s["name"]))
+    return F.coalesce(sites, no_facts())
 
 
 def imported_names(text: Column, strict: bool = False) -> Column:
@@ -67,10 +65,8 @@ def import_facts(text: Column, strict: bool = False) -> Column:
 
 def exports_of(files: DataFrame) -> DataFrame:
     """Export sites (project, path, name, line) of JavaScript and TypeScript files."""
-    rows = files.where(F.col("path").rlike(JS_FILES)).select(
-        "project", "path", F.inline(export_facts(F.col("content")))
-    )
-    return rows.select("project", "path", "name", "line")
+    scripts = files.where(F.col("path").rlike(JS_FILES))
+    return scripts.select("project", "path", F.inline(export_sites("content")))
 
 
 def imports_of(files: DataFrame, strict: bool = False) -> DataFrame:

@@ -179,7 +179,7 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
     if "dead_code" in checks:
         age = age_days("mtime", inputs.as_of)
         parts += [
-            facts_when(script, F.concat(usage.export_facts(text), usage.import_facts(text, inputs.strict))),
+            facts_when(script, F.concat(usage.export_facts("content"), usage.import_facts(text, inputs.strict))),
             F.coalesce(usage.unused_import_facts(col("py"), inputs.strict), no_facts()),
             F.coalesce(usage.definition_facts(col("py")), no_facts()),
             facts_when(python, usage.call_facts(text, inputs.strict)),
@@ -197,7 +197,7 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
             facts_when(
                 listed,
                 F.transform(
-                    text_matches(text, PERFORMANCE_RULES, file_lang("path")),
+                    text_matches("content", PERFORMANCE_RULES, file_lang("path")),
                     lambda m: fact(kind="match", line=m["line"], value=m["found"], num=m["rule"]),
                 ),
             ),
@@ -217,8 +217,8 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
 
     # Lines worth a look become one row per hit; all other facts pass through as g = NULL.
     is_line, is_match = col("kind") == "line", col("kind") == "match"
-    kept = rows.where(~is_line | worth_a_look(col("value"), groups))
-    hits = F.when(is_line, line_hits(col("value"), groups))
+    kept = rows.where(~is_line | worth_a_look("value", groups))
+    hits = F.when(is_line, line_hits("value", groups))
     spread = kept.select("project", "path", *FACT_TYPES, F.inline_outer(hits)).where(
         ~is_line | (col("g").isNotNull() & not_comment(col("value"), col("g"), groups))
     )
@@ -341,7 +341,9 @@ def audit(
     chosen = replace(inputs, files=files, projects=scanned)
     if chosen.facts is None:
         facts = extract_facts(chosen, names)
-        chosen.facts = stage(facts, "facts", rebalance=["kind"]) if staged else facts
+    else:
+        facts = chosen.facts if project is None else chosen.facts.where(F.col("project") == project)
+    chosen.facts = stage(facts, "facts", rebalance=["kind"]) if staged else facts
     found = [CHECKS[n](chosen).select(*FINDING_COLUMNS) for n in names]
     union = found[0]
     for one in found[1:]:

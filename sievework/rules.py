@@ -12,9 +12,11 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .schema import sql_text
+
 # A rule table is folded into the query plan, so its size is checked, not assumed.
 MAX_RULES = 2_000
 
@@ -44,17 +46,18 @@ class Rule:
     def java(self) -> str:
         return java_pattern(self.pattern)
 
-    def possible_in(self, text: Column, lowered: Column) -> Column:
-        """Cheap test that must hold for every text the rule can match."""
+    def possible_in(self, text: str, lowered: str) -> str:
+        """Cheap SQL test that must hold for every text the rule can match."""
         if self.gate:
-            return text.rlike(java_pattern(self.gate))
+            return f"({text} RLIKE {sql_text(java_pattern(self.gate))})"
         if not self.needles:
-            return F.lit(True)
+            return f"({text} IS NOT NULL)"
         subject = lowered if self.ignores_case else text
-        test = F.lit(False)
-        for needle in self.needles:
-            test = test | F.contains(subject, F.lit(needle))
-        return test
+        return "(" + " OR ".join(f"contains({subject}, {sql_text(n)})" for n in self.needles) + ")"
+
+    def found_in(self, text: str) -> str:
+        """SQL test for the rule's pattern."""
+        return f"({text} RLIKE {sql_text(self.java)})"
 
 
 @dataclass(frozen=True)

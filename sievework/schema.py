@@ -51,6 +51,11 @@ FACT_TYPES = {
 FACT = "struct<" + ",".join(f"{k}:{t}" for k, t in FACT_TYPES.items()) + ">"
 
 
+def sql_text(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def fact(**fields) -> Column:
     """A FACT struct; columns not given are NULL."""
     cols = []
