@@ -23,6 +23,7 @@ from sievework.operators.lines import (
 )
 from sievework.plans import report
 from sievework.plans.audit import AuditInputs, audit
+from sievework.plans.scale import stage
 from sievework.rules import (
     CONFIG_EXTENSIONS,
     EXTENSIONS,
@@ -330,8 +331,8 @@ def q_dups(spark, sf):
 
 
 def q_dup_sites(spark, sf):
-    functions = op.text_blocks(inputs.documents(spark, sf))
-    sites = op.duplicate_sites(functions, op.duplicate_groups(functions))
+    functions = stage(op.text_blocks(inputs.documents(spark, sf)), "functions")
+    sites = op.duplicate_sites(functions, op.duplicate_groups(functions, staged=False))
     return sites.select("project", "path", "fp", "copies", "cross_project")
 
 

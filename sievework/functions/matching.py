@@ -7,10 +7,12 @@ from ..schema import sql_text
 
 # A control character marks where a match starts; the same character in the text
 # is first replaced by its neighbour, which no pattern tells apart from it.
-MARK, STAND_IN = "\\u0001", "\\u0002"
+MARK, STAND_IN, ANCHOR = "\\u0001", "\\u0002", "\\u0003"
 
 
-def matched_lines(text: str, pattern: str, item: str, group: int = 0, possible: str = "true") -> str:
+def matched_lines(
+    text: str, pattern: str, item: str, group: int = 0, possible: str = "true", anchor: str = "", anchored: str = ""
+) -> str:
     """SQL for ``item`` over every non-overlapping match of ``pattern`` in column ``text``.
 
     ``item`` is a SQL expression over ``m.line`` (1-based) and ``m.found``. The
@@ -18,13 +20,19 @@ def matched_lines(text: str, pattern: str, item: str, group: int = 0, possible:
     not match gives NULL, after one pass over it at most.
 
     Each match start is marked, the text is cut into lines, and every line yields its
-    number once per mark: linear in the text, with no running sums.
+    number once per mark: linear in the text, with no running sums. With ``anchor``,
+    its matches are marked beforehand and ``anchored`` is searched instead.
     """
-    regex = sql_text(java_pattern(pattern))
+    regex, test = sql_text(java_pattern(pattern)), sql_text(java_pattern(anchor or pattern))
     safe = f"replace({text}, '{MARK}', '{STAND_IN}')"
+    if anchor:
+        regex = sql_text(java_pattern(anchored))
+        safe = f"regexp_replace(replace({safe}, '{ANCHOR}', '{STAND_IN}'), {test}, '{ANCHOR}$0')"
     marked = f"split(regexp_replace({safe}, {regex}, '{MARK}$0'), '\\n')"
     marks = f"length(l) - length(replace(l, '{MARK}', ''))"
     numbers = f"flatten(transform({marked}, (l, i) -> array_repeat(i + 1, {marks})))"
     found = f"regexp_extract_all({safe}, {regex}, {group})"
     pairs = f"transform(arrays_zip({numbers}, {found}), z -> named_struct('line', z.`0`, 'found', z.`1`))"
-    return f"IF({possible} AND {text} RLIKE {regex}, transform({pairs}, m -> {item}), NULL)"
+    if anchor:
+        pairs = f"transform({pairs}, a -> named_struct('line', a.line, 'found', replace(a.found, '{ANCHOR}', '')))"
+    return f"IF({possible} AND {text} RLIKE {test}, transform({pairs}, m -> {item}), NULL)"

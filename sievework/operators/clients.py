@@ -33,8 +33,13 @@ def _mentions(text: Column, needles) -> Column:
     return test
 
 
+def sets_up_client(text: Column, pattern: str = CLIENT_PATTERN) -> Column:
+    found = text.rlike(java_pattern(pattern))
+    return _mentions(text, CLIENT_NEEDLES) & found if pattern == CLIENT_PATTERN else found
+
+
 def client_facts(text: Column, pattern: str = CLIENT_PATTERN) -> Column:
-    return facts_when(text.rlike(java_pattern(pattern)), F.array(fact(kind="client")))
+    return facts_when(sets_up_client(text, pattern), F.array(fact(kind="client")))
 
 
 def wrapper_facts(text: Column) -> Column:
@@ -46,7 +51,7 @@ def wrapper_facts(text: Column) -> Column:
 
 def client_files(files: DataFrame, pattern: str = CLIENT_PATTERN) -> DataFrame:
     """Files (project, path) that set up a client."""
-    return files.where(F.col("content").rlike(java_pattern(pattern))).select("project", "path")
+    return files.where(sets_up_client(F.col("content"), pattern)).select("project", "path")
 
 
 def clients_per_project(clients: DataFrame, show: int = SPRAWL_SHOWN) -> DataFrame:

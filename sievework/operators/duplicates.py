@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_fingerprint
-from ..plans.scale import INLINE_LIMIT, bounded_lists
+from ..plans.scale import INLINE_LIMIT, bounded_lists, stage
 from ..schema import FINDING_COLUMNS, fact, facts_when, findings
 from .extract import js_facts, python_facts
 
@@ -72,13 +72,16 @@ def _site() -> Column:
     return F.struct("project", "path", "line", "name", "n_lines")
 
 
-def duplicate_groups(functions: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
+def duplicate_groups(functions: DataFrame, inline_limit: int = INLINE_LIMIT, staged: bool = True) -> DataFrame:
     """Groups of equal fingerprints: fp, n, cross_project, first site, and sites if few.
 
     Two copies make a group; copies inside one file need to be three. Whether a
     group spans files or projects is read off the smallest and largest site, so no
-    group is ever gathered for that.
+    group is ever gathered for that. The fingerprints are staged first, so that the
+    text behind them is read once; ``staged=False`` is for a table of them.
     """
+    if staged:
+        functions = stage(functions.select(*FUNCTION_COLUMNS), "functions")
     place = F.struct("project", "path")
     stats = [
         F.min(place).alias("low"),

@@ -28,7 +28,10 @@ def pattern_matches(text: str, rule: Rule, number: int) -> Column:
     """Every non-overlapping match of one rule: array<MATCH>, NULL without any."""
     lowered = f"lower({text})" if rule.ignores_case else text
     item = f"named_struct('rule', {number}, 'line', m.line, 'found', m.found)"
-    return F.expr(matched_lines(text, rule.pattern, item, possible=rule.possible_in(text, lowered)))
+    possible = rule.possible_in(text, lowered)
+    return F.expr(
+        matched_lines(text, rule.pattern, item, possible=possible, anchor=rule.anchor, anchored=rule.anchored)
+    )
 
 
 def text_matches(text: str, rules: Sequence[Rule | LoopRule], lang: Column | None = None) -> Column:

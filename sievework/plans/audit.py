@@ -244,7 +244,7 @@ def _local(inputs: AuditInputs, check: str) -> DataFrame:
 
 
 def duplicate_code(inputs: AuditInputs) -> DataFrame:
-    groups = dups.duplicate_groups(dups.functions_from(inputs.facts), inputs.inline_limit)
+    groups = dups.duplicate_groups(dups.functions_from(inputs.facts), inputs.inline_limit, staged=False)
     return _local(inputs, "duplicate_code").unionByName(dups.duplicate_findings(groups))
 
 

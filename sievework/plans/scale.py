@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 # A list shown inside one row may hold this many entries; longer ones stay a table.
 INLINE_LIMIT = 1_000
-SALTS = 8
+HEAVY_GROUPS = 10_000
 # A table is only broadcast after it was found to have no more rows than this.
 SMALL_ROWS = 200_000
 
@@ -64,27 +64,28 @@ def bounded_lists(
     stats: Sequence[Column],
     having: Column,
     limit: int = INLINE_LIMIT,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """One row per group: its statistics, and its sorted members if they are few.
+    """One row per group: ``n``, its statistics, and its sorted members if they are few.
 
-    The statistics come from a hash aggregation with partial results, so a group of
-    any size costs one row per task. ``items`` is filled for groups of up to
-    ``limit`` rows and NULL for larger ones, whose members stay rows of the input.
-    Rows reach their group through a salted join, so a group that is about to be
-    left out does not pile up in one task either.
+    ``rows`` is read more than once, so it should be a table, not an extraction.
+    The statistics come from an aggregation with partial results: a group of any size
+    costs one row per task. ``items`` is filled for groups of up to ``limit`` rows and
+    NULL for larger ones, whose members stay rows of the input. The largest groups
+    are taken out before anything else moves. As at most ``HEAVY_GROUPS`` can each
+    hold more than one part in ``HEAVY_GROUPS`` of all rows, that list is small, and no
+    group that is left can fill a task.
     """
     keys = list(keys)
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats).where(having)
-    wanted = groups.where(F.col("n") <= limit).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")
-    )
-    members = rows.select(*keys, item.alias("__item")).withColumn(
-        "__salt", F.pmod(F.xxhash64("__item"), F.lit(salts)).cast("int")
-    )
+    names = [c for c in groups.columns if c not in keys]
+    heavy = groups.where(F.col("n") > limit).orderBy(F.desc("n")).limit(HEAVY_GROUPS).select(*keys)
+    members = rows.select(*keys, item.alias("__item")).join(F.broadcast(heavy), keys, "left_anti")
+    small = groups.where(F.col("n") <= limit).select(*keys, F.struct(*names).alias("__group"))
     listed = (
-        members.join(wanted, [*keys, "__salt"])
+        members.join(small, keys)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("__item")).alias("items"))
+        .agg(F.first("__group").alias("__group"), F.array_sort(F.collect_list("__item")).alias("items"))
+        .select(*keys, "__group.*", "items")
     )
-    return groups.join(listed, keys, "left")
+    large = groups.where(F.col("n") > limit)
+    return listed.unionByName(large, allowMissingColumns=True)

@@ -29,6 +29,11 @@ class Rule:
     lower case when ``pattern`` ignores case); ``gate`` is a cheap pattern that
     finds something in every text the rule matches. They only save work: a file
     without them skips the rule's real pattern.
+
+    ``anchor`` and ``anchored`` replace a pattern that would try its whole tail at
+    every step of its head, which one very long line can make endless. The points
+    where the tail fits are marked first (``anchor``, in one pass); ``anchored`` is
+    the pattern with the mark character in it and finds the same matches.
     """
 
     pattern: str
@@ -37,6 +42,8 @@ class Rule:
     lang: str = "any"
     needles: tuple[str, ...] = ()
     gate: str = ""
+    anchor: str = ""
+    anchored: str = ""
 
     @property
     def ignores_case(self) -> bool:
@@ -79,7 +86,7 @@ def java_pattern(pattern: str) -> str:
     """Write a pattern so that Java matches what the usual rule authors mean.
 
     ``.`` stops at newlines only, ``\\w`` ``\\s`` ``\\d`` cover Unicode, and
-    ``(?i)`` folds Unicode case.
+    ``(?i)`` folds the case of whatever letters the pattern holds.
     """
     out, i, in_class = [], 0, False
     classes = {"w": WORD, "s": SPACE, "d": r"\p{Nd}"}
@@ -106,7 +113,12 @@ def java_pattern(pattern: str) -> str:
             in_class = False
         out.append(ch)
         i += 1
-    flags = "(?diu)" if body != pattern else "(?d)"
+    if body == pattern:
+        flags = "(?d)"
+    else:
+        # Unicode case folding costs time and changes nothing about ASCII patterns
+        # except for two compatibility letters (long s, Kelvin sign).
+        flags = "(?di)" if pattern.isascii() else "(?diu)"
     return flags + "".join(out)
 
 
@@ -276,6 +288,8 @@ N_PLUS_1_RULES = [
         "warning",
         lang="javascript",
         needles=("await",),
+        anchor=r"\)(?=\s*\{[\s\S]{0,500}?await\s+.*\.(?:select|from|query|execute|findOne|findMany|find)\s*\()",
+        anchored=r"(?:for|while)\s*\(.+\x03\)\s*\{[\s\S]*?await\s+.*\.(?:select|from|query|execute|findOne|findMany|find)\s*\(",
     ),
     Rule(
         r"(?:for|while|\.forEach|\.map)\s*[\(\{][\s\S]{0,300}?supabase[\s\S]{0,100}?\.select\s*\(",

@@ -82,3 +82,27 @@ def test_loop_over_many_lines_does_not_overflow(files):
 def test_performance_scan_does_not_shuffle(files):
     plan = op.multiline_scan(files(("p", "a.py", "x")), PERFORMANCE_RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_anchored_rule_agrees_with_its_pattern(files):
+    rule = N_PLUS_1_RULES[0]
+    parts = ["for (x of y)", "while(a)(b) {", "{", ") {", "await db.find(x)", "\n", " ", "await q\x03.x.select (", "for()"]
+    texts, state = [], 11
+    for _ in range(60):
+        pieces = []
+        for _ in range(14):
+            state = (state * 1103515245 + 12345) % 2**31
+            pieces.append(parts[(state >> 8) % len(parts)])
+        texts.append("".join(pieces) + ("z" * 490 + "await a.find(" if len(texts) % 3 else ""))
+    got = op.multiline_scan(files(*[("p", f"{i}.js", t) for i, t in enumerate(texts)]), [rule]).collect()
+    expected = sorted(
+        (f"p/{i}.js", t[: m.start()].count("\n") + 1, m.group(0)[:200].replace("\n", " | ").replace("\x03", "\x02"))
+        for i, t in enumerate(texts)
+        for m in re.finditer(rule.pattern, t)
+    )
+    assert sorted((r.file, r.line, r.snippet) for r in got) == expected and expected
+
+
+def test_anchored_rule_copes_with_one_very_long_line(files):
+    text = "for(a){b(c){d}" * 20_000 + "await q.find("
+    assert op.multiline_scan(files(("p", "a.js", text)), N_PLUS_1_RULES[:1]).count() == 1
