@@ -453,6 +453,11 @@ def found(spark: SparkSession, sf: str) -> DataFrame:
     return audit(audit_inputs(spark, sf))
 
 
+def found_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings as a table, for reports that read them more than once."""
+    return stage(found(spark, sf), "findings")
+
+
 def scanned(spark: SparkSession, sf: str) -> DataFrame:
     files = audit_files(spark, sf)
     return present_projects(files, audit_projects(files))
@@ -483,23 +488,23 @@ def q_gate(spark, sf):
 
 
 def q_head(spark, sf):
-    head = report.head_findings(found(spark, sf))
+    head = report.head_findings(found_once(spark, sf))
     return head.select(
         "project", "check", F.col("rank").cast("bigint").alias("rank"), "severity", "file", "message", "more"
     )
 
 
 def q_critical(spark, sf):
-    top = report.critical_top(found(spark, sf))
+    top = report.critical_top(found_once(spark, sf))
     return top.select("project", "file", F.col("line").cast("bigint").alias("line"), "check", "message", "more")
 
 
 def q_alert(spark, sf):
-    return report.alert_lines(found(spark, sf), RUN_DATE)
+    return report.alert_lines(found_once(spark, sf), RUN_DATE)
 
 
 def q_digest(spark, sf):
-    rows = found(spark, sf)
+    rows = found_once(spark, sf)
     projects = scanned(spark, sf)
     summary = report.project_summary(rows, projects)
     return report.digest_lines(rows, summary, report.report_totals(rows, projects), RUN_DATE)
