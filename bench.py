@@ -18,7 +18,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from catalog.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "q_audit",
     "q_secret",
     "q_first",
     "q_groups",
@@ -35,6 +34,7 @@ HEADLINE = [
     "q_redact",
     "q_stale",
     "q_drift",
+    "q_audit",
 ]
 
 

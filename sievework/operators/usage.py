@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import matched_lines
 from ..functions.text import in_basenames, strip
+from ..plans.scale import salted_anti
 from ..rules import (
     EXPORT_PATTERN,
     FRAMEWORK_BASENAMES,
@@ -86,13 +87,13 @@ def unimported(
 ) -> DataFrame:
     """Export sites whose name no file of the project imports.
 
-    Imports are reduced to distinct names before they move; the anti-join keeps the
-    export side splittable, so one project with most rows is not one task.
+    One project, or one name in it, may hold a large part of the exports: they are
+    spread over tasks by their site.
     """
     candidates = exports.where(
         ~F.col("name").isin(list(framework_names)) & ~in_basenames("path", framework_files)
     )
-    return candidates.join(imports.select("project", "name").distinct(), ["project", "name"], "left_anti")
+    return salted_anti(candidates, imports, ["project", "name"], spread_by=["path", "line"])
 
 
 def unused_export_findings(sites: DataFrame) -> DataFrame:
@@ -189,12 +190,14 @@ def definition_facts(py: Column) -> Column:
 def uncalled(definitions: DataFrame, calls: DataFrame) -> DataFrame:
     """Definitions whose name nothing in their project calls.
 
-    The definitions left after the in-file test are few, so the calls are first cut
-    down to names that occur among them.
+    Calls are made distinct before anything else: a name that every file of a large
+    project calls is then one row. As the definitions left after the in-file test are
+    few, the calls are next cut down to names that occur among them.
     """
-    wanted = definitions.select("project", "name").distinct()
-    relevant = calls.select("project", "name").join(wanted, ["project", "name"], "left_semi").distinct()
-    return definitions.join(relevant, ["project", "name"], "left_anti")
+    keys = ["project", "name"]
+    wanted = definitions.select(*keys).distinct()
+    relevant = calls.select(*keys).distinct().join(wanted, keys, "left_semi")
+    return salted_anti(definitions, relevant, keys, spread_by=["path", "line"])
 
 
 def unused_function_findings(sites: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 # A list shown inside one row may hold this many entries; longer ones stay a table.
 INLINE_LIMIT = 1_000
 HEAVY_GROUPS = 10_000
+SALTS = 8
 # A table is only broadcast after it was found to have no more rows than this.
 SMALL_ROWS = 200_000
 
@@ -57,6 +58,24 @@ def stage(df: DataFrame, name: str, rebalance: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_anti(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], salts: int = SALTS
+) -> DataFrame:
+    """Rows of ``left`` whose keys are not in ``right``, with hot keys spread over tasks.
+
+    The right side is reduced to distinct keys, which partial aggregation keeps to one
+    row per key and task. Each left row takes one of ``salts`` places by its
+    ``spread_by`` columns; the few distinct right rows are repeated for each place.
+    Both sides then meet straight after their shuffle, so adaptive execution can split
+    a place that is still too large.
+    """
+    keys = list(keys)
+    place = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    places = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    known = right.select(*keys).distinct().select(*keys, places.alias("__place"))
+    return left.withColumn("__place", place).join(known, [*keys, "__place"], "left_anti").drop("__place")
+
+
 def bounded_lists(
     rows: DataFrame,
     keys: Sequence[str],
@@ -67,8 +86,8 @@ def bounded_lists(
 ) -> DataFrame:
     """One row per group: ``n``, its statistics, and its sorted members if they are few.
 
-    ``rows`` is read more than once, so it should be a table, not an extraction.
-    The statistics come from an aggregation with partial results: a group of any size
+    ``rows`` is read twice, so it should be a table, not an extraction; the groups,
+    which are needed three times, are staged. The statistics come from an aggregation with partial results: a group of any size
     costs one row per task. ``items`` is filled for groups of up to ``limit`` rows and
     NULL for larger ones, whose members stay rows of the input. The largest groups
     are taken out before anything else moves. As at most ``HEAVY_GROUPS`` can each
@@ -76,7 +95,7 @@ def bounded_lists(
     group that is left can fill a task.
     """
     keys = list(keys)
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats).where(having)
+    groups = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats).where(having), "groups")
     names = [c for c in groups.columns if c not in keys]
     heavy = groups.where(F.col("n") > limit).orderBy(F.desc("n")).limit(HEAVY_GROUPS).select(*keys)
     members = rows.select(*keys, item.alias("__item")).join(F.broadcast(heavy), keys, "left_anti")
