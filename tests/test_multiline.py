@@ -64,15 +64,18 @@ def test_loop_search_resumes_after_a_hit(files):
 def test_loop_agrees_with_the_pattern_it_stands_for(files):
     pattern = r"(?:for|while)\s+.+:\s*\n(?:\s+.*\n)*?\s+.*\.(?:execute|fetchone|fetchall|select|from_|query)\s*\("
     parts = ["for x in y:", "    while z:", "    a = 1", "", "b = 2", "    q.select(1)", "  # wait for", "x:"]
-    state = 7
+    texts, state = [], 7
     for _ in range(40):
         text = []
         for _ in range(9):
             state = (state * 1103515245 + 12345) % 2**31
             text.append(parts[(state >> 8) % len(parts)])
-        text = "\n".join(text)
-        expected = [text[: m.start()].count("\n") + 1 for m in re.finditer(pattern, text)]
-        assert [n for n, _ in loops(files, text)] == expected, text
+        texts.append("\n".join(text))
+    got = op.loop_scan(files(*[("p", f"{i}.py", t) for i, t in enumerate(texts)]), LOOP_RULES[:1]).collect()
+    expected = sorted(
+        (f"p/{i}.py", t[: m.start()].count("\n") + 1) for i, t in enumerate(texts) for m in re.finditer(pattern, t)
+    )
+    assert sorted((r.file, r.line) for r in got) == expected and expected
 
 
 def test_loop_over_many_lines_does_not_overflow(files):
