@@ -95,9 +95,11 @@ def _spans(data: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def word_hashes(column: pa.Array, shapes: bool = False):
+def word_hashes(column: pa.Array, shapes: bool = False, tails: bool = False):
     """(offsets, hashes) of the words of each row; with ``shapes`` also shape hashes.
 
+    With ``tails``, the last two bytes of each word, A-Z as a-z, as one number instead.
+
     The words of row i are ``hashes[offsets[i]:offsets[i + 1]]``. A shape is the word
     with letters, capitals, digits and each other ASCII sign as classes, runs as one.
     """
@@ -113,7 +115,11 @@ def word_hashes(column: pa.Array, shapes: bool = False):
             continue
         found.append(_range_hash(_VALUE_LOWER[part], first, last, power, inverse))
         starts.append(first + lo)
-        if shapes:
+        if tails:
+            low = _LOWER[part].astype(np.int64)
+            before = np.where(last - 2 >= first, low[np.maximum(last - 2, 0)], 0)
+            shape_found.append(low[last - 1] * 256 + before)
+        elif shapes:
             kind = _SHAPE[part]
             new = np.ones(len(part), bool)
             new[1:] = (kind[1:] != kind[:-1]) | row_start[lo + 1 : hi]
@@ -124,8 +130,8 @@ def word_hashes(column: pa.Array, shapes: bool = False):
     hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
     begins = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     offsets = np.searchsorted(begins, at).astype(np.int64)
-    if shapes:
-        return offsets, hashes, np.concatenate(shape_found) if shape_found else np.zeros(0, np.uint64)
+    if shapes or tails:
+        return offsets, hashes, np.concatenate(shape_found) if shape_found else np.zeros(0, np.int64)
     return offsets, hashes
 
 

@@ -57,7 +57,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = _rows(np.diff(at))
     repeats = np.zeros(len(word), bool)
     repeats[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-    shape = mix(shape ^ _C) + repeats.astype(np.uint64)
+    shape = mix(shape.astype(np.uint64) ^ _C) + repeats.astype(np.uint64)
     words = [(word, row), _pairs(word, row)]
     shapes = [(shape, row), _pairs(shape, row)]
     parts = []
