@@ -87,5 +87,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in list(globals().items()) if name.startswith("op") and "_" in name
 }
-
-ORACLE: dict[str, str] = {}
