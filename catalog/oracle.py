@@ -380,13 +380,17 @@ def mismatch_sql(versions: str) -> str:
         "SELECT "
         + row(
             "'warning'", "'architecture_review'",
-            "'Version mismatch for ''' || name || ''': ' || string_agg(project || '=' || version, ', ' ORDER BY project, version)",
+            "'Version mismatch for ''' || name || ''': ' || CAST(count(DISTINCT version) AS VARCHAR) || ' versions in ' || "
+            "CAST(count(*) AS VARCHAR) || ' projects, from ' || min(version) || ' to ' || max(version)",
             file="'(cross-project)'", project="''",
         )
         + f" FROM {versions} GROUP BY name HAVING count(*) >= 2 AND min(version) <> max(version)"
     )
 
 
+PART_VERSIONS = "WITH v AS (SELECT p_brand AS project, p_name AS name, min(p_type) AS version FROM part GROUP BY ALL)\n"
+
+
 # --- layout ----------------------------------------------------------------
 
 
@@ -473,8 +477,8 @@ def dups_sql(files: str, path: str, lang: str) -> str:
             "CASE WHEN count(DISTINCT project) > 1 THEN 'warning' ELSE 'info' END",
             "'duplicate_code'",
             "'Duplicate function structure found in ' || CAST(count(*) AS VARCHAR) || ' locations' || "
-            "CASE WHEN count(DISTINCT project) > 1 THEN ' (CROSS-PROJECT)' ELSE '' END || ':' || chr(10) || "
-            f"string_agg('  ' || {place} || ':1 -> ' || fn || '() (' || CAST(n AS VARCHAR) || ' lines)', chr(10) ORDER BY project, path)",
+            "CASE WHEN count(DISTINCT project) > 1 THEN ' (CROSS-PROJECT)' ELSE '' END || ', first: ' || "
+            f"arg_min({place} || ':1 -> ' || fn || '() (' || CAST(n AS VARCHAR) || ' lines)', (project, path))",
             file=f"arg_min({place}, (project, path))",
             line="1",
             project="''",
@@ -503,8 +507,7 @@ def sprawl_global_sql(files: str) -> str:
         "SELECT "
         + row(
             "'warning'", "'architecture_review'",
-            "'Supabase client initialized in ' || CAST(sum(n) AS VARCHAR) || ' files across ' || CAST(count(*) AS VARCHAR) || ' projects (' || "
-            "string_agg(project || '(' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY project) || ') -- consider a shared client package'",
+            "'Supabase client initialized in ' || CAST(sum(n) AS VARCHAR) || ' files across ' || CAST(count(*) AS VARCHAR) || ' projects -- consider a shared client package'",
             file="'(cross-project)'", project="''",
         )
         + f" FROM (SELECT project, count(*) AS n FROM {files} WHERE {matches('content', R.CLIENT_PATTERN)} GROUP BY project)"
@@ -743,7 +746,7 @@ ORACLE = {
     "q_reqs": query("SELECT project, name, version, pos FROM reqs", *DEPS),
     "q_unpinned": query(unpinned_sql(), *DEPS),
     "q_tracked": query("SELECT project, name, version FROM tracked", *DEPS, TRACKED),
-    "q_dups": query("SELECT fp, n, cross_project, file, n AS listed FROM groups", DOC_GROUPS),
+    "q_dups": query("SELECT fp, n, cross_project, file FROM groups", DOC_GROUPS),
     "q_dup_sites": query(
         "SELECT project, path, fp, n AS copies, cross_project FROM shaped JOIN groups USING (fp)", DOC_GROUPS
     ),
@@ -751,10 +754,14 @@ ORACLE = {
     "q_dups_js": query(dups_sql("code", "src/dup.js", "js")),
     "q_sprawl": query(sprawl_sql("doc", LICENSE_PATTERN, 2)),
     "q_sprawl_global": query(sprawl_global_sql("code")),
+    "q_sprawl_counts": query(
+        f"SELECT project, count(*) AS n_files FROM code WHERE {matches('content', R.CLIENT_PATTERN)} GROUP BY project"
+    ),
     "q_wrappers": query(wrappers_sql("code")),
     "q_wrapper_global": query(wrapper_global_sql("code")),
-    "q_mismatch": "WITH v AS (SELECT p_brand AS project, p_name AS name, min(p_type) AS version FROM part GROUP BY ALL)\n"
-    + mismatch_sql("v"),
+    "q_mismatch": PART_VERSIONS + mismatch_sql("v"),
+    "q_mismatch_versions": PART_VERSIONS
+    + "SELECT name, project, version FROM v WHERE name IN (SELECT name FROM v GROUP BY name HAVING count(DISTINCT version) > 1)",
     "q_stale": STALE_ORDERS,
     "q_stale_code": query(stale_sql("code")),
     "q_drift": DRIFT,

@@ -321,7 +321,6 @@ def _groups(functions: DataFrame, with_fp: bool) -> DataFrame:
         "n",
         "cross_project",
         F.concat_ws("/", "site.project", "site.path").alias("file"),
-        F.size("items").cast("bigint").alias("listed"),
     )
     return shown
 
@@ -332,7 +331,7 @@ def q_dups(spark, sf):
 
 def q_dup_sites(spark, sf):
     functions = stage(op.text_blocks(inputs.documents(spark, sf)), "functions")
-    sites = op.duplicate_sites(functions, op.duplicate_groups(functions, staged=False))
+    sites = op.duplicate_sites(functions, op.duplicate_groups(functions))
     return sites.select("project", "path", "fp", "copies", "cross_project")
 
 
@@ -350,7 +349,11 @@ def q_sprawl(spark, sf):
 
 def q_sprawl_global(spark, sf):
     counts = clients_per_project(client_files(inputs.code(spark, sf))).select("project", "n_files")
-    return plain(op.sprawl_global(counts, inline_limit=100_000))
+    return plain(op.sprawl_global(counts))
+
+
+def q_sprawl_counts(spark, sf):
+    return clients_per_project(client_files(inputs.code(spark, sf))).select("project", "n_files")
 
 
 def q_wrappers(spark, sf):
@@ -361,13 +364,21 @@ def q_wrapper_global(spark, sf):
     return plain(op.wrapper_global(op.wrappers(inputs.code(spark, sf))))
 
 
-def q_mismatch(spark, sf):
-    """Part names whose type differs between brands: one type per brand and name."""
+def _part_versions(spark, sf):
+    """One type per brand and part name, as versions of packages in projects."""
     part = inputs.read(spark, sf, "part")
-    versions = part.groupBy(F.col("p_brand").alias("project"), F.col("p_name").alias("name")).agg(
+    return part.groupBy(F.col("p_brand").alias("project"), F.col("p_name").alias("name")).agg(
         F.min("p_type").alias("version")
     )
-    return plain(op.version_mismatch(versions))
+
+
+def q_mismatch(spark, sf):
+    """Part names whose type differs between brands."""
+    return plain(op.version_mismatch(_part_versions(spark, sf)))
+
+
+def q_mismatch_versions(spark, sf):
+    return op.mismatch_versions(_part_versions(spark, sf))
 
 
 # --- ages and drift --------------------------------------------------------
@@ -445,7 +456,6 @@ def audit_inputs(spark: SparkSession, sf: str) -> AuditInputs:
         audit_projects(files),
         inputs.as_of(),
         secret_rules=[*SECRET_RULES, USER_SECRET],
-        inline_limit=100_000,
     )
 
 

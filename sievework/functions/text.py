@@ -119,13 +119,16 @@ def clean_version(version: str | Column) -> Column:
 
 
 def parse_version(version: str | Column) -> Column:
-    """Leading one to three dotted integers as an array, NULL without any."""
+    """Leading one to three dotted integers as an array, NULL without any.
+
+    A part too long for a number counts as the largest, so that later parts keep their
+    places.
+    """
     cleaned = clean_version(version)
     number = r"\A(\d+)(?:\.(\d+))?(?:\.(\d+))?"
-    parts = F.filter(
-        F.array(*[F.regexp_extract(cleaned, number, g).try_cast("int") for g in (1, 2, 3)]),
-        lambda p: p.isNotNull(),
-    )
+    texts = F.filter(F.array(*[F.regexp_extract(cleaned, number, g) for g in (1, 2, 3)]), lambda p: p != "")
+    most = F.lit((1 << 63) - 1)
+    parts = F.transform(texts, lambda p: F.coalesce(p.try_cast("bigint"), most))
     return F.when(F.size(parts) > 0, parts)
 
 

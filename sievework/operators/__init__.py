@@ -8,6 +8,7 @@ from .dependencies import (
     js_manifest,
     lockfile_check,
     manifest_findings,
+    mismatch_versions,
     missing_key,
     pre_release,
     py_requirements,

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.scale import INLINE_LIMIT
 from ..rules import (
     CLIENT_PATTERN,
     SPRAWL_FILES,
@@ -96,34 +95,21 @@ def sprawl(
 
 
 def sprawl_global(
-    clients: DataFrame,
-    min_total: int = SPRAWL_TOTAL,
-    min_projects: int = SPRAWL_PROJECTS,
-    inline_limit: int = INLINE_LIMIT,
+    clients: DataFrame, min_total: int = SPRAWL_TOTAL, min_projects: int = SPRAWL_PROJECTS
 ) -> DataFrame:
     """One finding when many files across projects set up the client.
 
-    ``clients`` holds one row per file, or is already counted (project, n_files).
-    Projects are listed with their counts while the list fits into one row.
+    ``clients`` holds one row per file, or is already counted (project, n_files); the
+    counts per project are the rows of :func:`clients_per_project`.
     """
     counts = clients
     if "n_files" not in clients.columns:
         counts = clients.groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
-    one = F.lit(1).alias("one")
-    total = counts.groupBy(one).agg(
-        F.sum("n_files").alias("total"), F.count(F.lit(1)).alias("projects")
-    ).where((F.col("total") > min_total) & (F.col("projects") > min_projects))
-    # At most limit + 1 rows reach the list, so a long list is recognised, not gathered.
-    head = counts.orderBy("project").limit(inline_limit + 1).groupBy(one).agg(
-        F.array_sort(F.collect_list(F.struct("project", "n_files"))).alias("items")
+    total = counts.agg(F.sum("n_files").alias("total"), F.count(F.lit(1)).alias("projects")).where(
+        (F.col("total") > min_total) & (F.col("projects") > min_projects)
     )
-    listed = F.array_join(
-        F.transform("items", lambda i: F.concat(i["project"], F.lit("("), i["n_files"].cast("string"), F.lit(")"))),
-        ", ",
-    )
-    shown = F.when(F.col("projects") <= inline_limit, F.concat(F.lit(" ("), listed, F.lit(")"))).otherwise(F.lit(""))
     return findings(
-        total.join(head, "one"),
+        total,
         check=CHECK,
         project=F.lit(None),
         severity="warning",
@@ -133,9 +119,7 @@ def sprawl_global(
             F.col("total").cast("string"),
             F.lit(" files across "),
             F.col("projects").cast("string"),
-            F.lit(" projects"),
-            shown,
-            F.lit(" -- consider a shared client package"),
+            F.lit(" projects -- consider a shared client package"),
         ),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import age_days, clean_version, parse_version, strip
-from ..plans.scale import INLINE_LIMIT, bounded_lists, small_side
+from ..plans.scale import small_side
 from ..rules import ADVISORIES, LOCKFILE_DAYS, PRE_RELEASE_EXEMPT, TRACKED_PACKAGES
 from ..schema import findings
 
@@ -25,8 +25,10 @@ def js_manifest(files: DataFrame) -> DataFrame:
     """One row per root ``package.json``: validity, dependency maps, top-level keys.
 
     The text is wrapped in a list before parsing so that anything after the first
-    JSON value makes it invalid. Later sections override earlier ones in ``deps``.
+    JSON value makes it invalid. Later sections override earlier ones in ``deps``, and of
+    a repeated key the last value counts.
     """
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     doc = F.expr("try_parse_json(concat('[', content, ']'))")
     parsed = files.where((F.col("path") == JS_MANIFEST) & (F.length("content") > 0)).select(
         "project", doc.alias("doc")
@@ -300,31 +302,49 @@ def tracked_versions(files: DataFrame, tracked: Sequence[str] = tuple(TRACKED_PA
     )
 
 
-def version_mismatch(versions: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Packages that projects use in different versions (compared as written).
+def mismatched(versions: DataFrame) -> DataFrame:
+    """(name, projects, versions, low, high) of packages used in more than one version.
 
-    ``versions`` has one row per (project, name). The details are listed while they
-    fit into one row; the projects behind a longer list are rows of ``versions``.
+    ``versions`` has one row per (project, name). Equal versions are counted first, so a
+    package that all projects use costs one row per version and task.
     """
-    groups = bounded_lists(
-        versions,
-        ["name"],
-        item=F.struct("project", "version"),
-        stats=[F.min("version").alias("low"), F.max("version").alias("high")],
-        having=(F.col("n") >= 2) & (F.col("low") != F.col("high")),
-        limit=inline_limit,
-    )
-    details = F.array_join(
-        F.transform("items", lambda i: F.concat(i["project"], F.lit("="), i["version"])), ", "
+    per_version = versions.groupBy("name", "version").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        per_version.groupBy("name")
+        .agg(
+            F.sum("n").alias("projects"),
+            F.count(F.lit(1)).alias("versions"),
+            F.min("version").alias("low"),
+            F.max("version").alias("high"),
+        )
+        .where(F.col("versions") > 1)
     )
-    many = F.concat(F.col("n").cast("string"), F.lit(" projects from "), F.col("low"), F.lit(" to "), F.col("high"))
+
+
+def mismatch_versions(versions: DataFrame) -> DataFrame:
+    """The projects and versions behind every mismatch: (name, project, version)."""
+    names = mismatched(versions).select("name")
+    return versions.join(names, "name", "left_semi").select("name", "project", "version")
+
+
+def version_mismatch(versions: DataFrame) -> DataFrame:
+    """Packages that projects use in different versions (compared as written)."""
     return findings(
-        groups,
+        mismatched(versions),
         check="architecture_review",
         project=F.lit(None),
         severity="warning",
         file="(cross-project)",
         message=F.concat(
-            F.lit("Version mismatch for '"), F.col("name"), F.lit("': "), F.coalesce(details, many)
+            F.lit("Version mismatch for '"),
+            F.col("name"),
+            F.lit("': "),
+            F.col("versions").cast("string"),
+            F.lit(" versions in "),
+            F.col("projects").cast("string"),
+            F.lit(" projects, from "),
+            F.col("low"),
+            F.lit(" to "),
+            F.col("high"),
         ),
     )

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_fingerprint
-from ..plans.scale import INLINE_LIMIT, bounded_lists, stage
 from ..schema import FINDING_COLUMNS, fact, facts_when, findings
-from .extract import js_facts, python_facts
+from .extract import js_facts, python_facts, small_batches
 
 CHECK = "duplicate_code"
 FUNCTION_COLUMNS = ["project", "path", "name", "line", "fp", "n_lines"]
@@ -39,6 +38,7 @@ def functions_from(facts: DataFrame) -> DataFrame:
 
 def py_functions(files: DataFrame) -> DataFrame:
     """Functions of Python files with a structural fingerprint."""
+    small_batches(files.sparkSession)
     found = files.where(F.col("path").endswith(".py")).select(
         "project", "path", python_facts(F.col("content")).alias("py")
     )
@@ -48,6 +48,7 @@ def py_functions(files: DataFrame) -> DataFrame:
 
 def js_functions(files: DataFrame) -> DataFrame:
     """Named brace blocks of JavaScript and TypeScript files with a fingerprint."""
+    small_batches(files.sparkSession)
     found = files.where(F.col("path").rlike(r"\.(?:js|mjs|cjs|ts|tsx)\z")).select(
         "project", "path", js_facts(F.col("content")).alias("js")
     )
@@ -72,37 +73,24 @@ def _site() -> Column:
     return F.struct("project", "path", "line", "name", "n_lines")
 
 
-def duplicate_groups(functions: DataFrame, inline_limit: int = INLINE_LIMIT, staged: bool = True) -> DataFrame:
-    """Groups of equal fingerprints: fp, n, cross_project, first site, and sites if few.
+def duplicate_groups(functions: DataFrame) -> DataFrame:
+    """Groups of equal fingerprints: fp, n, cross_project and the first site.
 
     Two copies make a group; copies inside one file need to be three. Whether a
-    group spans files or projects is read off the smallest and largest site, so no
-    group is ever gathered for that. The fingerprints are staged first, so that the
-    text behind them is read once; ``staged=False`` is for a table of them.
+    group spans files or projects is read off the smallest and largest site, so one
+    aggregation with partial results is all, and no group is ever gathered. Its
+    members are the rows of :func:`duplicate_sites`.
     """
-    if staged:
-        functions = stage(functions.select(*FUNCTION_COLUMNS), "functions")
     place = F.struct("project", "path")
-    stats = [
+    groups = functions.groupBy("fp").agg(
+        F.count(F.lit(1)).alias("n"),
         F.min(place).alias("low"),
         F.max(place).alias("high"),
         F.min(_site()).alias("site"),
-    ]
-    spread = F.col("low") != F.col("high")
-    groups = bounded_lists(
-        functions,
-        ["fp"],
-        item=_site(),
-        stats=stats,
-        having=(F.col("n") >= 3) | ((F.col("n") == 2) & spread),
-        limit=inline_limit,
     )
-    return groups.select(
-        "fp",
-        "n",
-        (F.col("low.project") != F.col("high.project")).alias("cross_project"),
-        "site",
-        "items",
+    spread = F.col("low") != F.col("high")
+    return groups.where((F.col("n") >= 3) | ((F.col("n") == 2) & spread)).select(
+        "fp", "n", (F.col("low.project") != F.col("high.project")).alias("cross_project"), "site"
     )
 
 
@@ -115,19 +103,11 @@ def duplicate_sites(functions: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def duplicate_findings(groups: DataFrame) -> DataFrame:
-    """One finding per group, with all sites listed when they fit into one row."""
-    listed = F.transform(
-        F.col("items"),
-        lambda s: F.format_string("  %s/%s:%d -> %s() (%d lines)", s["project"], s["path"], s["line"], s["name"], s["n_lines"]),
+    """One finding per group, at its first site; the others are duplicate sites."""
+    first = F.format_string(
+        "%s/%s:%d -> %s() (%d lines)",
+        *[F.col(f"site.{c}") for c in ("project", "path", "line", "name", "n_lines")],
     )
-    head = F.concat(
-        F.lit("Duplicate function structure found in "),
-        F.col("n").cast("string"),
-        F.lit(" locations"),
-        F.when(F.col("cross_project"), F.lit(" (CROSS-PROJECT)")).otherwise(F.lit("")),
-        F.lit(":\n"),
-    )
-    elsewhere = F.concat(F.lit("  see the sites of group "), F.col("fp"))
     return findings(
         groups,
         check=CHECK,
@@ -135,7 +115,14 @@ def duplicate_findings(groups: DataFrame) -> DataFrame:
         severity=F.when(F.col("cross_project"), "warning").otherwise("info"),
         file=F.concat_ws("/", "site.project", "site.path"),
         line=F.col("site.line"),
-        message=F.concat(head, F.coalesce(F.array_join(listed, "\n"), elsewhere)),
+        message=F.concat(
+            F.lit("Duplicate function structure found in "),
+            F.col("n").cast("string"),
+            F.lit(" locations"),
+            F.when(F.col("cross_project"), F.lit(" (CROSS-PROJECT)")).otherwise(F.lit("")),
+            F.lit(", first: "),
+            first,
+        ),
     ).select(*FINDING_COLUMNS)
 
 

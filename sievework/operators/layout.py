@@ -121,15 +121,28 @@ def migration_path(path: Column, dirs: Sequence[str] = tuple(MIGRATION_DIRS)) ->
     return F.when(path.endswith(".sql"), F.nullif(F.regexp_extract(path, rf"\A(?:{inside})/(.+)\z", 1), F.lit("")))
 
 
+def index_tails(text: Column) -> Column:
+    """What follows each CREATE INDEX on its line, in lower case.
+
+    White space after ON, CREATE and UNIQUE may hold line ends; it becomes one space.
+    """
+    joined = F.regexp_replace(text, rf"(?diu)(?<=ON|CREATE|UNIQUE)[{SPACE}]+", " ")
+    tails = F.regexp_extract_all(joined, F.lit(r"(?diu)CREATE (?:UNIQUE )?INDEX([^\n]*)"), F.lit(1))
+    return F.transform(tails, F.lower)
+
+
 def unindexed_facts(text: Column) -> Column:
     """Foreign-key columns of a migration with no single-column index in the same file.
 
-    Everything is inside one file, so this is an anti-join of two small lists there.
+    Everything is inside one file, so this is an anti-join of two small lists there; names
+    are compared as text and never become part of a pattern.
     """
     pattern = F.lit(java_pattern(TABLE_PATTERN))
+    # Up to the last end of a table every head finds an end, so no search runs in vain.
+    closed = F.regexp_extract(text, r"\A([\s\S]*\);)", 1)
     tables = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"),
-        F.regexp_extract_all(text, pattern, F.lit(2)).alias("body"),
+        F.regexp_extract_all(closed, pattern, F.lit(1)).alias("name"),
+        F.regexp_extract_all(closed, pattern, F.lit(2)).alias("body"),
     )
     keys = F.flatten(
         F.transform(
@@ -140,17 +153,17 @@ def unindexed_facts(text: Column) -> Column:
             ),
         )
     )
-    gap = f"[{SPACE}]+"
+    indexes = index_tails(text)
 
     def indexed(key: Column) -> Column:
-        index = F.concat(
-            F.lit(rf"(?diu)CREATE{gap}(?:UNIQUE{gap})?INDEX.*ON{gap}\Q"),
-            key["table"],
-            F.lit(r"\E.*\(\Q"),
-            key["column"],
-            F.lit(r"\E\)"),
-        )
-        return F.rlike(text, index)
+        table = F.concat(F.lit("on "), F.lower(key["table"]))
+        column = F.concat(F.lit("("), F.lower(key["column"]), F.lit(")"))
+
+        def covers(tail: Column) -> Column:
+            at = F.position(table, tail)
+            return (at > 0) & (F.position(column, tail, at + F.length(table)) > 0)
+
+        return F.exists(indexes, covers)
 
     def lacking(key: Column) -> Column:
         message = F.concat(
@@ -163,7 +176,7 @@ def unindexed_facts(text: Column) -> Column:
         return fact(kind="finding", check="performance_lint", severity="warning", message=message)
 
     return F.when(
-        text.rlike(java_pattern(TABLE_PATTERN)), F.transform(F.filter(keys, lambda k: ~indexed(k)), lacking)
+        closed.rlike(java_pattern(TABLE_PATTERN)), F.transform(F.filter(keys, lambda k: ~indexed(k)), lacking)
     ).otherwise(no_facts())
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SNIPPET_LENGTH, downgraded, entropy, is_comment, redact, strip
@@ -25,8 +25,9 @@ from ..rules import (
     TEST_PATH_TOKENS,
     Rule,
     java_pattern,
+    valid_rules,
 )
-from ..schema import FINDING_COLUMNS, display_path, empty, sql_text
+from ..schema import FINDING_COLUMNS, display_path, empty, findings, sql_text
 
 HIT = "struct<severity:string,message:string>"
 MASK_BITS = 62
@@ -317,7 +318,7 @@ def secret_scan(
     min_entropy: float = MIN_ENTROPY,
     min_length: int = MIN_SECRET_LENGTH,
 ) -> DataFrame:
-    return line_scan(files, [secret_group(rules, min_entropy, min_length)])
+    return line_scan(files, [secret_group(valid_rules(files.sparkSession, rules), min_entropy, min_length)])
 
 
 def first_match_scan(
@@ -328,7 +329,22 @@ def first_match_scan(
     """First matching rule per line, independently for each named rule set."""
     if not isinstance(rule_sets, dict):
         rule_sets = {"rules": rule_sets}
-    return line_scan(files, [first_match_group(n, check, r) for n, r in rule_sets.items()])
+    spark = files.sparkSession
+    return line_scan(files, [first_match_group(n, check, valid_rules(spark, r)) for n, r in rule_sets.items()])
+
+
+def rule_errors(spark: SparkSession, rules: Sequence[Rule], check: str = "security_scan") -> DataFrame:
+    """One warning for every rule that is left out because its pattern doesn't compile."""
+    usable = valid_rules(spark, rules)
+    bad = [(r.pattern,) for r in rules if r not in usable]
+    return findings(
+        spark.createDataFrame(bad, "pattern string"),
+        check=check,
+        project=F.lit(None),
+        severity="warning",
+        file="(rules)",
+        message=F.concat(F.lit("Rule left out, its pattern is invalid: "), "pattern"),
+    ).select(*FINDING_COLUMNS)
 
 
 def downgrade(found: DataFrame, tokens: Sequence[str] = tuple(TEST_PATH_TOKENS)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import matched_lines
 from ..functions.text import file_lang, multiline_snippet, redact
-from ..rules import LOOP_RULES, PERFORMANCE_RULES, SPACE, LoopRule, Rule, java_pattern
+from ..rules import LOOP_RULES, PERFORMANCE_RULES, SPACE, LoopRule, Rule, java_pattern, valid_rules
 from ..schema import FINDING_COLUMNS, display_path, empty
 
 CHECK = "performance_lint"
@@ -153,18 +153,13 @@ def loop_matches(text: Column, rule: LoopRule, number: int) -> Column:
 
 
 def match_findings(files: DataFrame, rules: Sequence[Rule | LoopRule], lang: Column | None) -> DataFrame:
+    rules = [*valid_rules(files.sparkSession, rules)]
     matches = text_matches("content", rules, lang)
     rows = files.select("project", "path", F.inline(matches))
     columns = match_columns(F.col("rule"), F.col("found"), rules)
     return rows.withColumn("file", display_path()).withColumns(columns).select(*FINDING_COLUMNS)
 
 
-def finding_rows(files: DataFrame, facts: Column) -> DataFrame:
-    """Explode finding facts of a files table into findings."""
-    shown = files.select("project", "path", F.inline(facts))
-    return shown.withColumn("file", display_path()).select(*FINDING_COLUMNS)
-
-
 def multiline_scan(
     files: DataFrame, rules: Sequence[Rule | LoopRule] = tuple(PERFORMANCE_RULES), lang_col: str | None = None
 ) -> DataFrame:

@@ -15,12 +15,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import age_days, file_lang, has_suffix, in_basenames, normalise_newlines
+from ..functions.text import file_lang, has_suffix, in_basenames, normalise_newlines
 from ..operators import dependencies as deps
 from ..operators import duplicates as dups
 from ..operators import clients, layout, usage
-from ..operators.ages import stale_message, stale_severity
-from ..operators.extract import js_facts, python_facts
+from ..operators.ages import stale
+from ..operators.extract import js_facts, python_facts, small_batches
 from ..operators.lines import (
     LineGroup,
     any_mask,
@@ -31,6 +31,7 @@ from ..operators.lines import (
     mask_column,
     not_comment,
     prefix_group,
+    rule_errors,
     secret_group,
     sql_group,
     with_masks,
@@ -40,33 +41,35 @@ from ..operators.multiline import match_columns, text_matches
 from ..rules import (
     CONFIG_EXTENSIONS,
     EXTENSIONS,
-    MAX_FILE_SIZE,
     PERFORMANCE_RULES,
     PROJECT_CHECKS,
     SAFE_BASENAMES,
     SECRET_RULES,
-    STALE_DAYS,
     Rule,
+    valid_rules,
 )
 from ..schema import FACT_TYPES, FINDING_COLUMNS, display_path, fact, facts_when, no_facts
 from ..sources.filters import glob_lists, ignored_by
 from ..sources.registry import present_projects, select_projects
-from .scale import INLINE_LIMIT, stage
+from .scale import stage
 
 MANIFESTS = [deps.JS_MANIFEST, deps.PY_MANIFEST, layout.IGNORE_FILE]
 
 
 @dataclass
 class AuditInputs:
-    """Everything an audit reads."""
+    """Everything an audit reads.
+
+    Files of any size are checked, unless the caller sets ``max_size``; then each larger
+    file gives an info row instead.
+    """
 
     files: DataFrame
     projects: DataFrame
     as_of: Column
     secret_rules: Sequence[Rule] = tuple(SECRET_RULES)
     advisories: DataFrame | None = None
-    max_size: int = MAX_FILE_SIZE
-    inline_limit: int = INLINE_LIMIT
+    max_size: int | None = None
     strict: bool = False
     facts: DataFrame | None = field(default=None, repr=False)
 
@@ -95,7 +98,7 @@ class AuditInputs:
 def _line_groups(inputs: AuditInputs, checks: Sequence[str]) -> list[LineGroup]:
     groups = []
     if "security_scan" in checks:
-        groups += [prefix_group(), secret_group(inputs.secret_rules), insecure_group()]
+        groups += [prefix_group(), secret_group(valid_rules(inputs.files.sparkSession, inputs.secret_rules)), insecure_group()]
     if "performance_lint" in checks:
         groups += [error_group(), sql_group()]
     return groups
@@ -118,7 +121,8 @@ def classified(inputs: AuditInputs) -> DataFrame:
     )
     no_list = ~(speaks["python"] | speaks["javascript"] | speaks["typescript"])
     below = layout.migration_path(path)
-    text = F.when(F.col("size") <= inputs.max_size, normalise_newlines("content"))
+    fits = F.lit(True) if inputs.max_size is None else F.col("size") <= inputs.max_size
+    text = F.when(fits, normalise_newlines("content"))
     flagged = files.withColumns(
         {
             "visible": ~F.coalesce(ignored_by(path, F.col("globs"), lists), F.lit(False)),
@@ -131,12 +135,13 @@ def classified(inputs: AuditInputs) -> DataFrame:
         }
     )
     used = F.col("manifest") | F.col("migration") | (F.col("visible") & (F.col("listed") | F.col("config")))
-    return flagged.withColumn("content", F.when(used, text)).drop("languages", "globs")
+    return flagged.withColumns({"content": F.when(used, text), "skipped": used & ~fits}).drop("languages", "globs")
 
 
 def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHECKS)) -> DataFrame:
     """One pass over the text: (project, path, kind, ...) rows. No shuffle."""
     col = F.col
+    small_batches(inputs.files.sparkSession)
     files = classified(inputs)
     visible, text = col("visible"), col("content")
     has_text = F.coalesce(F.length("content") > 0, F.lit(False))
@@ -162,6 +167,10 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
             col("manifest"), F.array(fact(kind="manifest", name=col("path"), value=F.coalesce(text, F.lit(""))))
         )
     ]
+    if inputs.max_size is not None and "security_scan" in checks:
+        said = f"File not checked: more than {inputs.max_size} bytes"
+        skipped = fact(kind="finding", check="security_scan", severity="info", message=said)
+        parts.append(facts_when(col("skipped"), F.array(skipped)))
     if {"dependency_audit", "architecture_review"} & set(checks):
         stamp = F.unix_micros("mtime").cast("string")
         in_root = ~F.contains("path", F.lit("/"))
@@ -177,17 +186,14 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
             dups.extraction_errors(col("js.error"), "duplicate_code"),
         ]
     if "dead_code" in checks:
-        age = age_days("mtime", inputs.as_of)
         parts += [
             facts_when(script, F.concat(usage.export_facts("content"), usage.import_facts(text, inputs.strict))),
             F.coalesce(usage.unused_import_facts(col("py"), inputs.strict), no_facts()),
             F.coalesce(usage.definition_facts(col("py")), no_facts()),
             facts_when(python, usage.call_facts(text, inputs.strict)),
+            # Ages depend on the day that is asked about, so only the time is a fact.
             facts_when(
-                visible & col("listed") & (age > STALE_DAYS),
-                F.array(
-                    fact(kind="finding", check="dead_code", severity=stale_severity(age), message=stale_message(age))
-                ),
+                visible & col("listed"), F.array(fact(kind="listed", value=F.unix_micros("mtime").cast("string")))
             ),
         ]
     if "architecture_review" in checks:
@@ -244,14 +250,16 @@ def _local(inputs: AuditInputs, check: str) -> DataFrame:
 
 
 def duplicate_code(inputs: AuditInputs) -> DataFrame:
-    groups = dups.duplicate_groups(dups.functions_from(inputs.facts), inputs.inline_limit, staged=False)
+    groups = dups.duplicate_groups(dups.functions_from(inputs.facts))
     return _local(inputs, "duplicate_code").unionByName(dups.duplicate_findings(groups))
 
 
 def security_scan(inputs: AuditInputs) -> DataFrame:
-    return _local(inputs, "security_scan").unionByName(
-        layout.missing_entries(inputs.manifests(), inputs.projects)
-    )
+    found = _local(inputs, "security_scan").unionByName(layout.missing_entries(inputs.manifests(), inputs.projects))
+    spark = inputs.files.sparkSession
+    if len(valid_rules(spark, inputs.secret_rules)) == len(inputs.secret_rules):
+        return found
+    return found.unionByName(rule_errors(spark, inputs.secret_rules))
 
 
 def dead_code(inputs: AuditInputs) -> DataFrame:
@@ -259,8 +267,10 @@ def dead_code(inputs: AuditInputs) -> DataFrame:
     imports = inputs.kind("import").select("project", "name")
     definitions = inputs.kind("definition").select("project", "path", "name", "line")
     calls = inputs.kind("call").select("project", "name")
+    stamp = F.timestamp_micros(F.col("value").cast("bigint")).alias("mtime")
     return (
         _local(inputs, "dead_code")
+        .unionByName(stale(inputs.kind("listed").select("project", "path", stamp), inputs.as_of))
         .unionByName(usage.unused_export_findings(usage.unimported(exports, imports)))
         .unionByName(usage.unused_function_findings(usage.uncalled(definitions, calls)))
     )
@@ -272,8 +282,8 @@ def architecture_review(inputs: AuditInputs) -> DataFrame:
     return (
         clients.sprawl_findings(per_project)
         .unionByName(layout.missing_counterpart(inputs.root(), inputs.projects))
-        .unionByName(deps.version_mismatch(versions, inputs.inline_limit))
-        .unionByName(clients.sprawl_global(per_project.select("project", "n_files"), inline_limit=inputs.inline_limit))
+        .unionByName(deps.version_mismatch(versions))
+        .unionByName(clients.sprawl_global(per_project.select("project", "n_files")))
         .unionByName(clients.wrapper_global(inputs.kind("wrapper")))
     )
 

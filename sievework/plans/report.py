@@ -161,16 +161,22 @@ def digest_lines(
 
 
 def write_report(findings: DataFrame, folder: str, run_date: str, fmt: str = "json") -> str:
-    """Write the findings of one day; a second run on the same day replaces the first."""
-    (
-        findings.withColumn("run_date", F.lit(run_date))
-        .write.partitionBy("run_date")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .format(fmt)
-        .save(folder)
-    )
-    return f"{folder}/run_date={run_date}"
+    """Write the findings of one day; a second run on the same day replaces the first.
+
+    The day has a folder of its own, so a run without findings leaves it empty. Readers
+    of ``folder`` see the day as the column ``run_date``.
+    """
+    path = f"{folder}/run_date={run_date}"
+    findings.write.mode("overwrite").format(fmt).save(path)
+    return path
+
+
+def write_totals(findings: DataFrame, projects: DataFrame, folder: str, run_date: str, fmt: str = "json") -> str:
+    """Write the totals and each project's summary beside the findings of one day."""
+    report_totals(findings, projects).write.mode("overwrite").format(fmt).save(f"{folder}/totals/run_date={run_date}")
+    summary = project_summary(findings, projects)
+    summary.write.mode("overwrite").format(fmt).save(f"{folder}/summary/run_date={run_date}")
+    return folder
 
 
 def write_alert(findings: DataFrame, path: str, run_date: str, report_path: str = "/tmp") -> str | None:

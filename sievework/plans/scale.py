@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-# A list shown inside one row may hold this many entries; longer ones stay a table.
-INLINE_LIMIT = 1_000
-HEAVY_GROUPS = 10_000
 SALTS = 8
 # A table is only broadcast after it was found to have no more rows than this.
 SMALL_ROWS = 200_000
@@ -25,20 +22,18 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder for intermediate tables that ``spark.checkpoint.dir`` names, if any."""
+    return spark.conf.get(CHECKPOINT_DIR, None)
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """A folder all executors reach: the named one, else one in the warehouse."""
+    return shared_dir(spark) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a temporary folder.
-    """
-    path = spark.conf.get(CHECKPOINT_DIR, None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-    path = tempfile.mkdtemp(prefix="staging-")
-    spark.conf.set(CHECKPOINT_DIR, path)
-    return path
+
+# What is staged in this process and not yet released: paths and persisted frames.
+_staged: list[str | DataFrame] = []
 
 
 def stage(df: DataFrame, name: str, rebalance: Sequence[str] = ()) -> DataFrame:
@@ -46,16 +41,40 @@ def stage(df: DataFrame, name: str, rebalance: Sequence[str] = ()) -> DataFrame:
 
     This cuts the lineage: a lost executor re-reads the table instead of repeating
     the extraction. With ``rebalance`` the rows are brought together by those
-    columns in evenly sized files, and a hot value is split over several.
+    columns in evenly sized files, and a hot value is split over several. A session
+    without a shared folder keeps the table in Spark's own storage instead.
     """
-    path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not folder:
+        if rebalance:
+            df = df.hint("rebalance", *[F.col(c) for c in rebalance])
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _staged.append(kept)
+        return kept
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     writer = df
     if rebalance:
         writer = df.hint("rebalance", *[F.col(c) for c in rebalance])
         writer.write.partitionBy(*rebalance).parquet(path)
     else:
         writer.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete everything staged so far, once no result that reads it is needed."""
+    gone = 0
+    while _staged:
+        one = _staged.pop()
+        if isinstance(one, DataFrame):
+            one.unpersist()
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(one)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone += 1
+    return gone
 
 
 def salted_anti(
@@ -74,37 +93,3 @@ def salted_anti(
     places = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     known = right.select(*keys).distinct().select(*keys, places.alias("__place"))
     return left.withColumn("__place", place).join(known, [*keys, "__place"], "left_anti").drop("__place")
-
-
-def bounded_lists(
-    rows: DataFrame,
-    keys: Sequence[str],
-    item: Column,
-    stats: Sequence[Column],
-    having: Column,
-    limit: int = INLINE_LIMIT,
-) -> DataFrame:
-    """One row per group: ``n``, its statistics, and its sorted members if they are few.
-
-    ``rows`` is read twice, so it should be a table, not an extraction; the groups,
-    which are needed three times, are staged. The statistics come from an aggregation with partial results: a group of any size
-    costs one row per task. ``items`` is filled for groups of up to ``limit`` rows and
-    NULL for larger ones, whose members stay rows of the input. The largest groups
-    are taken out before anything else moves. As at most ``HEAVY_GROUPS`` can each
-    hold more than one part in ``HEAVY_GROUPS`` of all rows, that list is small, and no
-    group that is left can fill a task.
-    """
-    keys = list(keys)
-    groups = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats).where(having), "groups")
-    names = [c for c in groups.columns if c not in keys]
-    heavy = groups.where(F.col("n") > limit).orderBy(F.desc("n")).limit(HEAVY_GROUPS).select(*keys)
-    members = rows.select(*keys, item.alias("__item")).join(F.broadcast(heavy), keys, "left_anti")
-    small = groups.where(F.col("n") <= limit).select(*keys, F.struct(*names).alias("__group"))
-    listed = (
-        members.join(small, keys)
-        .groupBy(*keys)
-        .agg(F.first("__group").alias("__group"), F.array_sort(F.collect_list("__item")).alias("items"))
-        .select(*keys, "__group.*", "items")
-    )
-    large = groups.where(F.col("n") > limit)
-    return listed.unionByName(large, allowMissingColumns=True)

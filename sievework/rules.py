@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ class Rule:
     every step of its head, which one very long line can make endless. The points
     where the tail fits are marked first (``anchor``, in one pass); ``anchored`` is
     the pattern with the mark character in it and finds the same matches.
+
+    ``linear`` tells of one line whether ``pattern`` matches it, without trying the tail
+    again at every head: only the first head counts, as all that follows a later head
+    also follows the first.
     """
 
     pattern: str
@@ -44,6 +49,7 @@ class Rule:
     gate: str = ""
     anchor: str = ""
     anchored: str = ""
+    linear: str = ""
 
     @property
     def ignores_case(self) -> bool:
@@ -63,8 +69,12 @@ class Rule:
         return "(" + " OR ".join(f"contains({subject}, {sql_text(n)})" for n in self.needles) + ")"
 
     def found_in(self, text: str) -> str:
-        """SQL test for the rule's pattern."""
-        return f"({text} RLIKE {sql_text(self.java)})"
+        """SQL test for the rule's pattern on one line."""
+        return f"({text} RLIKE {sql_text(java_pattern(self.linear) if self.linear else self.java)})"
+
+    def patterns(self) -> list[str]:
+        """Every pattern that may run for this rule, as Java reads it."""
+        return [java_pattern(p) for p in (self.pattern, self.gate, self.anchor, self.anchored, self.linear) if p]
 
 
 @dataclass(frozen=True)
@@ -77,6 +87,9 @@ class LoopRule:
     severity: str
     lang: str = "any"
 
+    def patterns(self) -> list[str]:
+        return [java_pattern(self.header), java_pattern(self.call)]
+
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
@@ -122,25 +135,22 @@ def java_pattern(pattern: str) -> str:
     return flags + "".join(out)
 
 
-def valid_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Rule]:
-    """Rules whose pattern Spark can compile, in order; the others are left out.
+def valid_rules(spark: SparkSession, rules: Iterable[Rule | LoopRule]) -> list[Rule | LoopRule]:
+    """Rules all of whose patterns compile, in order; the others are left out.
 
-    One bad pattern would fail the whole job, so it is tried on a literal first.
+    One bad pattern would fail the whole job, so each is compiled on the driver first.
     """
-    rules = list(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; split the rule table")
+    compiler = spark._jvm.java.util.regex.Pattern
 
-    def compiles(batch: list[Rule]) -> bool:
+    def compiles(rule: Rule | LoopRule) -> bool:
         try:
-            spark.sql("SELECT 1").select(*[F.lit("").rlike(r.java) for r in batch]).collect()
-        except PySparkException:
+            for pattern in rule.patterns():
+                compiler.compile(pattern)
+        except (Py4JJavaError, PySparkException):
             return False
         return True
 
-    if not rules or compiles(rules):
-        return rules
-    return [rule for rule in rules if compiles([rule])]
+    return [rule for rule in rules if compiles(rule)]
 
 
 def rules_from(table: DataFrame, rule_set: str) -> list[Rule]:
@@ -201,6 +211,7 @@ SECRET_RULES = [
         SECRET_MESSAGE,
         "warning",
         gate=r"""(?i)["'][A-Za-z0-9_\-\.]{20,}["']""",
+        linear=r"""(?i)\A(?>.*?(?:supabase|anthropic|openai|stripe|twilio|sendgrid|aws|firebase|heroku|vercel|cloudflare|railway|github|slack|telegram|discord)).*[:=]\s*["'][A-Za-z0-9_\-\.]{20,}["']""",
     ),
     Rule(r"sk-[A-Za-z0-9]{20,}", SECRET_MESSAGE, "warning", needles=("sk-",)),
     Rule(r"ghp_[A-Za-z0-9]{36}", SECRET_MESSAGE, "warning", needles=("ghp_",)),
@@ -212,16 +223,17 @@ SECRET_RULES = [
 INSECURE_RULES = [
     Rule(r"eval\s*\(", "Use of eval() -- potential code injection", "warning", needles=("eval",)),
     Rule(r"child_process\.exec\s*\(", "child_process.exec -- prefer execFile for safety", "warning", needles=("child_process",)),
-    Rule(r"subprocess\.call\s*\(.+shell\s*=\s*True", "subprocess with shell=True -- command injection risk", "warning", needles=("subprocess.call",)),
+    Rule(r"subprocess\.call\s*\(.+shell\s*=\s*True", "subprocess with shell=True -- command injection risk", "warning", needles=("subprocess.call",), linear=r"\A(?>.*?subprocess\.call\s*\().+?shell\s*=\s*True"),
     Rule(r"os\.system\s*\(", "os.system() -- use subprocess instead", "warning", needles=("os.system",)),
     Rule(r"innerHTML\s*=", "innerHTML assignment -- XSS risk, use textContent", "warning", needles=("innerHTML",)),
     Rule(r"dangerouslySetInnerHTML", "React dangerouslySetInnerHTML -- XSS risk", "info", needles=("dangerouslySetInnerHTML",)),
-    Rule(r"""(?i)cors.*origin.*['"]?\*['"]?""", "CORS with wildcard origin", "warning", needles=("cors",)),
+    Rule(r"""(?i)cors.*origin.*['"]?\*['"]?""", "CORS with wildcard origin", "warning", needles=("cors",), linear=r"(?i)\A(?>.*?cors)(?>.*?origin).*?\*"),
     Rule(
         r"(?i)disable.*ssl|verify\s*=\s*False|rejectUnauthorized.*false",
         "SSL verification disabled",
         "critical",
         needles=("disable", "verify", "rejectunauthorized"),
+        linear=r"(?i)\A(?>.*?disable).*?ssl|verify\s*=\s*False|\A(?>.*?rejectUnauthorized).*?false",
     ),
     Rule(r"(?i)(?:md5|sha1)\s*\(", "Weak hash algorithm (MD5/SHA1) -- use SHA-256+", "info", needles=("md5", "sha1")),
     Rule(r"Math\.random\s*\(", "Math.random() for security-sensitive context -- use crypto", "info", needles=("Math.random",)),
@@ -250,18 +262,21 @@ SQL_RULES = [
         "SQL query with f-string interpolation -- use parameterized queries",
         "critical",
         needles=("f'", 'f"'),
+        linear=r"""\A(?>.*?(?:execute|query|run)\s*\(\s*f['""])(?>.*?\{).*?\}""",
     ),
     Rule(
         r"""(?:execute|query|run)\s*\(\s*['"].*%s.*['"]\s*%\s*""",
         "SQL query with % formatting -- use parameterized queries",
         "warning",
         needles=("%s",),
+        linear=r"""\A(?>.*?(?:execute|query|run)\s*\(\s*['"])(?>.*?%s).*?['"]\s*%""",
     ),
     Rule(
         r"""(?:execute|query|run)\s*\(\s*['"].*\+\s*(?:req\.|request\.|params\.|body\.)""",
         "SQL query with string concatenation from request -- SQL injection risk",
         "critical",
         needles=("req.", "request.", "params.", "body."),
+        linear=r"""\A(?>.*?(?:execute|query|run)\s*\(\s*['"]).*?\+\s*(?:req\.|request\.|params\.|body\.)""",
     ),
 ]
 

@@ -67,8 +67,22 @@ def latest_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_so_far(
-    spark: SparkSession, inputs: AuditInputs, folder: str, project: str | None = None, check: str | None = None
+    spark: SparkSession,
+    inputs: AuditInputs,
+    folder: str,
+    project: str | None = None,
+    check: str | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
-    """All findings over everything the stream has seen."""
+    """All findings over everything the stream has seen, as of ``inputs.as_of``.
+
+    ``listing`` (project, path) names the files that exist now; others are forgotten, as
+    a stream of new files never tells of removed ones.
+    """
     files = latest_files(spark, folder).withColumn("content", F.lit(None).cast("string")).drop("batch")
-    return audit(replace(inputs, files=files, facts=latest_facts(spark, folder)), project, check)
+    facts = latest_facts(spark, folder)
+    if listing is not None:
+        here = listing.select("project", "path").distinct()
+        files = files.join(here, ["project", "path"], "left_semi")
+        facts = facts.join(here, ["project", "path"], "left_semi")
+    return audit(replace(inputs, files=files, facts=facts), project, check)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework import operators as op
 from sievework.plans import report
 from sievework.plans.audit import CHECKS, AuditInputs, audit, extract_facts, register_check
+from sievework.rules import Rule
 from sievework.schema import FINDING_COLUMNS, findings
 from sievework.streaming import audit_so_far, audit_stream
 
@@ -32,7 +33,7 @@ CORPUS = [
 
 @pytest.fixture
 def inputs(spark, files, projects):
-    return AuditInputs(files(*CORPUS), projects("p", "q", "absent"), F.lit(AS_OF))
+    return AuditInputs(files(*CORPUS), projects("p", "q", "absent"), F.lit(AS_OF), max_size=500_000)
 
 
 def rows(df):
@@ -49,7 +50,7 @@ def test_audit_finds_what_is_there(inputs):
     assert short == {
         ("duplicate_code", "p/a.py", 2),
         ("security_scan", "p/.gitignore", 0), ("security_scan", "q/.gitignore", 0),
-        ("security_scan", "p/a.py", 8), ("security_scan", "p/a.py", 9), ("security_scan", "p/conf/x.yaml", 1),
+        ("security_scan", "q/big.py", 0), ("security_scan", "p/a.py", 8), ("security_scan", "p/a.py", 9), ("security_scan", "p/conf/x.yaml", 1),
         ("dead_code", "p/a.py", 1), ("dead_code", "p/a.py", 2), ("dead_code", "p/b.ts", 1),
         ("dead_code", "q/z.py", 0), ("dead_code", "q/z.py", 1),
         ("dependency_audit", "p/package.json", 0), ("dependency_audit", "p/package-lock.json", 0),
@@ -154,6 +155,10 @@ def test_sinks(inputs, tmp_path, spark):
     back = spark.read.json(folder)
     assert back.where("run_date = '2024-01-01'").count() == found.count()
     assert back.where("run_date = '2024-01-02'").count() < found.count()
+    report.write_report(found.limit(0), folder, "2024-01-01")
+    assert spark.read.json(folder).where("run_date = '2024-01-01'").count() == 0
+    report.write_totals(found, inputs.projects, str(tmp_path / "sums"), "2024-01-01")
+    assert spark.read.json(str(tmp_path / "sums" / "totals")).first().total == found.count()
     alert = str(tmp_path / "alert")
     assert report.write_alert(found.where("severity = 'info'"), alert, "d") is None
     assert report.write_alert(found, alert, "d") == alert
@@ -177,6 +182,28 @@ def test_stream_agrees_with_the_full_audit(spark, inputs, tmp_path):
     run()
     run()
     assert rows(audit_so_far(spark, inputs, sink)) == rows(audit(inputs))
+    later = replace(inputs, as_of=inputs.as_of + F.expr("INTERVAL 900 DAYS"))
+    assert rows(audit_so_far(spark, later, sink)) == rows(audit(later))
+    gone = inputs.files.where("path <> 'a.py'")
+    listing = gone.select("project", "path")
+    assert rows(audit_so_far(spark, inputs, sink, listing=listing)) == rows(audit(replace(inputs, files=gone)))
+
+
+def test_hostile_files_and_rules_do_not_end_the_audit(spark, files, projects, inputs):
+    rows_ = files(
+        ("p", "migrations/1.sql", "CREATE TABLE a\\E(b (user_id uuid);\nCREATE INDEX i ON a\\E(b (user_id);\n" + "CREATE TABLE x (" * 20_000),
+        ("p", "package.json", '{"name": "x", "name": "y", "dependencies": {"lodash": "1.0.0", "lodash": "4.17.11", "z": "20240101123456.0.1"}}'),
+        ("p", "a.py", "def f(:\n" + "x = (" * 3_000),
+        ("p", "b.js", "function a() {" * 2_000),
+        ("p", "requirements.txt", "==\n>=\n\\E=="),
+        ("p", "none.py", None),
+    )
+    got = audit(replace(inputs, files=rows_, projects=projects("p"), secret_rules=[Rule("(unclosed", "m", "warning")])).collect()
+    messages = {r.message for r in got}
+    assert any("lodash" in m and "CVE" in m for m in messages)
+    assert not any("Invalid JSON" in m or "pre-1.0" in m for m in messages)
+    assert not any(m.startswith("Foreign key column 'user_id'") for m in messages)
+    assert any(m.startswith("Rule left out") for m in messages)
 
 
 def test_bad_rows_do_not_fail_the_job(spark, files):

@@ -1,8 +1,10 @@
 """Line rules: prefixes, gated secrets, first match, comments, downgrading."""
 
+from pyspark.sql import functions as F
+
 from sievework import operators as op
 from sievework.operators.lines import error_group, insecure_group, line_scan, sql_group
-from sievework.rules import INSECURE_RULES, SECRET_RULES, Rule, valid_rules
+from sievework.rules import INSECURE_RULES, SECRET_RULES, SQL_RULES, Rule, valid_rules
 
 KEY = "abcdefghij0123456789KLMN"
 
@@ -103,3 +105,42 @@ def test_downgrade(files):
 def test_line_scan_does_not_shuffle(files):
     plan = line_scan(files(("p", "a.py", "x")), [insecure_group()])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_linear_forms_agree_with_the_plain_patterns(spark):
+    import random
+
+    rng = random.Random(1)
+    bits = [
+        "cors", "origin", "*", "disable", "ssl", "verify", " = ", "False", "rejectUnauthorized", "false", "execute(", "query (", "f'", '"', "run(f'", "execute( '",
+        "%s", "%", "{", "}", "+ ", "req.", "body.", "aws", "github", "=", "'abcdefghij0123456789_x'", "subprocess.call(", "shell=True", " ", "x", "'",
+    ]
+    lines = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    lines += ["run('%s' % x", "query(f'{a}')", "execute('a' + req.x)", "subprocess.call(x shell = True", "github = 'abcdefghij0123456789_x'"]
+    df = spark.createDataFrame([(t,) for t in lines], "t string").repartition(4).cache()
+    for rule in [r for r in [*SECRET_RULES, *INSECURE_RULES, *SQL_RULES] if r.linear]:
+        plain = df.select("t", F.col("t").rlike(rule.java).alias("p"), F.expr(rule.found_in("t")).alias("q")).collect()
+        assert [r.t for r in plain if r.p != r.q] == [], rule.pattern
+        assert any(r.p for r in plain), rule.pattern
+
+
+def test_hostile_lines_end_soon(files):
+    import time
+
+    bits = ["cors origin ", "aws=x; ", "disable ", "execute(f'", "execute('%s", "run('", "subprocess.call("]
+    start = time.time()
+    rows = files(*[("p", f"{i}.py", b * (500_000 // len(b)) + ' "q" ') for i, b in enumerate(bits)])
+    line_scan(rows, [insecure_group(), sql_group()]).collect()
+    op.secret_scan(rows).collect()
+    assert time.time() - start < 60
+
+
+def test_a_bad_rule_is_left_out_and_reported(files, spark):
+    from sievework.operators.lines import rule_errors
+
+    rules = [Rule("(unclosed", "bad", "warning"), Rule("ok", "fine", "warning", gate="[z-a]"), Rule("eval", "good", "warning")]
+    rows = files(("p", "a.py", "eval ok"))
+    assert found(op.first_match_scan(rows, rules)) == [("p/a.py", 1, "warning", "good")]
+    assert [r.message for r in op.multiline_scan(rows, rules).collect()] == ["good"]
+    assert op.secret_scan(rows, rules).count() == 1
+    assert len(rule_errors(spark, rules).collect()) == 2

@@ -49,6 +49,8 @@ def test_snippet_redacts_before_it_cuts(spark):
 def test_versions(spark):
     texts = ["^1.2.3", "~>=0.4", "1", "v1.2", "", ">= 2.10.0-rc1"]
     assert values(spark, texts, fn.parse_version("t")) == [[1, 2, 3], [0, 4], [1], None, None, [2, 10, 0]]
+    wide = [["20240101123456", 0, 1], [(1 << 63) - 1, 2]]
+    assert values(spark, ["20240101123456.0.1", "9" * 30 + ".2"], fn.parse_version("t")) == [[int(x) for x in w] for w in wide]
     assert values(spark, ["^~1.0", "1.^"], fn.clean_version("t")) == ["1.0", "1.^"]
 
 
