@@ -1,8 +1,8 @@
 """Input corpora for the driver queries, derived from the given tables.
 
 DOC reads the ``documents`` table as files. CODE is a code-like corpus written from
-``documents.doc_id`` by SQL that runs unchanged in Spark and DuckDB: twenty files
-per project, so it grows with the table.
+``documents`` (the text as a comment, a configuration or a note) by SQL that runs
+unchanged in Spark and DuckDB: twenty files per project, so it grows with the table.
 """
 
 from __future__ import annotations
@@ -47,22 +47,31 @@ SELECT 'p' || CAST(k AS STRING) AS project, k, i, doc_id,
     WHEN 10 THEN 'CREATE TABLE t' || CAST(k AS STRING) || ' (id bigint, user_id bigint, org_id uuid);' || chr(10)
              || CASE WHEN k % 2 = 0 THEN 'CREATE INDEX ix ON t' || CAST(k AS STRING) || ' (user_id);' ELSE 'CREATE INDEX ix ON t' || CAST(k AS STRING) || ' (user_id, org_id);' END
     WHEN 11 THEN 'const a = db.select(''*'')' || repeat(' ', CAST(k % 4 AS INT) * 80) || CASE WHEN k % 3 = 0 THEN '.order()' ELSE '.limit(5)' END || chr(10) || 'const b = fetch(url)' || chr(10)
+             || '// ' || note || chr(10)
     WHEN 12 THEN '// demo' || chr(10) || 'const k = "sk-' || md5(CAST(doc_id AS STRING)) || '"' || chr(10) || 'const low = "sk-aaaaaaaaaaaaaaaaaaaaaaaa"' || chr(10)
+             || '// ' || note || chr(10)
     WHEN 13 THEN 'const k = "sk-' || md5(CAST(doc_id AS STRING)) || '"' || chr(10)
+             || '// ' || note || chr(10)
     WHEN 14 THEN 'def f' || CAST(k AS STRING) || '(a, b):' || chr(10) || '    c = a + b' || chr(10) || '    if c:' || chr(10) || '        c = c * ' || CAST(k AS STRING) || chr(10)
              || '    d = c' || chr(10) || CASE WHEN k % 5 = 0 THEN '    e = d' || chr(10) ELSE '' END || '    return d' || chr(10)
     WHEN 15 THEN 'function g' || CAST(k AS STRING) || '(a) {' || chr(10) || '  const b = "s' || CAST(k AS STRING) || '"; // n' || chr(10) || '  if (a) {' || chr(10) || '    return b;' || chr(10)
              || '  }' || chr(10) || CASE WHEN k % 7 = 0 THEN '  a += 1;' || chr(10) ELSE '' END || '  return a;' || chr(10) || '}' || chr(10)
     WHEN 16 THEN 'eval(x)' || chr(10)
+             || '// ' || note || chr(10)
     WHEN 17 THEN 'x = eval(y)' || chr(10) || '# eval(z)' || chr(10) || 'r = get(u, verify=False)' || chr(10) || 'try: pass' || chr(10) || 'except: pass' || chr(10) || 'db.execute(f"select {x}")' || chr(10)
     WHEN 18 THEN 'import { createClient } from "@lib/db"' || chr(10) || 'export async function fetchUser(id) { return createClient() }' || chr(10) || 'const apiCall = async (x) => x' || chr(10)
-    WHEN 19 THEN 'region: eu' || chr(10)
+             || '// ' || note || chr(10)
+    WHEN 19 THEN 'region: eu' || chr(10) || text || chr(10)
     WHEN 6 THEN 'export function a' || CAST(k AS STRING) || '() {}' || chr(10) || 'export const b = 1' || chr(10)
+             || '// ' || note || chr(10)
     WHEN 7 THEN 'import { a' || CAST(k - k % 2 AS STRING) || ', b as bb } from "./m6"' || chr(10) || 'export default function Page() {}' || chr(10)
+             || '// ' || note || chr(10)
     WHEN 8 THEN 'export class C' || CAST(k AS STRING) || ' {}' || chr(10) || 'import Page from "./m7"' || chr(10)
-    ELSE '' END AS content,
+             || '// ' || note || chr(10)
+    ELSE text END AS content,
   1704067200 - (doc_id * 37 % 800) * 86400 AS mtime_epoch
-FROM (SELECT doc_id, doc_id % 20 AS i, CAST(floor(doc_id / 20.0) AS BIGINT) AS k FROM documents) d
+FROM (SELECT doc_id, doc_id % 20 AS i, CAST(floor(doc_id / 20.0) AS BIGINT) AS k, coalesce(text, '') AS text,
+  replace(coalesce(text, ''), chr(10), ' ') AS note FROM documents) d
 """
 
 
@@ -84,7 +93,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CODE as a files table, with the project number ``k`` and template ``i`` kept."""
-    scan = spread_small(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    scan = spread_small(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     scan.createOrReplaceTempView("documents")
     rows = spark.sql(CODE_SQL)
     files = files_from(rows, "project", "path", "content", F.timestamp_seconds("mtime_epoch"))

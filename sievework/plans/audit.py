@@ -49,9 +49,9 @@ from ..rules import (
     valid_rules,
 )
 from ..schema import FACT_TYPES, FINDING_COLUMNS, display_path, fact, facts_when, no_facts
-from ..sources.filters import glob_lists, ignored_by
+from ..sources.filters import ignored, with_ignore
 from ..sources.registry import present_projects, select_projects
-from .scale import stage
+from .scale import small_side, stage
 
 MANIFESTS = [deps.JS_MANIFEST, deps.PY_MANIFEST, layout.IGNORE_FILE]
 
@@ -106,13 +106,8 @@ def _line_groups(inputs: AuditInputs, checks: Sequence[str]) -> list[LineGroup]:
 
 def classified(inputs: AuditInputs) -> DataFrame:
     """Files with usable text and one flag per use of it."""
-    lists, few = glob_lists(inputs.projects)
-    dimension = inputs.projects.select(
-        F.col("name").alias("project"),
-        F.coalesce("languages", F.array().cast("array<string>")).alias("languages"),
-        F.col("ignore_patterns").alias("globs"),
-    )
-    files = inputs.files.join(F.broadcast(dimension) if few else dimension, "project")
+    named = inputs.projects.withColumn("languages", F.coalesce("languages", F.array().cast("array<string>")))
+    files = inputs.files.join(small_side(with_ignore(named, "languages")), "project")
     path = F.col("path")
     speaks = {lang: F.array_contains("languages", lang) for lang in EXTENSIONS}
     python = speaks["python"] & has_suffix(path, EXTENSIONS["python"])
@@ -125,8 +120,8 @@ def classified(inputs: AuditInputs) -> DataFrame:
     text = F.when(fits, normalise_newlines("content"))
     flagged = files.withColumns(
         {
-            "visible": ~F.coalesce(ignored_by(path, F.col("globs"), lists), F.lit(False)),
-            "migration": below.isNotNull() & ~F.coalesce(ignored_by(below, F.col("globs"), lists), F.lit(False)),
+            "visible": ~ignored(path, F.col("ignore")),
+            "migration": below.isNotNull() & ~ignored(below, F.col("ignore")),
             "manifest": path.isin(MANIFESTS),
             "python": python,
             "script": script,
@@ -135,7 +130,7 @@ def classified(inputs: AuditInputs) -> DataFrame:
         }
     )
     used = F.col("manifest") | F.col("migration") | (F.col("visible") & (F.col("listed") | F.col("config")))
-    return flagged.withColumns({"content": F.when(used, text), "skipped": used & ~fits}).drop("languages", "globs")
+    return flagged.withColumns({"content": F.when(used, text), "skipped": used & ~fits}).drop("languages", "ignore")
 
 
 def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHECKS)) -> DataFrame:

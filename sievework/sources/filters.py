@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_suffix, in_basenames, normalise_newlines
-from ..plans.scale import SMALL_ROWS
+from ..plans.scale import small_side
 from ..rules import LARGE_FILE_SIZE, MAX_FILE_SIZE, SAFE_BASENAMES
 
 
@@ -57,48 +57,45 @@ def ignore_regex(globs: Iterable[str]) -> tuple[str, str, str]:
 
 
 def path_ignored(path: Column, globs: Iterable[str]) -> Column:
+    """Whether one given list of globs ignores ``path``."""
     globs = list(globs)
     if not globs:
         return F.lit(False)
-    whole, component, root = ignore_regex(globs)
-    top = F.concat(F.lit("./"), F.substring_index(path, "/", 1))
-    return path.rlike(component) | path.rlike(whole) | (F.contains(path, F.lit("/")) & top.rlike(root))
+    whole, component, root = (F.lit(p) for p in ignore_regex(globs))
+    return ignored(path, {"whole": whole, "component": component, "root": root})
+
+
+PATTERNS = "struct<whole:string,component:string,root:string>"
+
+
+def _patterns(globs: list[str] | None) -> tuple[str, str, str] | None:
+    return ignore_regex(g for g in globs if g is not None) if globs else None
 
 
-def glob_lists(projects: DataFrame, max_lists: int = 500) -> tuple[list[list[str]], bool]:
-    """The distinct non-empty ignore lists, and whether the registry can be broadcast.
+def with_ignore(projects: DataFrame, *carry: str) -> DataFrame:
+    """(project, ignore, ...): every project's globs as patterns, any number of lists.
 
-    Projects share few lists; one aggregation finds them and counts the projects.
+    Only registry rows pass through Python. A project without globs has NULL patterns.
     """
-    per_list = projects.groupBy(F.col("ignore_patterns").alias("globs")).agg(F.count(F.lit(1)).alias("n"))
-    rows = per_list.limit(max_lists + 1).collect()
-    if len(rows) > max_lists:
-        raise ValueError(f"more than {max_lists} distinct ignore lists; group the projects first")
-    return [list(r.globs) for r in rows if r.globs], sum(r.n for r in rows) <= SMALL_ROWS
+    return projects.select(F.col("name").alias("project"), F.udf(_patterns, PATTERNS)("ignore_patterns").alias("ignore"), *carry)
 
 
-def ignored_by(path: Column, globs: Column, lists: Iterable[list[str]]) -> Column:
-    """Whether a file's own glob list, one of ``lists``, ignores ``path``."""
-    chain = None
-    for one in lists:
-        same = globs == F.array(*[F.lit(g) for g in one])
-        verdict = path_ignored(path, one)
-        chain = F.when(same, verdict) if chain is None else chain.when(same, verdict)
-    return F.lit(False) if chain is None else chain.otherwise(F.lit(False))
+def ignored(path: Column, patterns: Column | dict[str, Column]) -> Column:
+    """Whether the patterns of a file's project ignore ``path``."""
+    top = F.concat(F.lit("./"), F.substring_index(path, "/", 1))
+    found = (
+        F.rlike(path, patterns["component"])
+        | F.rlike(path, patterns["whole"])
+        | (F.contains(path, F.lit("/")) & F.rlike(top, patterns["root"]))
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def filter_ignored(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Drop files that a glob of their project ignores.
-
-    The glob lists become literal patterns in the plan; a project only contributes
-    which list it uses.
-    """
-    lists, few = glob_lists(projects)
-    if not lists:
-        return files
-    dimension = projects.select(F.col("name").alias("project"), F.col("ignore_patterns").alias("__globs"))
-    joined = files.join(F.broadcast(dimension) if few else dimension, "project", "left")
-    return joined.where(~ignored_by(F.col("path"), F.col("__globs"), lists)).drop("__globs")
+    """Drop files that a glob of their project ignores."""
+    dimension = small_side(with_ignore(projects))
+    joined = files.join(dimension, "project", "left")
+    return joined.where(~ignored(F.col("path"), F.col("ignore"))).drop("ignore")
 
 
 def filter_ext(files: DataFrame, suffixes: Iterable[str]) -> DataFrame:

@@ -131,3 +131,14 @@ def test_registry(spark, tmp_path, files):
         select_projects(registry, "zzz")
     assert select_projects(registry, "zzz", strict=False).count() == 0
     assert [r.name for r in present_projects(files(("a", "f", "")), registry).collect()] == ["a"]
+
+
+def test_every_project_may_have_its_own_ignore_list(spark, files):
+    n = 2_000
+    registry = spark.createDataFrame(
+        [(f"p{i}", None, ["python"], [f"only{i}.py", "[0-"]) for i in range(n)] + [("bare", None, None, None)],
+        "name string, path string, languages array<string>, ignore_patterns array<string>",
+    )
+    rows = files(*[(f"p{i}", f"only{i - i % 2}.py", "") for i in range(n)], ("bare", "only0.py", ""))
+    left = filter_ignored(rows, registry)
+    assert left.count() == n // 2 + 1 and left.where("project = 'p0'").count() == 0
