@@ -25,7 +25,7 @@ from .hashing import bound_batches, chunks, mix, word_hashes
 
 BITS = 18
 SPACE = 1 << BITS
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 SCORES = "doc_id bigint, score double"
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -117,7 +117,7 @@ def fit_ftrl(
                 at, x = np.append(place, SPACE), np.append(value, 1.0)
                 w = solve(at)
                 p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-                g = (p - y) * x * weigh[y]
+                g = (p - y) * weigh[y] * x
                 sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
                 z[at] += g - sigma * w
                 n[at] += g * g
@@ -125,6 +125,13 @@ def fit_ftrl(
     return Model(w[:SPACE], float(w[SPACE]) if ones and zeros else prior)
 
 
+def _digests(offsets: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A number for each row's features, which fixes the order of training."""
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(mix(place.astype(np.uint64) * _A + (value * 1e6).astype(np.uint64)), out=total[1:])
+    return (total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -132,12 +139,13 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("label"),
+                    pa.array(_digests(offsets, place, value)),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(place.astype(np.int32))),
                     pa.ListArray.from_arrays(
                         pa.array(offsets.astype(np.int32)), pa.array(value.astype(np.float32))
                     ),
                 ],
-                names=["label", "place", "value"],
+                names=["label", "digest", "place", "value"],
             )
 
 
@@ -152,13 +160,12 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     chosen = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).distinct()
     chosen = chosen.orderBy("h", "doc_id", "label").limit(max_rows).select("doc_id", "label")
     texts = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    found = texts.mapInArrow(_sparse, "label int, place array<int>, value array<float>").toArrow()
+    found = texts.mapInArrow(_sparse, "label int, digest bigint, place array<int>, value array<float>").toArrow()
+    order = np.lexsort((found.column("digest").to_numpy(), found.column("label").to_numpy()))
+    found = found.combine_chunks()
     label = found.column("label").to_numpy()
-    rows = []
-    for i, y in enumerate(label):
-        place, value = found.column("place")[i].values.to_numpy(), found.column("value")[i].values.to_numpy()
-        rows.append((place, value.astype(float), int(y)))
-    rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))
+    place, value = (found.column(c).chunk(0) if found.num_rows else None for c in ("place", "value"))
+    rows = [(place[i].values.to_numpy(), value[i].values.to_numpy(), int(label[i])) for i in order.tolist()]
     return fit_ftrl(rows)
 
 
