@@ -12,8 +12,8 @@ classes that share a long prefix in some order are candidates:
    shallowest depth and goes deeper only where it is dense, so that thin regions keep
    the recall of a short prefix and crowded ones don't compare everything.
 
-Candidates must agree on a bit sketch within five standard deviations of a pair at the
-threshold; every link is confirmed on the full shingle sets. Regions at the last depth
+Candidates must agree on a sketch of four bits for each MinHash value, within 4.5 standard
+deviations of a pair at the threshold; every link is confirmed on the full shingle sets. Regions at the last depth
 are searched whole, whatever their size: members of the largest component are paired
 only with members of others.
 """
@@ -37,14 +37,16 @@ LEVELS = (3, 5, 8)
 DEPTH = LEVELS[-1]
 FUNCTIONS = TREES * DEPTH
 DENSE = 512
-DEVIATIONS = 5.0
+DEVIATIONS = 4.5
+SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
+NIBBLES = 0x1111111111111111
 
 _rng = np.random.default_rng(6)
 _XOR = _rng.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
 _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
-_SIGNED = "doc_id bigint, n_shingles bigint, cls binary, sig binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+_SIGNED = "doc_id bigint, n_shingles bigint, cls binary, sig binary, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +106,9 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each MinHash value, as four 64-bit words."""
-    bits = np.empty((len(sig), 2 * FUNCTIONS), np.uint8)
-    bits[:, 0::2] = sig & 1
-    bits[:, 1::2] = (sig >> 1) & 1
-    return np.packbits(bits, axis=1).view(np.int64).reshape(len(sig), 4)
+    """Four bits of each MinHash value, as 64-bit words."""
+    bits = (sig & 15).astype(np.uint8)
+    return (bits[:, 0::2] | bits[:, 1::2] << 4).view(np.int64).reshape(len(sig), len(SKETCH))
 
 
 def sign(words: int):
@@ -127,18 +127,18 @@ def sign(words: int):
                         pa.array(np.diff(offsets)),
                         _fixed(set_keys(offsets, hashes), 16, filled),
                         _fixed(sig.astype(">u4"), 4 * FUNCTIONS, filled),
-                        *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4)],
+                        *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(len(SKETCH))],
                     ],
-                    names=["doc_id", "n_shingles", "cls", "sig", "s0", "s1", "s2", "s3"],
+                    names=["doc_id", "n_shingles", "cls", "sig", *SKETCH],
                 )
 
     return run
 
 
 def sketch_limit(threshold: float) -> int:
-    """Most differing sketch bits of a pair at the threshold, with room for chance."""
-    far = 1 - threshold
-    return int(FUNCTIONS * far + DEVIATIONS * sqrt(FUNCTIONS * (1.5 * far - far * far)))
+    """Most differing sketch values of a pair at the threshold, with room for chance."""
+    differ = (1 - threshold) * 15 / 16
+    return int(FUNCTIONS * differ + DEVIATIONS * sqrt(FUNCTIONS * differ * (1 - differ)))
 
 
 def neighbours(limit: int):
@@ -151,14 +151,17 @@ def neighbours(limit: int):
                 continue
             key = np.array(batch.column("key").to_pylist(), dtype=object)
             cls = batch.column("cls").to_pylist()
-            sk = np.stack([batch.column(f"s{j}").to_numpy() for j in range(4)], axis=1)
+            sk = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
             prefix = [k[: 1 + 4 * LEVELS[0]] for k in key]
             rows = (prefix, cls, sk)
             if last is not None:
                 rows = ([last[0]] + prefix, [last[1]] + cls, np.concatenate([last[2][None], sk]))
             prefix, cls, sk = rows
             last = (prefix[-1], cls[-1], sk[-1])
-            apart = np.bitwise_count(sk[1:] ^ sk[:-1]).sum(axis=1)
+            x = sk[1:] ^ sk[:-1]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            apart = np.bitwise_count(x & np.uint64(NIBBLES)).sum(axis=1)
             pairs = [
                 (cls[i], cls[i + 1], int(apart[i]))
                 for i in np.flatnonzero(apart <= limit)
@@ -222,10 +225,13 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int,
 
 
 def _apart(a: str, b: str) -> Column:
-    """Differing sketch bits of two rows."""
+    """Differing sketch values of two rows."""
     total = F.lit(0)
-    for j in range(4):
-        total = total + F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}")))
+    for c in SKETCH:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(NIBBLES)))
     return total
 
 
@@ -266,7 +272,7 @@ def _region_pairs(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Pairs across components within regions, each smaller side against the rest."""
     sizes = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("region").agg(F.max(F.struct("size", "comp")).getField("comp").alias("main"))
-    sketch = nodes.select("cls", "s0", "s1", "s2", "s3")
+    sketch = nodes.select("cls", *SKETCH)
     full = rows.select("region", "cls", "comp").join(largest, "region").join(sketch, "cls")
     minor = full.where(F.col("comp") != F.col("main")).alias("a")
     other = full.alias("b")
@@ -303,11 +309,11 @@ def near_duplicates(
     nodes = stage(
         signed.where(F.col("n_shingles") > 0)
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", "s0", "s1", "s2", "s3")]),
+        .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", *SKETCH)]),
         "nodes",
     )
 
-    order = _in_orders(nodes, "s0", "s1", "s2", "s3").repartitionByRange("key", "cls")
+    order = _in_orders(nodes, *SKETCH).repartitionByRange("key", "cls")
     near = stage(
         order.sortWithinPartitions("key", "cls")
         .mapInArrow(neighbours(limit), "u binary, v binary, apart int")
