@@ -37,6 +37,7 @@ LEVELS = (3, 5, 8)
 DEPTH = LEVELS[-1]
 FUNCTIONS = TREES * DEPTH
 DENSE = 512
+MAP_BITS = 1 << 27
 DEVIATIONS = 4.5
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
@@ -201,10 +202,33 @@ def confirm(words: int, per_cent: int):
     return run
 
 
+def _near_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose id may be among ``wanted.rep``, by a bit map of id hashes.
+
+    It keeps the other texts out of the shuffle of the join that follows. The map has
+    MAP_BITS bits at most (16 MB), so it can always be sent to every task.
+    """
+    n = wanted.count()
+    bits = min(MAP_BITS, 1 << max(15, (16 * n).bit_length()))
+
+    def place(id: str) -> Column:
+        return F.pmod(F.xxhash64(id), F.lit(bits))
+
+    held = wanted.groupBy(F.bitmap_bucket_number(place("rep")).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("rep"))).alias("held")
+    )
+    rows = docs.withColumns(
+        {"bucket": F.bitmap_bucket_number(place("doc_id")), "bit": F.bitmap_bit_position(place("doc_id"))}
+    )
+    byte = F.conv(F.hex(F.substring("held", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(held), "bucket")
+    return found.where(F.call_function("bit_get", byte, (F.col("bit") % 8).cast("int")) == 1).select("doc_id", "text")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(cls, text) of the classes in ``pairs``: the text of the class's first document."""
     ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = ends.join(nodes.select("cls", "rep"), "cls")
+    wanted = stage(ends.join(nodes.select("cls", "rep"), "cls"), "wanted")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +236,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> D
                 keys = _fixed(set_keys(*shingle_sets(part.column("text"), words)), 16)
                 yield part.select(["cls", "text"]).filter(pa.compute.equal(keys, part.column("cls")))
 
-    found = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("cls", "text")
+    near = _near_ids(docs, wanted)
+    found = near.join(wanted, near.doc_id.eqNullSafe(wanted.rep)).select("cls", "text")
     return found.mapInArrow(own, "cls binary, text string").dropDuplicates(["cls"])
 
 
