@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .hashing import bound_batches, chunks
 
 END_ID = 2
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
+LINES = 4096
 OPTIONS = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -53,7 +54,9 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """A byte-level BPE tokenizer with a bounded memory of pieces it has encoded.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text are ordinary text. New pieces are encoded many at
+    a time, as lines of one text: no token crosses a line end, and a line end's own token
+    shows where the next piece begins.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -62,39 +65,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.line_end = self._ids("\n")
         self.known: dict[str, bytes] = {}
         self.room = cache_pieces
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        spaces = [p for p in pieces if p.isspace()] if len(self.line_end) == 1 else pieces
+        found = {p: self._ids(p).tobytes() for p in spaces}
+        words = [p for p in pieces if p not in found]
+        for k in range(0, len(words), LINES):
+            part = words[k : k + LINES]
+            ids = self._ids("\n".join(part))
+            cut = np.flatnonzero(ids == self.line_end[0])
+            raw, begin = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+            found.update((p, raw[a:b]) for p, a, b in zip(part, begin, [*(4 * cut).tolist(), len(raw)]))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [None if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        fresh = list({p for pieces in cut if pieces for p in pieces if p not in self.known})
-        new = dict(zip(fresh, self._encode(fresh)))
-        kept = min(len(fresh), self.room - len(self.known))
-        if kept == len(fresh):
-            self.known.update(new)
-            get = self.known.__getitem__
-        else:
-            self.known.update((p, new[p]) for p in fresh[: max(kept, 0)])
-            known = self.known
-
-            def get(p: str) -> bytes:
-                return known[p] if p in known else new[p]
-
-        return [
-            self._encode([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)
-        ]
+        out, open_texts, fresh = [], [], {}
+        for text in texts:
+            if ODD_SPACE.search(text):
+                out.append(self._ids(text).tobytes())
+                continue
+            pieces = PIECE.findall(text)
+            parts = list(map(self.known.get, pieces))
+            if None in parts:
+                holes = [k for k, part in enumerate(parts) if part is None]
+                fresh.update((pieces[k], None) for k in holes)
+                open_texts.append((len(out), parts, [(k, pieces[k]) for k in holes]))
+                out.append(b"")
+            else:
+                out.append(b"".join(parts))
+        if open_texts:
+            new = self._encode_pieces(list(fresh))
+            for place, parts, holes in open_texts:
+                for k, piece in holes:
+                    parts[k] = new[piece]
+                out[place] = b"".join(parts)
+            for piece, ids in new.items():
+                if len(self.known) >= self.room:
+                    break
+                self.known[piece] = ids
+        return out
+
+
+# One encoder for each vocabulary and Python worker, which serves many tasks.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         file, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in chunks(batch, "text"):
