@@ -5,8 +5,9 @@ signature stands for the class. The forest keeps several orders of the signature
 classes that share a long prefix in some order are candidates:
 
 1. In each order, sorted over all tasks, the neighbours with the longest common
-   prefix are compared. The nearest one of every class is confirmed on the full sets,
-   and what is linked is contracted to components.
+   prefix are compared. The nearest few of every class are confirmed on the full sets,
+   then all neighbours that are still in different components, and what is linked is
+   contracted to components. A large group of near copies is one component then.
 2. In each order, regions (classes with a common prefix) that still hold more than one
    component are searched for pairs across components. A region starts at the
    shallowest depth and goes deeper only where it is dense, so that thin regions keep
@@ -25,7 +26,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scale import stage
@@ -38,6 +39,7 @@ DEPTH = LEVELS[-1]
 FUNCTIONS = TREES * DEPTH
 DENSE = 512
 MAP_BITS = 1 << 27
+NEAREST = 4
 DEVIATIONS = 4.5
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
@@ -269,6 +271,21 @@ def _in_orders(nodes: DataFrame, *carry: str) -> DataFrame:
     return rows.select("cls", *carry, F.concat(number, part).alias("key"))
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def _between(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    side = nodes.join(roots, F.col("cls") == F.col("node"), "left").select(
+        "cls", F.xxhash64(F.coalesce("root", "cls")).alias("comp")
+    )
+    left = side.select(F.col("cls").alias("u"), F.col("comp").alias("cu"))
+    right = side.select(F.col("cls").alias("v"), F.col("comp").alias("cv"))
+    both = pairs.select("u", "v").join(left, "u").join(right, "v")
+    return both.where(F.col("cu") != F.col("cv")).select("u", "v")
+
+
 def _across(nodes: DataFrame, limit: int) -> DataFrame:
     """Candidate pairs of different components, from regions of adaptive depth.
 
@@ -347,26 +364,20 @@ def near_duplicates(
         "neighbours",
     )
     back = near.select(F.col("v").alias("u"), F.col("u").alias("v"), "apart")
-    nearest = near.unionByName(back).groupBy("u").agg(F.min(F.struct("apart", "v")).getField("v").alias("v"))
+    by_place = Window.partitionBy("u").orderBy("apart", "v")
+    nearest = near.unionByName(back).withColumn("place", F.row_number().over(by_place)).where(F.col("place") <= NEAREST)
     first = nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = _confirmed(docs, nodes, stage(first, "nearest"), words, per_cent)
-    tight = components(links)
+    tight = components(_confirmed(docs, nodes, stage(first, "nearest"), words, per_cent))
+    others = stage(_between(near, nodes, tight), "others")
+    more = _confirmed(docs, nodes, others, words, per_cent)
+    tight = components(_edges(tight).unionByName(more))
 
     comp = F.xxhash64(F.coalesce("root", "cls")).alias("comp")
     grouped = nodes.join(tight, F.col("cls") == F.col("node"), "left").select(*nodes.columns, comp)
     grouped = stage(grouped, "grouped")
-    side = grouped.select("cls", "comp")
-    open_pairs = (
-        near.join(side.select(F.col("cls").alias("u"), F.col("comp").alias("cu")), "u")
-        .join(side.select(F.col("cls").alias("v"), F.col("comp").alias("cv")), "v")
-        .where(F.col("cu") != F.col("cv"))
-        .select("u", "v")
-    )
-    rest = stage(_across(grouped, limit).unionByName(open_pairs).distinct(), "pairs")
+    rest = stage(_across(grouped, limit).distinct(), "pairs")
     more = _confirmed(docs, nodes, rest, words, per_cent)
-    roots = stage(
-        components(tight.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots"
-    )
+    roots = stage(components(_edges(tight).unionByName(more)), "roots")
 
     owned = nodes.join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root")
