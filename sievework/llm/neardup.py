@@ -8,10 +8,12 @@ classes that share a long prefix in some order are candidates:
    prefix are compared. The nearest few of every class are confirmed on the full sets,
    then all neighbours that are still in different components, and what is linked is
    contracted to components. A large group of near copies is one component then.
-2. In each order, regions (classes with a common prefix) that still hold more than one
-   component are searched for pairs across components. A region starts at the
-   shallowest depth and goes deeper only where it is dense, so that thin regions keep
-   the recall of a short prefix and crowded ones don't compare everything.
+2. In each order, regions (classes with three common values) that still hold more than
+   one component are searched for pairs across components. A region is dense when more
+   than ``DENSE`` of its classes lie outside its largest component, as each class is then
+   compared with more than that many. Classes of dense regions are dealt again, into
+   regions of five values and, where those are dense, of eight. Each time they get so
+   many new orders that a pair is missed there four times less often than at depth three.
 
 Candidates must agree on a sketch of four bits for each MinHash value, within 4.5 standard
 deviations of a pair at the threshold; every link is confirmed on the full shingle sets. Regions at the last depth
@@ -22,7 +24,7 @@ only with members of others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +146,54 @@ def sketch_limit(threshold: float) -> int:
     return int(FUNCTIONS * differ + DEVIATIONS * sqrt(FUNCTIONS * differ * (1 - differ)))
 
 
+def missed(orders: int, depth: int, threshold: float) -> float:
+    """The chance that a pair at the threshold agrees in none of ``orders`` random choices of ``depth`` values."""
+    total = 0.0
+    for m in range(FUNCTIONS + 1):
+        chance = comb(FUNCTIONS, m) * threshold**m * (1 - threshold) ** (FUNCTIONS - m)
+        total += chance * (1 - comb(m, depth) / comb(FUNCTIONS, depth)) ** orders
+    return total
+
+
+def choices(depth: int, threshold: float) -> np.ndarray:
+    """The MinHash functions of each order at a depth, one row per order.
+
+    The shallowest depth takes the beginnings of the sorted orders. Deeper ones have as
+    many random choices as keep the shallowest depth's recall.
+    """
+    if depth == LEVELS[0] or threshold >= 1:
+        return np.arange(FUNCTIONS).reshape(TREES, DEPTH)[:, :depth]
+    enough = (1 - threshold ** LEVELS[0]) ** TREES / 4
+    orders = TREES
+    while missed(orders, depth, threshold) > enough:
+        orders += 1 + orders // 64
+    rng = np.random.default_rng(depth)
+    return np.stack([rng.choice(FUNCTIONS, depth, replace=False) for _ in range(orders)])
+
+
+def in_regions(orders: np.ndarray):
+    """(cls, comp, region) of each class in each order; ``region`` hashes the order and its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u4").reshape(-1, FUNCTIONS)
+                region = np.empty((len(orders), len(sig)), np.uint64)
+                for j, chosen in enumerate(orders):
+                    h = mix(np.full(len(sig), (len(chosen) << 32) + j + 1, np.uint64))
+                    for f in chosen:
+                        h = mix(h ^ sig[:, f].astype(np.uint64))
+                    region[j] = h
+                again = pa.array(np.tile(np.arange(len(sig)), len(orders)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("cls").take(again), part.column("comp").take(again), pa.array(region.view(np.int64).ravel())],
+                    names=["cls", "comp", "region"],
+                )
+
+    return run
+
+
 def neighbours(limit: int):
     """Next to each other in one order, with a common prefix and similar sketches."""
 
@@ -286,36 +336,43 @@ def _between(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.col("cu") != F.col("cv")).select("u", "v")
 
 
-def _across(nodes: DataFrame, limit: int) -> DataFrame:
+def _across(nodes: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of different components, from regions of adaptive depth.
 
     ``nodes`` has cls, sig, the sketch and ``comp``, the component's hash.
     """
-    rows = _in_orders(nodes, "comp")
+    limit = sketch_limit(threshold)
+    rows = nodes.select("cls", "sig", "comp")
     found = None
     for depth in LEVELS:
-        last = depth == DEPTH
-        keyed = rows.withColumn("region", F.substring("key", 1, 1 + 4 * depth))
+        keyed = rows.mapInArrow(in_regions(choices(depth, threshold)), "cls binary, comp bigint, region bigint")
         regions = (
             keyed.groupBy("region")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
             .where(F.col("low") != F.col("high"))
-            .select("region", "n")
+            .select("region")
         )
         mixed = stage(keyed.join(regions, "region"), "regions")
-        thin = mixed if last else mixed.where(F.col("n") <= DENSE)
-        pairs = _region_pairs(thin, nodes, limit)
+        sizes = mixed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("region").agg(F.sum("size").alias("n"), F.max(F.struct("size", "comp")).alias("top"))
+        dense = F.col("n") - F.col("top.size") > DENSE
+        judged = mixed.join(largest.select("region", F.col("top.comp").alias("main"), dense.alias("dense")), "region")
+        last = depth == DEPTH
+        pairs = _region_pairs(judged if last else judged.where(~F.col("dense")), nodes, limit)
         found = pairs if found is None else found.unionByName(pairs)
-        rows = mixed.where(F.col("n") > DENSE).select("cls", "comp", "key")
+        if last:
+            break
+        crowded = judged.where("dense").select("cls").distinct()
+        rows = stage(rows.join(crowded, "cls", "left_semi"), "crowded")
+        if rows.isEmpty():
+            break
     return found
 
 
 def _region_pairs(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Pairs across components within regions, each smaller side against the rest."""
-    sizes = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("region").agg(F.max(F.struct("size", "comp")).getField("comp").alias("main"))
     sketch = nodes.select("cls", *SKETCH)
-    full = rows.select("region", "cls", "comp").join(largest, "region").join(sketch, "cls")
+    full = rows.select("region", "cls", "comp", "main").join(sketch, "cls")
     minor = full.where(F.col("comp") != F.col("main")).alias("a")
     other = full.alias("b")
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls"))
@@ -375,7 +432,7 @@ def near_duplicates(
     comp = F.xxhash64(F.coalesce("root", "cls")).alias("comp")
     grouped = nodes.join(tight, F.col("cls") == F.col("node"), "left").select(*nodes.columns, comp)
     grouped = stage(grouped, "grouped")
-    rest = stage(_across(grouped, limit).distinct(), "pairs")
+    rest = stage(_across(grouped, threshold).distinct(), "pairs")
     more = _confirmed(docs, nodes, rest, words, per_cent)
     roots = stage(components(_edges(tight).unionByName(more)), "roots")
 

@@ -118,6 +118,34 @@ def test_dense_regions_are_searched_at_greater_depth(spark, monkeypatch):
     assert sorted([tuple(r) for r in got], key=str) == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("comps", ["own", "one group"])
+def test_a_pair_of_dense_regions_only_is_found(spark, monkeypatch, comps):
+    monkeypatch.setattr(neardup, "DENSE", 4)
+    rng = np.random.default_rng(1)
+    start = rng.integers(0, 1 << 32, (neardup.TREES, neardup.DEPTH), dtype=np.uint32)
+    others = rng.integers(0, 1 << 32, (12, *start.shape), dtype=np.uint32)
+    others[:, :, :3] = start[:, :3]
+    near = start.copy()
+    near[:, 3] ^= 1
+    sigs = np.concatenate([start[None], near[None], others]).reshape(14, -1)
+    sketch = neardup._sketch(sigs)
+    rows = [
+        (bytes([i]), sigs[i].astype(">u4").tobytes(), 99 if comps == "one group" and i != 1 else i, *map(int, sketch[i]))
+        for i in range(14)
+    ]
+    names = ", ".join(f"{s} bigint" for s in neardup.SKETCH)
+    nodes = spark.createDataFrame(rows, f"cls binary, sig binary, comp bigint, {names}")
+    found = {(bytes(r.u), bytes(r.v)) for r in neardup._across(nodes, 0.85).collect()}
+    assert (b"\x00", b"\x01") in found
+
+
+def test_deeper_regions_keep_the_recall_of_shallow_ones():
+    for threshold in (0.8, 0.85):
+        for depth in neardup.LEVELS[1:]:
+            orders = len(neardup.choices(depth, threshold))
+            assert neardup.missed(orders, depth, threshold) <= (1 - threshold**3) ** 16 / 4
+
+
 def test_near_duplicates_with_missing_and_repeated_ids(spark):
     text = "a b c d e f g"
     rows = [(None, text), (7, text), (7, text), (3, "x y z u v w"), (None, "only null ids here now"), (7, "p q r s t")]
