@@ -15,16 +15,16 @@ classes that share a long prefix in some order are candidates:
    regions of five values and, where those are dense, of eight. Each time they get so
    many new orders that a pair is missed there four times less often than at depth three.
 
-Candidates must agree on a sketch of four bits for each MinHash value, within 4.5 standard
-deviations of a pair at the threshold; every link is confirmed on the full shingle sets. Regions at the last depth
-are searched whole, whatever their size: members of the largest component are paired
+Candidates must agree on a sketch of four bits for each MinHash value; the limit loses ten
+times fewer pairs at the threshold than the orders do. Every link is confirmed on the full
+shingle sets. Regions at the last depth are searched whole, whatever their size: members of the largest component are paired
 only with members of others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,6 @@ FUNCTIONS = TREES * DEPTH
 DENSE = 512
 MAP_BITS = 1 << 27
 NEAREST = 4
-DEVIATIONS = 4.5
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
 
@@ -141,9 +140,20 @@ def sign(words: int):
 
 
 def sketch_limit(threshold: float) -> int:
-    """Most differing sketch values of a pair at the threshold, with room for chance."""
+    """Most differing sketch values of a candidate.
+
+    A pair at the threshold differs in more with a tenth of the chance, by the exact
+    binomial, with which the orders miss it.
+    """
     differ = (1 - threshold) * 15 / 16
-    return int(FUNCTIONS * differ + DEVIATIONS * sqrt(FUNCTIONS * differ * (1 - differ)))
+    enough = (1 - threshold ** LEVELS[0]) ** TREES / 10
+    limit, beyond = FUNCTIONS, 0.0
+    while limit > 0:
+        beyond += comb(FUNCTIONS, limit) * differ**limit * (1 - differ) ** (FUNCTIONS - limit)
+        if beyond > enough:
+            break
+        limit -= 1
+    return limit
 
 
 def missed(orders: int, depth: int, threshold: float) -> float:

@@ -1,5 +1,6 @@
 """Quality, near-duplicates and decontamination against plain versions."""
 
+import math
 import random
 import re
 
@@ -146,6 +147,14 @@ def test_deeper_regions_keep_the_recall_of_shallow_ones():
             assert neardup.missed(orders, depth, threshold) <= (1 - threshold**3) ** 16 / 4
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_the_sketch_loses_less_than_the_orders(threshold):
+    n, differ = neardup.FUNCTIONS, (1 - threshold) * 15 / 16
+    limit = neardup.sketch_limit(threshold)
+    beyond = sum(math.comb(n, k) * differ**k * (1 - differ) ** (n - k) for k in range(limit + 1, n + 1))
+    assert limit < n // 2 and beyond <= (1 - threshold**3) ** 16 / 10
+
+
 def test_near_duplicates_with_missing_and_repeated_ids(spark):
     text = "a b c d e f g"
     rows = [(None, text), (7, text), (7, text), (3, "x y z u v w"), (None, "only null ids here now"), (7, "p q r s t")]
