@@ -61,7 +61,7 @@ class AuditInputs:
     """Everything an audit reads.
 
     Files of any size are checked, unless the caller sets ``max_size``; then each larger
-    file gives an info row instead.
+    file gives an info row instead. So does a file that has a size but no content.
     """
 
     files: DataFrame
@@ -117,6 +117,7 @@ def classified(inputs: AuditInputs) -> DataFrame:
     no_list = ~(speaks["python"] | speaks["javascript"] | speaks["typescript"])
     below = layout.migration_path(path)
     fits = F.lit(True) if inputs.max_size is None else F.col("size") <= inputs.max_size
+    unread = (F.col("size") > 0) & F.col("content").isNull()
     text = F.when(fits, normalise_newlines("content"))
     flagged = files.withColumns(
         {
@@ -130,7 +131,7 @@ def classified(inputs: AuditInputs) -> DataFrame:
         }
     )
     used = F.col("manifest") | F.col("migration") | (F.col("visible") & (F.col("listed") | F.col("config")))
-    return flagged.withColumns({"content": F.when(used, text), "skipped": used & ~fits}).drop("languages", "ignore")
+    return flagged.withColumns({"content": F.when(used, text), "skipped": used & ~fits, "unread": used & fits & unread}).drop("languages", "ignore")
 
 
 def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHECKS)) -> DataFrame:
@@ -162,10 +163,14 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
             col("manifest"), F.array(fact(kind="manifest", name=col("path"), value=F.coalesce(text, F.lit(""))))
         )
     ]
-    if inputs.max_size is not None and "security_scan" in checks:
-        said = f"File not checked: more than {inputs.max_size} bytes"
-        skipped = fact(kind="finding", check="security_scan", severity="info", message=said)
-        parts.append(facts_when(col("skipped"), F.array(skipped)))
+    if "security_scan" in checks:
+        reasons = {"unread": "its content was not read"}
+        if inputs.max_size is not None:
+            reasons["skipped"] = f"more than {inputs.max_size} bytes"
+        for flag, reason in reasons.items():
+            said = f"File not checked: {reason}"
+            skipped = fact(kind="finding", check="security_scan", severity="info", message=said)
+            parts.append(facts_when(col(flag), F.array(skipped)))
     if {"dependency_audit", "architecture_review"} & set(checks):
         stamp = F.unix_micros("mtime").cast("string")
         in_root = ~F.contains("path", F.lit("/"))

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..rules import MAX_FILE_SIZE
 from ..schema import FILES
 
 ARROW_SCHEMA = pa.schema(
@@ -33,6 +32,8 @@ ARROW_SCHEMA = pa.schema(
     ]
 )
 BATCH_BYTES = 16 * 1024 * 1024
+# Neither a Spark string nor an Arrow one can hold more.
+STRING_BYTES = (1 << 31) - (1 << 16)
 
 
 class Subtree(InputPartition):
@@ -46,7 +47,7 @@ class CorpusReader(DataSourceReader):
     def __init__(self, options: dict):
         self.projects = json.loads(options.get("projects", "[]"))
         self.fanout = int(options.get("fanout", "256"))
-        self.max_size = int(options.get("maxsize", str(MAX_FILE_SIZE)))
+        self.max_size = min(int(options.get("maxsize", str(STRING_BYTES))), STRING_BYTES)
         self.with_content = options.get("readcontent", "true").lower() == "true"
 
     def _pruned(self, relative: str, patterns: Sequence[str]) -> bool:
@@ -112,6 +113,9 @@ class CorpusReader(DataSourceReader):
                 stat = os.stat(full)
             except OSError:
                 continue
+            if rows and held + stat.st_size > BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
+                rows, held = [], 0
             text = None
             if self.with_content and stat.st_size <= self.max_size:
                 try:
@@ -148,15 +152,16 @@ class CorpusDataSource(DataSource):
 def read_corpus(
     spark: SparkSession,
     projects: DataFrame | Sequence[dict],
-    max_size: int = MAX_FILE_SIZE,
+    max_size: int | None = None,
     read_content: bool = True,
     fanout: int | None = None,
     max_projects: int = 100_000,
 ) -> DataFrame:
     """List project directories as a files table; a missing root gives no rows.
 
-    The paths must be visible to all executors. Content is read up to ``max_size``
-    bytes and is NULL beyond, or everywhere with ``read_content=False``.
+    The paths must be visible to all executors. Files of any size are read, unless
+    ``max_size`` is set; content is NULL beyond it, beyond the 2 GB of a Spark string,
+    where a file can't be read, and everywhere with ``read_content=False``.
     """
     if isinstance(projects, DataFrame):
         rows = projects.select("name", "path", "ignore_patterns").limit(max_projects + 1).collect()
@@ -175,11 +180,10 @@ def read_corpus(
     ]
     spark.dataSource.register(CorpusDataSource)
     parallelism = spark.sparkContext.defaultParallelism
-    return (
+    reader = (
         spark.read.format("corpus")
         .option("projects", json.dumps(listed))
-        .option("maxSize", str(max_size))
         .option("readContent", str(read_content).lower())
         .option("fanout", str(fanout or max(64, 8 * parallelism)))
-        .load()
     )
+    return (reader if max_size is None else reader.option("maxSize", str(max_size))).load()

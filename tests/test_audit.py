@@ -12,6 +12,7 @@ from sievework.plans import report
 from sievework.plans.audit import CHECKS, AuditInputs, audit, extract_facts, register_check
 from sievework.rules import Rule
 from sievework.schema import FINDING_COLUMNS, findings
+from sievework.sources import read_corpus
 from sievework.streaming import audit_so_far, audit_stream
 
 AS_OF = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -219,3 +220,16 @@ def test_hot_keys_give_whole_results(files):
     many += [("cold", "a.ts", "import { n1 } from 'x'"), ("hot", "z.ts", "import { n2 } from 'x'")]
     got = op.unused_exports(files(*many))
     assert got.count() == 294 and got.where("message like '%n2\\'%'").count() == 0
+
+
+def test_large_files_of_a_corpus_are_checked_or_said_to_be_not(spark, projects, tmp_path):
+    (tmp_path / "large.py").write_text("x = 1\n" * 100_000 + f"k = '{KEY}'\n")
+    listed = [{"name": "p", "path": str(tmp_path)}]
+    named = projects("p")
+
+    def found(rows):
+        inputs = AuditInputs(rows, named, F.lit(AS_OF))
+        return {(r.line, r.message) for r in audit(inputs, check="security_scan").where("file like '%large.py'").collect()}
+
+    assert {line for line, _ in found(read_corpus(spark, listed))} == {100_001}
+    assert found(read_corpus(spark, listed, max_size=500_000)) == {(None, "File not checked: its content was not read")}
