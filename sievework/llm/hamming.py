@@ -26,22 +26,17 @@ INDEX_ROWS = 1 << 18
 NEAREST = "query_id bigint, vec_id bigint, distance int"
 
 
-def codes(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, bits, dimension): sign bits (1 for 0 and above) of rows without nulls.
+def codes(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, bits): sign bits (1 for 0 and above) of vectors of ``dim`` values.
 
-    Null vectors, vectors with a null or NaN and vectors of another length than most are
-    left out.
+    Null vectors, vectors with a null or NaN and vectors of another length are left out.
     """
     lengths = pa.compute.list_value_length(vectors).fill_null(-1).to_numpy()
-    used = lengths[lengths > 0]
-    if not len(used):
-        return np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), 0
-    dim = int(np.bincount(used).argmax())
     rows = np.flatnonzero(lengths == dim)
     flat = vectors.take(pa.array(rows)).flatten()
     values = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), dim)
     whole = ~np.isnan(values).any(axis=1)
-    return rows[whole], (values[whole] >= 0).astype(np.uint8), dim
+    return rows[whole], (values[whole] >= 0).astype(np.uint8)
 
 
 def _segments(bits: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -157,9 +152,7 @@ def _search(query_ids: np.ndarray, query_bits: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, bits, held = [], [], 0
         for batch in batches:
-            rows, code, dim = codes(batch.column("v"))
-            if dim != query_bits.shape[1]:
-                continue
+            rows, code = codes(batch.column("v"), query_bits.shape[1])
             ids.append(batch.column("id").to_numpy()[rows])
             bits.append(code)
             held += len(rows)
@@ -180,18 +173,23 @@ def nearest_codes(
     ``queries`` is a condition that states the query rows; all rows are searched.
     Distances count differing sign bits; ties go by id, and a row is no neighbour of
     its own id. Rows with a null id, a null or empty vector, or a null inside are left
-    out, and vectors of another length than most queries find nothing. Ids are
+    out, and vectors of another length than most queries find nothing and are not found (of
+    equally frequent lengths the smallest counts). Ids are
     taken to be unique: equal repeated rows count once, and a query whose id has two
     vectors searches with the smaller code. Fewer than k other rows give fewer.
     """
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v"), queries.alias("q"))
     rows = rows.where(F.col("id").isNotNull())
     asked = rows.where("q").select("id", "v")
-    n = asked.count() // BLOCK_QUERIES + 1
+    lengths = asked.where(F.size("v") > 0).groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    most = lengths.orderBy(F.desc("n"), "dim").first()
+    n = asked.count() // BLOCK_QUERIES + 1 if most else 0
     out = None
     for i in range(n):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toArrow().combine_chunks()
-        found, bits, dim = codes(block.column("v").combine_chunks() if block.num_rows else pa.array([], pa.list_(pa.float32())))
+        if not block.num_rows:
+            continue
+        found, bits = codes(block.column("v").combine_chunks(), most.dim)
         if not len(found):
             continue
         ids = block.column("id").to_numpy()[found]

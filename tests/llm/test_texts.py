@@ -242,6 +242,24 @@ def test_nearest_codes_equal_brute_force(spark, monkeypatch):
         assert [(r.distance, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
+def test_nearest_codes_in_batches_of_mostly_another_length(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 24))
+    long = [(i, [float(x) for x in v[i]]) for i in range(60)]
+    short = [(1000 + i, [1.0, -1.0]) for i in range(200)]
+    rows = spark.createDataFrame(long + short, "vec_id bigint, embedding array<double>").coalesce(1)
+    asked = F.col("vec_id").isin(0, 10, 20, 30, 40, 1000, 1001, 1002)
+    got = hamming.nearest_codes(rows, asked, k=5).collect()
+    code = v >= 0
+    want = set()
+    for q in range(0, 50, 10):
+        far = (code != code[q]).sum(axis=1)
+        near = [i for i in sorted(range(60), key=lambda i: (far[i], i)) if i != q][:5]
+        want |= {(q, n, i, int(far[i])) for n, i in enumerate(near, 1)}
+    assert {tuple(r) for r in got} == want
+
+
 def test_nearest_codes_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in hamming.nearest_codes(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1)]
