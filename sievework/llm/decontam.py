@@ -5,6 +5,7 @@ item of n characters may occur with up to k = n * error_rate edits. It is cut in
 k + 1 pieces; k edits leave one piece whole, so every occurrence holds a piece exactly.
 An Aho-Corasick automaton finds piece hits in one pass over a text, and around each
 hit Myers' algorithm computes the smallest distance of the item to any part of the text.
+Short items must occur exactly and between word borders, as they are inside words by chance.
 
 The benchmark is a query set against all rows: it goes to the tasks in blocks of
 ``BLOCK_BYTES``, one pass over the documents for each block, so its size is not bounded
@@ -68,17 +69,33 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def whole(pattern: str, text: str, ranges: list[tuple[int, int]]) -> int | None:
+    """Where ``pattern`` first stands in one of the ranges of ``text`` without a letter or digit going on beyond it."""
+
+    def inside(at: int) -> bool:
+        return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+    for lo, hi in ranges:
+        at = text.find(pattern, lo, hi)
+        while at >= 0:
+            if not inside(at) and not inside(at + len(pattern)):
+                return at
+            at = text.find(pattern, at + 1, hi)
+    return None
+
+
 class Items:
     """A block of test items, ready for matching."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
         self.items: list[tuple[int, str, int]] = []
+        self.min_chars = min_chars
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normal(text)
-            if len(text) < min_chars:
+            if not text:
                 continue
-            budget = int(len(text) * error_rate)
+            budget = int(len(text) * error_rate) if len(text) >= min_chars else 0
             for lo, hi in pieces(len(text), budget):
                 places.setdefault(text[lo:hi], []).append((len(self.items), lo))
             self.items.append((item_id, text, budget))
@@ -113,6 +130,11 @@ class Items:
         rows = []
         for item, ranges in self.windows(text).items():
             item_id, pattern, budget = self.items[item]
+            if len(pattern) < self.min_chars:
+                begin = whole(pattern, text, ranges)
+                if begin is not None:
+                    rows.append((item_id, 0, begin, begin + len(pattern)))
+                continue
             best = None
             for lo, hi in ranges:
                 distance, end = best_match(pattern, text[lo:hi])
@@ -164,8 +186,8 @@ def find_items(
 
     ``begin`` and ``end`` (exclusive) are code points of the document's own text, of the
     occurrence with the smallest distance, the first of several. Items that are shorter
-    than ``min_chars`` are left out, as they would match by chance. Null and empty texts
-    match nothing. Repeated documents give a row each. Other columns are ignored.
+    than ``min_chars`` must occur without an edit and not inside a longer word. Null and
+    empty texts match nothing. Repeated documents give a row each. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))

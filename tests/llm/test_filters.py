@@ -262,6 +262,14 @@ def test_items_are_found_with_edits_and_nothing_else(spark):
     assert clean.columns == docs.columns
 
 
+def test_short_items_are_found_word_for_word(spark):
+    docs = table(spark, [(1, "Well:  What is\n2+2? Four."), (2, "what is 2+3?"), (3, "concatenate, cat"), (4, "concatenate")])
+    bench = spark.createDataFrame([(7, "what is 2+2?"), (8, "cat"), (9, " ")], "item_id bigint, text string")
+    got = decontam.find_items(docs, bench).collect()
+    assert {tuple(r) for r in got} == {(1, 7, 0, 7, 19), (3, 8, 0, 13, 16)}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {2, 4}
+
+
 def test_benchmark_in_blocks_and_empty(spark, monkeypatch):
     docs = table(spark, [(1, "the quick brown fox jumps over the dog"), (2, None)])
     bench = spark.createDataFrame([(i, f"the quick brown fox jumps over {'the dog' if i == 4 else i}") for i in range(9)], "item_id bigint, text string")
