@@ -91,9 +91,71 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
+
+
+def _op11(rounds: int = 4) -> str:
+    """The rounds one after the other; floors go down, ties to the lower entry."""
+    far = "list_sum(list_transform(list_zip(s.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""m{r} AS MATERIALIZED (SELECT s.vec_id, s.p, min(CAST({far} AS BIGINT) * 256 + b.e) AS m
+  FROM s JOIN b{r} b ON s.p = b.p GROUP BY 1, 2),
+a{r} AS MATERIALIZED (SELECT vec_id, p, m % 256 AS e, m // 256 AS far FROM m{r})"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""u{r} AS (SELECT p, e, i, sum(x) AS t, count(*) AS n FROM (
+    SELECT s.p, a.e, unnest(s.c) AS x, generate_subscripts(s.c, 1) AS i FROM s JOIN a{r} a ON s.vec_id = a.vec_id AND s.p = a.p)
+  GROUP BY 1, 2, 3),
+v{r} AS (SELECT p, e, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM u{r} GROUP BY 1, 2),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(v.c, b.c) AS c FROM b{r} b LEFT JOIN v{r} v ON v.p = b.p AND v.e = b.e)"""
+            )
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS c FROM kept, range(4) t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256),
+b0 AS MATERIALIZED (SELECT s.p, f.e, s.c FROM first f JOIN s USING (vec_id)),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+rows AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY 1),
+labelled AS (SELECT rows.*, label FROM rows JOIN kept USING (vec_id))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM labelled, books
+"""
+
+
+OP12 = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS whole, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+    CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN whole = '' OR contains(whole, '<P>') OR contains(whole, '<S>') OR contains(whole, '<M>') OR h3 % 100 >= 90
+      THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, n, form, whole, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid,
+    array_to_string(units[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN whole WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(whole) AS restored_sha256
+FROM p
+"""
+
 ORACLE = {
     "op6_near_duplicates": OP6,
     "op8_chat": OP8,
     "op9_nearest_codes": OP9,
     "op10_mixing": OP10,
+    "op11_vector_codes": _op11(),
+    "op12_fill_in_middle": OP12,
 }

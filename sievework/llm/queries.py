@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scale import stage, staging_dir
-from . import chat, decontam, hamming, lm, mixing, neardup, pii, quality, secrets, tokens
+from . import chat, decontam, fim, hamming, lm, mixing, neardup, pii, projected, quality, secrets, tokens, vectorcodes
 
 PREDICT_AT = 0.7
 
@@ -84,6 +84,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.with_label_error(*vectorcodes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected.nearest_cosine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in list(globals().items()) if name.startswith("op") and "_" in name
 }
