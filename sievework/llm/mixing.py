@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scale import stage
+from ..plans.scale import small_side, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -48,12 +48,22 @@ def sampling_key(id: Column, text: Column, weight: Column) -> Column:
     return -F.ln((number + 0.5) / float(1 << 52)) / weight
 
 
-def _rows(docs: DataFrame, quality: Column | None) -> dict[str, Column]:
+def _rows(docs: DataFrame, quality: Column | None) -> DataFrame:
+    """The caller's row as one column, beside what the mix needs of it.
+
+    ``__row`` tells apart rows of one id and text that differ elsewhere.
+    """
     weight = quality_weight(F.col("text")) if quality is None else quality
-    return {
-        "__size": word_count(F.col("text")),
-        "__key": sampling_key(F.col("doc_id"), F.col("text"), weight),
-    }
+    types = dict(docs.dtypes)
+    hashed = [F.col(f"`{c}`") for c in docs.columns if "map<" not in types[c] and "variant" not in types[c]]
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
+        F.col("doc_id").alias("__id"),
+        F.col("source").alias("__source"),
+        word_count(F.col("text")).alias("__size"),
+        sampling_key(F.col("doc_id"), F.col("text"), weight).alias("__key"),
+        F.xxhash64(*hashed).alias("__row"),
+    )
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -80,86 +90,118 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: in
     return rows.select("source", "source_size", F.coalesce(target, F.col("room")).alias("target"))
 
 
+SLIM = ["__id", "__source", "__size", "__key", "__row"]
+GROUP = ["__source", "__key", "__id", "__row"]
+# Copies of one row that a task hands out at a time.
+COPIES = 100_000
+
+
 def _limit(parts: DataFrame, plan: DataFrame, part: str) -> DataFrame:
     """Per source the part of the key range in which the budget runs out, and the words before it."""
-    running = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("__source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     rows = parts.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    held = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    held = rows.join(small_side(plan), F.col("__source").eqNullSafe(F.col("p_source")))
     filled = F.col("done") + F.col("before")
     inside = held.where((filled <= F.col("budget")) & (filled + F.col("words") > F.col("budget")))
-    return inside.select(
-        "p_source", "budget", filled.alias("done"), F.col(part).alias(f"cut_{part}")
-    )
+    return inside.select("p_source", "budget", filled.alias("done"), F.col(part).alias(f"cut_{part}"))
 
 
 def plan_mix(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    quality: Column | None = None,
+    rows: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, plan): slim rows of all documents, and one row per source.
+    """(plan, edges) from the slim rows of all documents.
 
-    The plan has source_size, target, ``epochs`` and the limit (last_key, last_id) of the
-    sampled part, null if it takes nothing.
+    The plan has one row per source: source_size, target, ``epochs``, ``budget`` for the
+    sampled part and the range ``cut_fine`` of the key in which it runs out (null if it
+    takes all). ``edges`` has the groups of equal rows in that range, their number
+    ``e_n`` and how many of them, ``e_taken``, the sample takes.
     """
-    slim = stage(
-        docs.select("doc_id", "source", *[c.alias(n) for n, c in _rows(docs, quality).items()]), "mix-rows"
-    )
-    sizes = slim.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    sizes = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
     shares = targets(sizes, weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = stage(
         shares.withColumn("epochs", whole.cast("bigint"))
-        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")),
+        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+        .withColumnRenamed("source", "p_source"),
         "mix-plan",
     )
-    # A rate of MIN_QUALITY makes no part of the range hold much more than its share.
-    place = 1.0 - F.exp(-F.col("__key") * MIN_QUALITY)
-    keyed = slim.where(F.col("__size") > 0).select(
-        "source",
-        "doc_id",
-        "__size",
-        "__key",
-        F.floor(place * PARTS).alias("coarse"),
-        F.floor(place * (PARTS * PARTS)).alias("fine"),
+    keyed = rows.where(F.col("__size") > 0).withColumns(
+        {"coarse": F.floor(_place() * PARTS), "fine": F.floor(_place() * (PARTS * PARTS))}
     )
-    start = plan.select(F.col("source").alias("p_source"), "budget", F.lit(0).cast("bigint").alias("done"))
-    coarse = keyed.groupBy("source", "coarse").agg(F.sum("__size").alias("words"))
+    start = plan.select("p_source", "budget", F.lit(0).cast("bigint").alias("done"))
+    coarse = keyed.groupBy("__source", "coarse").agg(F.sum("__size").alias("words"))
     cut = stage(_limit(coarse, start, "coarse"), "mix-coarse")
-    near = keyed.join(cut, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("coarse") == F.col("cut_coarse")))
-    near = stage(near.select("source", "doc_id", "__size", "__key", "fine"), "mix-near")
-    fine = near.groupBy("source", "fine").agg(F.sum("__size").alias("words"))
+    near = keyed.join(
+        small_side(cut), F.col("__source").eqNullSafe(F.col("p_source")) & (F.col("coarse") == F.col("cut_coarse"))
+    )
+    # Equal rows are one row with a number from here on, however many they are.
+    near = near.groupBy(*GROUP, "fine").agg(F.max("__size").alias("__size"), F.count(F.lit(1)).alias("e_n"))
+    near = stage(near, "mix-near")
+    fine = near.groupBy("__source", "fine").agg(F.sum(F.col("__size") * F.col("e_n")).alias("words"))
     cut = stage(_limit(fine, cut.drop("cut_coarse"), "fine"), "mix-fine")
 
-    last = near.join(cut, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("fine") == F.col("cut_fine")))
-    order = Window.partitionBy("source").orderBy("__key", "doc_id")
-    before = F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = last.withColumn("before", before).where(
-        F.col("done") + F.col("before") + F.col("__size") / 2.0 <= F.col("budget")
-    )
-    inside = taken.groupBy("source").agg(F.max(F.struct("__key", "doc_id")).alias("last"))
-    # Where no document of the last part is taken, or the budget takes the source whole.
-    edge = cut.join(inside, F.col("p_source").eqNullSafe(F.col("source")), "left").select(
-        F.col("p_source").alias("e_source"), "cut_fine", "last"
+    last = near.join(
+        small_side(cut), F.col("__source").eqNullSafe(F.col("p_source")) & (F.col("fine") == F.col("cut_fine"))
     )
-    return slim, plan.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    order = Window.partitionBy("__source").orderBy("__key", "__id", "__row")
+    words = F.sum(F.col("__size") * F.col("e_n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # The i-th of equal rows is taken while the words up to its middle are within the budget.
+    room = F.col("budget") - F.col("done") - F.coalesce(words, F.lit(0)) - F.col("__size") / 2.0
+    taken = F.least(F.col("e_n"), F.greatest(F.lit(0), F.floor(room / F.col("__size")) + 1)).cast("bigint")
+    edges = last.select(*[F.col(c).alias(f"e{c}") for c in GROUP], "e_n", taken.alias("e_taken"))
+    limits = cut.select(F.col("p_source").alias("c_source"), "cut_fine")
+    with_cut = plan.join(small_side(limits), F.col("p_source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    return stage(with_cut, "mix-limits"), stage(edges, "mix-edges")
+
+
+def _place() -> Column:
+    """From 0 to 1 by the key. A rate of MIN_QUALITY makes no part of the range hold much
+    more than its share."""
+    return 1.0 - F.exp(-F.col("__key") * MIN_QUALITY)
 
 
-def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with their source's plan and how many times each is taken."""
-    plan = plan.withColumnRenamed("source", "__source")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")))
-    place = F.floor((1.0 - F.exp(-F.col("__key") * MIN_QUALITY)) * (PARTS * PARTS))
-    me = F.struct("__key", "doc_id")
+def _times(rows: DataFrame, plan: DataFrame, edges: DataFrame, carried: str | None = None) -> DataFrame:
+    """Rows with their source's plan and ``__times``, how often each is taken.
+
+    Of equal rows of which only some are taken, any will do: they are counted, and the
+    number is handed out again in runs of COPIES, so no task holds them all.
+    """
+    keep = [*SLIM, *([carried] if carried else [])]
+
+    def planned(some: DataFrame) -> DataFrame:
+        joined = some.join(small_side(plan), F.col("__source").eqNullSafe(F.col("p_source")))
+        same = F.lit(True)
+        for c in GROUP:
+            same = same & F.col(c).eqNullSafe(F.col(f"e{c}"))
+        return joined.join(small_side(edges), same, "left")
+
+    partly = (F.col("e_taken") > 0) & (F.col("e_taken") < F.col("e_n"))
+    place = F.floor(_place() * (PARTS * PARTS))
     sampled = (
         F.when(F.col("budget") <= 0, F.lit(False))
         .when(F.col("cut_fine").isNull(), F.lit(True))
         .when(place < F.col("cut_fine"), F.lit(True))
         .when(place > F.col("cut_fine"), F.lit(False))
-        .otherwise(F.coalesce(me <= F.col("last"), F.lit(False)))
+        .otherwise(F.coalesce(F.col("e_taken") > 0, F.lit(False)))
+    )
+    out = [*keep, "source_size", "target"]
+    split = edges.where(partly)
+    times = (F.col("epochs") + sampled.cast("bigint")).alias("__times")
+    if split.isEmpty():
+        return planned(rows).select(*out, times)
+    whole = planned(rows).where(~F.coalesce(partly, F.lit(False))).select(*out, times)
+    ids = split.select(F.col("e__id").alias("s_id")).distinct()
+    some = rows.join(small_side(ids), F.col("__id").eqNullSafe(F.col("s_id")), "left_semi")
+    extra = [F.first(carried).alias(carried)] if carried else []
+    groups = planned(some).where(partly).groupBy(*GROUP).agg(
+        *[F.max(c).alias(c) for c in ("__size", "source_size", "target", "epochs", "e_taken", "e_n")], *extra
     )
-    return joined.withColumn("__times", F.col("epochs") + sampled.cast("bigint"))
+    runs = groups.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("e_n") - 1) / COPIES))))
+    spread = runs.repartition(*GROUP, "run")
+    first, last = F.col("run") * COPIES + 1, F.least((F.col("run") + 1) * COPIES, F.col("e_n"))
+    each = spread.withColumn("nth", F.explode(F.sequence(first, last)))
+    again = each.select(*out, (F.col("epochs") + (F.col("nth") <= F.col("e_taken")).cast("bigint")).alias("__times"))
+    return whole.unionByName(again)
 
 
 def mix_sizes(
@@ -170,13 +212,15 @@ def mix_sizes(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
-    ``docs`` has doc_id, text and source, each of which may be null; other columns are
-    ignored. A source without words has the target 0. Rows that agree in id and text are
-    taken together. Equal input gives equal output, however it is partitioned.
+    ``docs`` has doc_id, text and source, each of which may be null; other columns only
+    tell rows apart, whatever their names. A source without words has the target 0. Of
+    rows that are equal in all columns as many are taken as fit. Equal input gives equal
+    output, however it is partitioned.
     """
-    slim, plan = plan_mix(docs, weights, max_epochs, quality)
-    return _times(slim, plan).select(
-        "doc_id",
+    slim = stage(_rows(docs, quality).select(*SLIM), "mix-rows")
+    plan, edges = plan_mix(slim, weights, max_epochs)
+    return _times(slim, plan, edges).select(
+        F.col("__id").alias("doc_id"),
         F.col("__size").alias("size"),
         "source_size",
         "target",
@@ -191,7 +235,8 @@ def mix_documents(
     quality: Column | None = None,
 ) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    _, plan = plan_mix(docs, weights, max_epochs, quality)
-    rows = _times(docs.withColumns(_rows(docs, quality)), plan)
+    rows = _rows(docs, quality)
+    plan, edges = plan_mix(stage(rows.select(*SLIM), "mix-rows"), weights, max_epochs)
+    taken = _times(rows, plan, edges, "__doc").where(F.col("__times") > 0)
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times"))).alias("__copy")
-    return rows.where(F.col("__times") > 0).select(*docs.columns, copies).drop("__copy")
+    return taken.select("__doc", copies).select("__doc.*")

@@ -465,16 +465,17 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8
     Of rows that repeat the kept id, the one with the smallest hash of its text stays; in
     a group without any id, likewise one per id null and text.
     """
-    keep = near_duplicates(docs, words, threshold).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # The sides go by alias, as the documents may have columns of any name.
+    keep = near_duplicates(docs, words, threshold).where("kept").select("doc_id").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    kept = docs.alias("d").join(keep.alias("k"), same, "left_semi").select("d.*")
     repeated = stage(
-        kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("h")).where("n > 1"),
+        kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("text")).alias("least")).where("rows > 1"),
         "repeated",
     )
     if repeated.isEmpty():
         return kept
-    many = repeated.select(F.col("doc_id").alias("__id"), "h")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = kept.join(many, same, "left_anti")
-    first = kept.join(many, same & (F.xxhash64("text") == F.col("h"))).select(*docs.columns)
+    once = kept.alias("d").join(repeated.alias("k"), same, "left_anti").select("d.*")
+    smallest = same & (F.xxhash64(F.col("d.text")) == F.col("k.least"))
+    first = kept.alias("d").join(repeated.alias("k"), smallest).select("d.*")
     return once.unionByName(first.dropDuplicates(["doc_id"]))

@@ -166,6 +166,9 @@ def test_near_duplicates_with_missing_and_repeated_ids(spark):
 
 def test_near_duplicates_of_an_empty_table(spark):
     assert neardup.near_duplicates(table(spark, [])).collect() == []
+    named = table(spark, rows).selectExpr("*", "1 AS h", "2 AS n", "3 AS rows", "4 AS least", "5 AS __id")
+    again = neardup.drop_near_duplicates(named)
+    assert again.columns[-5:] == ["h", "n", "rows", "least", "__id"] and again.count() == len(kept)
     assert neardup.drop_near_duplicates(table(spark, [])).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
