@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_lang, has_suffix, in_basenames, normalise_newlines
@@ -50,7 +50,8 @@ from ..rules import (
 )
 from ..schema import FACT_TYPES, FINDING_COLUMNS, display_path, fact, facts_when, no_facts
 from ..sources.filters import ignored, with_ignore
-from ..sources.registry import present_projects, select_projects
+from ..sources.corpus import scan_corpus
+from ..sources.registry import present_projects, read_projects, read_secret_rules, select_projects
 from .scale import small_side, stage
 
 MANIFESTS = [deps.JS_MANIFEST, deps.PY_MANIFEST, layout.IGNORE_FILE]
@@ -62,6 +63,7 @@ class AuditInputs:
 
     Files of any size are checked, unless the caller sets ``max_size``; then each larger
     file gives an info row instead. So does a file that has a size but no content.
+    ``roots`` (name) are the projects whose folder exists, where the source knows.
     """
 
     files: DataFrame
@@ -71,8 +73,17 @@ class AuditInputs:
     advisories: DataFrame | None = None
     max_size: int | None = None
     strict: bool = False
+    roots: DataFrame | None = None
     facts: DataFrame | None = field(default=None, repr=False)
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, path: str, as_of: Column, **options) -> AuditInputs:
+        """The projects, folders and secret patterns that a JSON config file names."""
+        projects = read_projects(spark, path)
+        corpus = scan_corpus(spark, projects)
+        rules = read_secret_rules(spark, path)
+        return cls(corpus.files, projects, as_of, secret_rules=rules, roots=corpus.roots, **options)
+
     def kind(self, name: str) -> DataFrame:
         return self.facts.where(F.col("kind") == name)
 
@@ -345,7 +356,7 @@ def audit(
     names = [check] if check else list(CHECKS)
     projects = select_projects(inputs.projects, project)
     files = inputs.files if project is None else inputs.files.where(F.col("project") == project)
-    scanned = present_projects(files, projects)
+    scanned = present_projects(files, projects, inputs.roots)
     if staged:
         scanned = stage(scanned, "projects")
     chosen = replace(inputs, files=files, projects=scanned)

@@ -153,6 +153,12 @@ def valid_rules(spark: SparkSession, rules: Iterable[Rule | LoopRule]) -> list[R
     return [rule for rule in rules if compiles(rule)]
 
 
+def user_secret_rules(patterns: Iterable[str]) -> list[Rule]:
+    """Secret rules from a user's patterns; a pattern of the catalogue keeps its short cuts."""
+    known = {rule.pattern: rule for rule in SECRET_RULES}
+    return [known.get(p, Rule(p, SECRET_MESSAGE, "warning")) for p in patterns if p]
+
+
 def rules_from(table: DataFrame, rule_set: str) -> list[Rule]:
     """Read one rule set from a table (rule_set, ord, pattern, lang, message, severity)."""
     rows = (

@@ -1,6 +1,6 @@
 """Where text comes from: directory trees, tables, registries and manifests."""
 
-from .corpus import CorpusDataSource, read_corpus
+from .corpus import Corpus, read_corpus, scan_corpus
 from .filters import (
     exclude_basenames,
     filter_ext,
@@ -11,11 +11,12 @@ from .filters import (
     path_ignored,
     read_text,
 )
-from .registry import present_projects, read_projects, select_projects
+from .registry import present_projects, read_projects, read_secret_rules, select_projects
 from .tables import files_from, spread_small
 
 __all__ = [
-    "CorpusDataSource", "exclude_basenames", "files_from", "filter_ext", "filter_ignored",
+    "Corpus", "exclude_basenames", "files_from", "filter_ext", "filter_ignored",
     "glob_regex", "ignore_regex", "large_files", "path_ignored", "present_projects",
-    "read_corpus", "read_projects", "read_text", "select_projects", "spread_small",
+    "read_corpus", "read_projects", "read_secret_rules", "read_text", "scan_corpus",
+    "select_projects", "spread_small",
 ]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..rules import Rule, user_secret_rules
 from ..schema import PROJECTS
 
 CONFIG = T.StructType(
@@ -25,10 +26,10 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return read_config(spark, path).select(F.inline("projects"))
 
 
-def read_secret_patterns(spark: SparkSession, path: str) -> list[str]:
-    """The user's secret patterns, in order."""
+def read_secret_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """The secret rules of a config file, in its order; none if it names none."""
     row = read_config(spark, path).select("secret_patterns").first()
-    return list(row[0] or []) if row else []
+    return user_secret_rules((row[0] if row else None) or [])
 
 
 def select_projects(projects: DataFrame, name: str | None = None, strict: bool = True) -> DataFrame:
@@ -41,7 +42,13 @@ def select_projects(projects: DataFrame, name: str | None = None, strict: bool =
     return chosen
 
 
-def present_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Projects that have at least one file; the others count as not scanned."""
-    seen = files.select(F.col("project").alias("name")).distinct()
-    return projects.join(seen, "name", "left_semi")
+def present_projects(files: DataFrame, projects: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Projects whose folder exists; the others count as not scanned.
+
+    ``roots`` (name) tells which folders a scan has found, empty ones too. Without it only
+    projects that have a file are known to exist.
+    """
+    seen = files.select(F.col("project").alias("name"))
+    if roots is not None:
+        seen = seen.unionByName(roots.select("name"))
+    return projects.join(seen.distinct(), "name", "left_semi")

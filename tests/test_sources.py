@@ -19,7 +19,8 @@ from sievework.sources import (
     read_text,
     select_projects,
 )
-from sievework.sources.registry import read_secret_patterns
+from sievework.sources import corpus, read_secret_rules, scan_corpus
+from sievework.rules import SECRET_RULES
 
 
 @pytest.fixture
@@ -41,13 +42,13 @@ def tree(tmp_path):
     return root
 
 
-@pytest.mark.parametrize("fanout", [1, 3, 100])
-def test_corpus_lists_hidden_and_empty_files(spark, tree, fanout):
+@pytest.mark.parametrize("limit", [1, 100])
+def test_corpus_lists_hidden_and_empty_files(spark, tree, limit):
     projects = [
         {"name": "p", "path": str(tree), "ignore_patterns": ["node_modules"]},
         {"name": "gone", "path": str(tree / "nowhere"), "ignore_patterns": []},
     ]
-    rows = {r.path: r for r in read_corpus(spark, projects, max_size=1000, fanout=fanout).collect()}
+    rows = {r.path: r for r in read_corpus(spark, projects, max_size=1000, limit=limit).collect()}
     assert sorted(rows) == [".gitignore", "__init__.py", "a b.py", "bad.py", "big.py", "src/deep/er/m.ts"]
     assert rows["__init__.py"].content == "" and rows["bad.py"].content == "ok  end"
     assert rows["big.py"].content is None and rows["big.py"].size == 2000
@@ -60,12 +61,48 @@ def test_corpus_without_content(spark, tree):
     assert [r.path for r in large_files(rows, 1999).collect()] == ["big.py"]
 
 
-def test_corpus_work_is_split_before_the_walk(spark, tree):
-    from sievework.sources.corpus import CorpusReader
-
-    option = json.dumps([{"name": "p", "path": str(tree), "ignore_patterns": []}])
-    parts = CorpusReader({"projects": option, "fanout": "4"}).partitions()
-    assert len(parts) >= 4
+def test_reading_is_split_by_bytes(spark, tmp_path):
+    """70 projects, one with most of the files in one flat folder, one with a large file."""
+    names = []
+    for p in range(70):
+        for i in range(1500 if p == 3 else 5):
+            path = tmp_path / f"p{p}" / ("flat" if p == 3 else f"d{i}") / f"f{i}.py"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"x" * (i % 50 * 100))
+            names.append((f"p{p}", str(path.relative_to(tmp_path / f"p{p}"))))
+    projects = [{"name": f"p{p}", "path": str(tmp_path / f"p{p}")} for p in range(71)]
+    registry = spark.createDataFrame([(p["name"], p["path"], None) for p in projects], "name string, path string, ignore_patterns array<string>")
+    listing, roots = corpus.list_corpus(spark, registry, limit=200)
+    assert sorted((r.project, r.path) for r in listing.collect()) == sorted(names)
+    assert roots.count() == 70
+    placed, n = corpus.byte_parts(listing, 16)
+    cost = [r[0] for r in placed.groupBy("part").agg(F.sum(F.col("size") + corpus.FILE_COST)).select("sum((size + 4096))").collect()]
+    assert n == 16 and len(cost) == 16 and max(cost) < 1.2 * sum(cost) / 16
+    files = read_corpus(spark, projects, parts=16)
+    rows = files.select("project", "path", F.length("content").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.project, r.path) for r in rows) == sorted(names)
+    assert len({r.task for r in rows if r.project == "p3"}) >= 8
+    assert all(r.n == int(r.path.split("/f")[1][:-3]) % 50 * 100 for r in rows)
+
+
+def test_a_folder_without_files_counts_as_scanned(spark, tmp_path):
+    from sievework.plans import report
+    from sievework.plans.audit import AuditInputs, audit
+
+    for name in ("full", "empty"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "full" / "a.py").write_text('k = "tok-0123456789abcdef"\npassword = "abcDEF123456"\n')
+    config = tmp_path / "config.json"
+    registry = [{"name": n, "path": str(tmp_path / n), "languages": ["python"]} for n in ("full", "empty", "gone")]
+    config.write_text(json.dumps({"projects": registry, "secret_patterns": [r"tok-[0-9a-f]{16}", "(bad", SECRET_RULES[0].pattern]}))
+    inputs = AuditInputs.from_config(spark, str(config), F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(r.name for r in present_projects(inputs.files, inputs.projects, inputs.roots).collect()) == ["empty", "full"]
+    found = audit(inputs, check="security_scan").collect()
+    secrets = [(r.file, r.line) for r in found if r.message.startswith("Potential hardcoded")]
+    assert sorted(secrets) == [("full/a.py", 1), ("full/a.py", 2)]
+    assert any("(bad" in r.message for r in found)
+    summary = report.project_summary(audit(inputs, check="security_scan"), present_projects(inputs.files, inputs.projects, inputs.roots))
+    assert {r.project for r in summary.collect()} == {"empty", "full"}
 
 
 def reference_ignored(path, globs):
@@ -125,7 +162,7 @@ def test_registry(spark, tmp_path, files):
     assert [(r.name, r.languages, r.supabase_project) for r in registry.orderBy("name").collect()] == [
         ("a", ["python"], "s"), ("b", [], None),
     ]
-    assert read_secret_patterns(spark, str(path)) == ["k+", "(bad"]
+    assert [r.pattern for r in read_secret_rules(spark, str(path))] == ["k+", "(bad"]
     assert [r.name for r in select_projects(registry, "b").collect()] == ["b"]
     with pytest.raises(ValueError):
         select_projects(registry, "zzz")
