@@ -12,6 +12,7 @@ import ast
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -195,43 +196,58 @@ JS_FUNCTION = re.compile(
     r"(?:async\s+)?(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[a-zA-Z_$]\w*)\s*=>)"
 )
 _BRACE_OR_QUOTE = re.compile("[{}'\"`]")
+# More text than this in the blocks of one file, nested ones counted again, is an error.
+MAX_BLOCK_CHARS = 64_000_000
 
 
-def _block_end(source: str, start: int) -> int:
-    """End of the brace block opened just before ``start``, or -1 if it never closes.
+def block_ends(source: str) -> dict[int, int]:
+    """Where the block of each opening brace ends, for all that close.
 
-    A quote skips to its next occurrence, escaped or not; a lone quote is ignored.
+    A quote skips to its next occurrence, escaped or not; a lone quote is ignored. So what
+    follows a sign does not depend on where one began to read, and one pass from the last
+    sign to the first gives for each the closing brace that is reached from it with no
+    block open: for an opening brace that is what is reached behind its own end.
     """
-    depth, at = 1, start
-    while depth:
-        token = _BRACE_OR_QUOTE.search(source, at)
-        if token is None:
-            return -1
-        at = token.end()
-        if token.group() == "{":
-            depth += 1
-        elif token.group() == "}":
-            depth -= 1
+    places = [m.start() for m in _BRACE_OR_QUOTE.finditer(source)]
+    behind = len(places)
+    reached = [-1] * (behind + 1)
+    later: dict[str, int] = {}
+    ends = {}
+    for i in range(behind - 1, -1, -1):
+        sign = source[places[i]]
+        if sign == "}":
+            reached[i] = i
+        elif sign == "{":
+            own = reached[i + 1]
+            if own >= 0:
+                ends[places[i]] = places[own] + 1
+                reached[i] = reached[own + 1]
         else:
-            close = source.find(token.group(), at)
-            at = close + 1 if close >= 0 else at
-    return at
+            reached[i] = reached[later.get(sign, i) + 1]
+            later[sign] = i
+    return ends
 
 
 def read_js(source: str) -> dict | None:
     """Brace blocks of named functions that span enough lines."""
-    blocks = []
+    blocks, held = [], 0
+    ends = block_ends(source)
+    breaks = [m.start() for m in re.finditer("\n", source)]
     for match in JS_FUNCTION.finditer(source):
         opening = source.find("{", match.end())
-        end = _block_end(source, opening + 1) if opening >= 0 else -1
+        end = ends.get(opening, -1)
         if end < 0:
             continue
-        length = source.count("\n", match.start(), end)
+        before = bisect_left(breaks, match.start())
+        length = bisect_left(breaks, end) - before
         if length >= MIN_FUNCTION_LINES:
+            held += end - opening
+            if held > MAX_BLOCK_CHARS:
+                raise ValueError(f"nested functions hold more than {MAX_BLOCK_CHARS} characters")
             blocks.append(
                 {
                     "name": match.group(1) or match.group(2),
-                    "line": source.count("\n", 0, match.start()) + 1,
+                    "line": before + 1,
                     "block": source[opening:end],
                     "n_lines": length,
                 }

@@ -100,7 +100,7 @@ def secret_match(
     """
     quoted = java_pattern(QUOTED_VALUE)
     found = [
-        f"IF({test}, named_struct('found', regexp_extract({text}, {sql_text(rule.java)}, 0), "
+        f"IF({test}, named_struct('found', {rule.match_in(text)}, "
         f"'hit', {_hit(rule.severity, rule.message)}), NULL)"
         for test, rule in zip(_tries(text, mask, rules), rules)
     ]

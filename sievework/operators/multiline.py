@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import matched_lines
 from ..functions.text import file_lang, multiline_snippet, redact
+from .gaps import chain_matches
 from ..rules import LOOP_RULES, PERFORMANCE_RULES, SPACE, LoopRule, Rule, java_pattern, valid_rules
 from ..schema import FINDING_COLUMNS, display_path, empty
 
@@ -24,27 +25,31 @@ def _match(rule: int, line: Column, found: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), line.cast("int").alias("line"), found.alias("found"))
 
 
+def _possible(text: str, rule: Rule) -> str:
+    return rule.possible_in(text, f"lower({text})" if rule.ignores_case else text)
+
+
 def pattern_matches(text: str, rule: Rule, number: int) -> Column:
     """Every non-overlapping match of one rule: array<MATCH>, NULL without any."""
-    lowered = f"lower({text})" if rule.ignores_case else text
     item = f"named_struct('rule', {number}, 'line', m.line, 'found', m.found)"
-    possible = rule.possible_in(text, lowered)
-    return F.expr(
-        matched_lines(text, rule.pattern, item, possible=possible, anchor=rule.anchor, anchored=rule.anchored)
-    )
+    return F.expr(matched_lines(text, rule.pattern, item, possible=_possible(text, rule)))
 
 
 def text_matches(text: str, rules: Sequence[Rule | LoopRule], lang: Column | None = None) -> Column:
     """Matches of all rules, numbered by place; rules with a language need that file language."""
-    parts = []
+    parts, chains = [], []
     for number, rule in enumerate(rules):
+        speaks = lang == rule.lang if rule.lang != "any" and lang is not None else F.lit(True)
         if isinstance(rule, LoopRule):
             part = loop_matches(F.col(text), rule, number)
+        elif rule.chain:
+            chains.append((number, rule.chain, speaks & F.expr(_possible(text, rule))))
+            continue
         else:
             part = pattern_matches(text, rule, number)
-        if rule.lang != "any" and lang is not None:
-            part = F.when(lang == rule.lang, part)
-        parts.append(F.coalesce(part, empty(MATCH)))
+        parts.append(F.coalesce(F.when(speaks, part), empty(MATCH)))
+    if chains:
+        parts.append(F.coalesce(chain_matches(F.col(text), chains), empty(MATCH)))
     return F.concat(*parts) if parts else empty(MATCH)
 
 

@@ -22,6 +22,32 @@ from .schema import sql_text
 MAX_RULES = 2_000
 
 
+@dataclass(frozen=True)
+class Step:
+    """One step of a chain, and the gap before it.
+
+    ``near``: the nearest place at most ``most`` characters on; ``line``: the last place on
+    the same line; ``stop``: the place at the first ``stop`` sign. ``least`` characters must
+    lie between.
+    """
+
+    pattern: str
+    gap: str = "near"
+    most: int = 0
+    least: int = 0
+    stop: str = ""
+
+
+@dataclass(frozen=True)
+class Chain:
+    """A pattern as steps with gaps; nothing that matches ``absent`` may start within
+    ``within`` characters after it."""
+
+    steps: tuple[Step, ...]
+    absent: str = ""
+    within: int = 0
+
+
 @dataclass(frozen=True)
 class Rule:
     """One text rule.
@@ -31,14 +57,12 @@ class Rule:
     finds something in every text the rule matches. They only save work: a file
     without them skips the rule's real pattern.
 
-    ``anchor`` and ``anchored`` replace a pattern that would try its whole tail at
-    every step of its head, which one very long line can make endless. The points
-    where the tail fits are marked first (``anchor``, in one pass); ``anchored`` is
-    the pattern with the mark character in it and finds the same matches.
+    ``chain`` says the same as a pattern that tries an open gap behind each of its heads,
+    which one very long text can make endless, in steps that take one pass each.
 
     ``linear`` tells of one line whether ``pattern`` matches it, without trying the tail
     again at every head: only the first head counts, as all that follows a later head
-    also follows the first.
+    also follows the first. ``shown`` finds in group 1 what the pattern finds, likewise.
     """
 
     pattern: str
@@ -47,8 +71,8 @@ class Rule:
     lang: str = "any"
     needles: tuple[str, ...] = ()
     gate: str = ""
-    anchor: str = ""
-    anchored: str = ""
+    shown: str = ""
+    chain: Chain | None = None
     linear: str = ""
 
     @property
@@ -70,11 +94,17 @@ class Rule:
 
     def found_in(self, text: str) -> str:
         """SQL test for the rule's pattern on one line."""
-        return f"({text} RLIKE {sql_text(java_pattern(self.linear) if self.linear else self.java)})"
+        return f"({text} RLIKE {sql_text(java_pattern(self.linear or self.shown or self.pattern))})"
+
+    def match_in(self, text: str) -> str:
+        """SQL for what the pattern finds first in a line in which it finds something."""
+        if self.shown:
+            return f"regexp_extract({text}, {sql_text(java_pattern(self.shown))}, 1)"
+        return f"regexp_extract({text}, {sql_text(self.java)}, 0)"
 
     def patterns(self) -> list[str]:
         """Every pattern that may run for this rule, as Java reads it."""
-        return [java_pattern(p) for p in (self.pattern, self.gate, self.anchor, self.anchored, self.linear) if p]
+        return [java_pattern(p) for p in (self.pattern, self.gate, self.linear, self.shown) if p]
 
 
 @dataclass(frozen=True)
@@ -221,7 +251,13 @@ SECRET_RULES = [
     ),
     Rule(r"sk-[A-Za-z0-9]{20,}", SECRET_MESSAGE, "warning", needles=("sk-",)),
     Rule(r"ghp_[A-Za-z0-9]{36}", SECRET_MESSAGE, "warning", needles=("ghp_",)),
-    Rule(r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}", SECRET_MESSAGE, "warning", needles=("eyJ",)),
+    Rule(
+        r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}",
+        SECRET_MESSAGE,
+        "warning",
+        needles=("eyJ",),
+        shown=r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{20,}+\.[A-Za-z0-9_-]{20,})",
+    ),
     Rule(r"xoxb-[0-9]{10,}-[A-Za-z0-9]{20,}", SECRET_MESSAGE, "warning", needles=("xoxb-",)),
     Rule(r"-----BEGIN (RSA |EC )?PRIVATE KEY-----", SECRET_MESSAGE, "warning", needles=("-----BEGIN",)),
 ]
@@ -253,6 +289,7 @@ ERROR_RULES = [
         "fetch() without .catch() or try/catch -- network errors will crash",
         "info",
         needles=("fetch",),
+        linear=r"(?:\A|(?<=\)))(?>[^)]*?fetch\s*\()[^)]++\)(?!\s*\.then\s*\([\s\S]{0,100}\.catch|\s*\.\s*catch)",
     ),
     Rule(
         r"except\s*:",
@@ -309,8 +346,12 @@ N_PLUS_1_RULES = [
         "warning",
         lang="javascript",
         needles=("await",),
-        anchor=r"\)(?=\s*\{[\s\S]{0,500}?await\s+.*\.(?:select|from|query|execute|findOne|findMany|find)\s*\()",
-        anchored=r"(?:for|while)\s*\(.+\x03\)\s*\{[\s\S]*?await\s+.*\.(?:select|from|query|execute|findOne|findMany|find)\s*\(",
+        chain=Chain((
+            Step(r"(?:for|while)\s*\("),
+            Step(r"\)\s*\{", "line", least=1),
+            Step(r"await\s+", most=500),
+            Step(r"\.(?:select|from|query|execute|findOne|findMany|find)\s*\(", "line"),
+        )),
     ),
     Rule(
         r"(?:for|while|\.forEach|\.map)\s*[\(\{][\s\S]{0,300}?supabase[\s\S]{0,100}?\.select\s*\(",
@@ -318,6 +359,11 @@ N_PLUS_1_RULES = [
         "warning",
         lang="javascript",
         needles=("supabase",),
+        chain=Chain((
+            Step(r"(?:for|while|\.forEach|\.map)\s*[\(\{]"),
+            Step(r"supabase", most=300),
+            Step(r"\.select\s*\(", most=100),
+        )),
     ),
 ]
 
@@ -333,6 +379,15 @@ UNBOUNDED_RULES = [
         "Supabase query without .limit() or .single() -- may return unbounded rows",
         "warning",
         needles=("supabase",),
+        chain=Chain(
+            (
+                Step(r"supabase\s*\.\s*from\s*\("),
+                Step(r"\)\s*\.\s*select\s*\(", "stop", least=1, stop=")"),
+                Step(r"\)", "stop", stop=")"),
+            ),
+            absent=r"\.(?:limit|single|maybeSingle)\s*\(",
+            within=150,
+        ),
     ),
     Rule(
         r"\.fetchall\s*\(\s*\)(?![\s\S]{0,50}LIMIT)",
@@ -348,12 +403,17 @@ EXPENSIVE_RULES = [
         "JSON.parse() inside a loop -- consider parsing once and reusing",
         "info",
         needles=("JSON.parse",),
+        chain=Chain((Step(r"(?:for|while|\.map|\.forEach|\.reduce)\s*[\(\{]"), Step(r"JSON\.parse\s*\(", most=200))),
     ),
     Rule(
         r"(?:async\s+function|=>\s*\{)[\s\S]{0,500}?(?:readFileSync|writeFileSync|existsSync|statSync)\s*\(",
         "Synchronous fs operation in async function -- use async/promises variant",
         "warning",
         needles=("readFileSync", "writeFileSync", "existsSync", "statSync"),
+        chain=Chain((
+            Step(r"(?:async\s+function|=>\s*\{)"),
+            Step(r"(?:readFileSync|writeFileSync|existsSync|statSync)\s*\(", most=500),
+        )),
     ),
     Rule(
         r"""\.eq\s*\(\s*['"](?:created_at|updated_at|status|type|category)['"]""",
@@ -372,6 +432,7 @@ EXPENSIVE_RULES = [
         "String concatenation in loop -- use array.join() or template literals",
         "info",
         needles=("+=",),
+        chain=Chain((Step(r"(?:for|while)\s*[\(\{]"), Step(r"""\+=\s*['"`]""", most=200))),
     ),
 ]
 

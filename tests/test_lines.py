@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from sievework import operators as op
-from sievework.operators.lines import error_group, insecure_group, line_scan, sql_group
-from sievework.rules import INSECURE_RULES, SECRET_RULES, SQL_RULES, Rule, valid_rules
+from sievework.operators.lines import error_group, insecure_group, line_scan, prefix_group, secret_group, sql_group
+from sievework.rules import ERROR_RULES, INSECURE_RULES, SECRET_RULES, SQL_RULES, Rule, valid_rules
 
 KEY = "abcdefghij0123456789KLMN"
 
@@ -107,6 +107,9 @@ def test_line_scan_does_not_shuffle(files):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+LINE_RULES = [*SECRET_RULES, *INSECURE_RULES, *ERROR_RULES, *SQL_RULES]
+
+
 def test_linear_forms_agree_with_the_plain_patterns(spark):
     import random
 
@@ -114,25 +117,41 @@ def test_linear_forms_agree_with_the_plain_patterns(spark):
     bits = [
         "cors", "origin", "*", "disable", "ssl", "verify", " = ", "False", "rejectUnauthorized", "false", "execute(", "query (", "f'", '"', "run(f'", "execute( '",
         "%s", "%", "{", "}", "+ ", "req.", "body.", "aws", "github", "=", "'abcdefghij0123456789_x'", "subprocess.call(", "shell=True", " ", "x", "'",
+        "fetch(", "fetch (", "await ", ")", ").then(", ".catch", " .catch(", "eyJ", "abcdefghij0123456789", ".", "-", "_",
     ]
-    lines = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    lines = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(9000)]
     lines += ["run('%s' % x", "query(f'{a}')", "execute('a' + req.x)", "subprocess.call(x shell = True", "github = 'abcdefghij0123456789_x'"]
+    lines += ["fetch(u)", "fetch(u).then(x).catch(y)", "fetch(fetch(u).catch", "fetch()", "eyJeyJabcdefghij0123456789.abcdefghij0123456789-", "x-eyJabc"]
     df = spark.createDataFrame([(t,) for t in lines], "t string").repartition(4).cache()
-    for rule in [r for r in [*SECRET_RULES, *INSECURE_RULES, *SQL_RULES] if r.linear]:
+    for rule in [r for r in LINE_RULES if r.linear or r.shown]:
         plain = df.select("t", F.col("t").rlike(rule.java).alias("p"), F.expr(rule.found_in("t")).alias("q")).collect()
         assert [r.t for r in plain if r.p != r.q] == [], rule.pattern
         assert any(r.p for r in plain), rule.pattern
+        if rule.shown:
+            both = df.where(F.col("t").rlike(rule.java)).selectExpr(f"{rule.match_in('t')} AS a", f"{Rule(rule.pattern, '', '').match_in('t')} AS b")
+            assert both.where("a <> b").count() == 0, rule.pattern
+
+
+# What each rule's heads and gaps are made of: without their tails, a plain search tries
+# the rest of the line behind each of them.
+LITERALS = [
+    "cors origin ", "aws=x; ", "disable ", "rejectUnauthorized ", "verify = ", "execute(f'", "execute('%s", "run('", "subprocess.call(", "fetch(", "fetch(x, ",
+    "await fetch (", "eyJ", "eyJ0123456789", "sk-", "ghp_", "xoxb-1234567890-", "-----BEGIN ", "BEGIN PRIVATE ", "password = ", "password='", "api_key: ",
+    "github.", "slack= '", "eval ", "child_process.exec ", "os.system ", "innerHTML ", "md5 ", "Math.random ", "except ", "'sk-ant-", '"eyJhbG', "query ( '", "+ req",
+]
 
 
 def test_hostile_lines_end_soon(files):
+    """A line of 500 kB of any rule's own literals, with every rule on it."""
     import time
 
-    bits = ["cors origin ", "aws=x; ", "disable ", "execute(f'", "execute('%s", "run('", "subprocess.call("]
+    rows = files(*[("p", f"{i}.py", b * (500_000 // len(b)) + ' "q" ') for i, b in enumerate(LITERALS)])
+    rows = rows.repartition(4).cache()
+    rows.count()
+    groups = [prefix_group(), secret_group(), insecure_group(), error_group(), sql_group()]
     start = time.time()
-    rows = files(*[("p", f"{i}.py", b * (500_000 // len(b)) + ' "q" ') for i, b in enumerate(bits)])
-    line_scan(rows, [insecure_group(), sql_group()]).collect()
-    op.secret_scan(rows).collect()
-    assert time.time() - start < 60
+    line_scan(rows, groups).collect()
+    assert time.time() - start < 2 * len(LITERALS)
 
 
 def test_a_bad_rule_is_left_out_and_reported(files, spark):

@@ -1,8 +1,14 @@
 """Whole-text rules: patterns with line numbers, look-ahead, loop bodies."""
 
+import random
 import re
+import time
+
+import pytest
 
 from sievework import operators as op
+from sievework.operators.extract import block_ends, read_js
+from sievework.operators.gaps import chain_spans
 from sievework.rules import EXPENSIVE_RULES, LOOP_RULES, N_PLUS_1_RULES, PERFORMANCE_RULES, UNBOUNDED_RULES, Rule
 
 
@@ -99,7 +105,7 @@ def test_anchored_rule_agrees_with_its_pattern(files):
         texts.append("".join(pieces) + ("z" * 490 + "await a.find(" if len(texts) % 3 else ""))
     got = op.multiline_scan(files(*[("p", f"{i}.js", t) for i, t in enumerate(texts)]), [rule]).collect()
     expected = sorted(
-        (f"p/{i}.js", t[: m.start()].count("\n") + 1, m.group(0)[:200].replace("\n", " | ").replace("\x03", "\x02"))
+        (f"p/{i}.js", t[: m.start()].count("\n") + 1, m.group(0)[:200].replace("\n", " | "))
         for i, t in enumerate(texts)
         for m in re.finditer(rule.pattern, t)
     )
@@ -109,3 +115,85 @@ def test_anchored_rule_agrees_with_its_pattern(files):
 def test_anchored_rule_copes_with_one_very_long_line(files):
     text = "for(a){b(c){d}" * 20_000 + "await q.find("
     assert op.multiline_scan(files(("p", "a.js", text)), N_PLUS_1_RULES[:1]).count() == 1
+
+
+CHAINED = [r for r in PERFORMANCE_RULES if isinstance(r, Rule) and r.chain]
+
+
+def test_chains_find_what_their_patterns_find():
+    rng = random.Random(5)
+    bits = [
+        "for (", "while(", "for\n (", "x", ") {", ")\n{", ")", "{", "await ", "await\n  ", "db.find(", ".select (", ".from(", "\n", "  ",
+        "JSON.parse(", "+= '", ".map(", ".forEach {", "async function ", "=> {", "statSync(", "existsSync (", "z" * 190, "w" * 95,
+        "supabase", ".from", "supabase.from(", "supabase . from (t", ").select(", ") .select (", "*)", ".limit(", ".single (", "y" * 60,
+    ]
+    assert len(CHAINED) == 6
+    for rule in CHAINED:
+        hits = 0
+        for _ in range(30_000):
+            text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+            want = [m.span() for m in re.finditer(rule.pattern, text)]
+            assert chain_spans(text, rule.chain) == want, (rule.pattern, text)
+            hits += bool(want)
+        assert hits > 100
+
+
+def test_a_chain_rule_shows_line_and_text(files):
+    text = "a\nfor (const x of y) {\n  await db.find(x)\n}\nsupabase.from('t')\n .select('*')\n"
+    got = op.multiline_scan(files(("p", "a.js", text), ("p", "b.js", None), ("p", "c.js", "")), CHAINED)
+    assert [(f, n, s) for f, n, _, s in found(got) if "Supabase .select" not in _] == [
+        ("p/a.js", 2, "for (const x of y) { |   await db.find("),
+        ("p/a.js", 5, "supabase.from('t') |  .select('*')"),
+    ]
+
+
+def plain_block_end(source, start):
+    depth, at = 1, start
+    while depth:
+        token = re.compile("[{}'\"`]").search(source, at)
+        if token is None:
+            return None
+        at = token.end()
+        if token.group() in "{}":
+            depth += 1 if token.group() == "{" else -1
+        else:
+            close = source.find(token.group(), at)
+            at = close + 1 if close >= 0 else at
+    return at
+
+
+def test_block_ends_agree_with_reading_from_each_brace():
+    rng = random.Random(6)
+    for _ in range(20_000):
+        source = "".join(rng.choice("{{}}'\"`ab") for _ in range(rng.randint(0, 30)))
+        want = {i: plain_block_end(source, i + 1) for i, c in enumerate(source) if c == "{"}
+        assert block_ends(source) == {i: e for i, e in want.items() if e is not None}, source
+
+
+def test_many_nested_functions_end_soon():
+    start = time.time()
+    source = "function f() {\n" * 20_000 + "\n" * 5 + "}" * 20_000
+    with pytest.raises(ValueError, match="nested functions"):
+        read_js(source)
+    assert len(read_js("function f() {\n" * 300 + "\n" * 5 + "}" * 300)["blocks"]) == 300
+    assert time.time() - start < 5
+
+
+HOSTILE = [
+    "for (", "for (x) {", "){await .", "for (x) {await ", "while(", ".forEach(", ".map({supabase", "for(supabase", "supabase.from(", "supabase.from(x).select(",
+    ".select('*')", ".select(*).limit", ".fetchall()", "for(JSON.parse", "JSON.parse(", "async function ", "=> { readFileSync", ".eq('", ".sort()", "for(+=", ".sort( ).reverse",
+    "for x in y:", "while  ", "re.compile (", "for x",
+]
+
+
+def test_hostile_texts_end_soon(files):
+    """500 kB of any rule's own literals, on one line and on many, with every rule on it."""
+    rows = files(
+        *[("p", f"{i}.js", b * (500_000 // len(b)) + "\nawait supabase JSON.parse += readFileSync") for i, b in enumerate(HOSTILE)],
+        *[("p", f"{i}b.js", (b + "\n") * (100_000 // len(b)) + "await supabase JSON.parse += readFileSync") for i, b in enumerate(HOSTILE)],
+    )
+    rows = rows.repartition(4).cache()
+    rows.count()
+    start = time.time()
+    op.multiline_scan(rows, PERFORMANCE_RULES).collect()
+    assert time.time() - start < 2 * 2 * len(HOSTILE)
