@@ -7,10 +7,13 @@ unchanged in Spark and DuckDB: twenty files per project, so it grows with the ta
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.sources import files_from, spread_small
+from sievework.plans.scale import staging_dir
+from sievework.sources import files_from, spread_small, write_tree
 
 AS_OF_EPOCH = 1704067200
 
@@ -75,6 +78,32 @@ FROM (SELECT doc_id, doc_id % 20 AS i, CAST(floor(doc_id / 20.0) AS BIGINT) AS k
 """
 
 
+# The documents as files of directory trees: plain, nested, hidden and ignored paths.
+TREE_SQL = """
+SELECT replace(coalesce(source, 'none'), '/', '_') AS project,
+  CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '.hidden/' WHEN 1 THEN 'a/b/c/' WHEN 2 THEN 'node_modules/x/' WHEN 3 THEN 'a/_d/' ELSE '' END
+    || CAST(doc_id AS STRING) || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END AS path,
+  coalesce(text, '') AS content
+FROM documents
+"""
+
+# Files that searches stall or fail on, beside ones that hold the documents' texts. Most
+# are built from a repeated head whose closing sign never comes.
+HOSTILE_SQL = """
+SELECT 'h' || CAST(CAST(floor(doc_id / 20.0) AS BIGINT) AS STRING) AS project, doc_id % 20 AS i, doc_id,
+  CAST(doc_id AS STRING) || CASE CAST(doc_id % 20 AS INT) WHEN 2 THEN '.py' WHEN 5 THEN '.py' WHEN 6 THEN '.yaml' ELSE '.ts' END AS path,
+  CASE CAST(doc_id % 20 AS INT)
+    WHEN 0 THEN repeat('import { ', 12000) || note
+    WHEN 1 THEN repeat('const a = (', 12000) || note
+    WHEN 2 THEN repeat('-', 20000) || '1 # ' || note
+    WHEN 3 THEN repeat('function f() {' || chr(10), 5000) || repeat('}', 5000) || chr(10) || '// ' || note
+    WHEN 4 THEN CASE WHEN doc_id % 40 < 20 THEN '' ELSE NULL END
+    WHEN 5 THEN 'key-1 ' || repeat('x', 100000) || chr(10) || '# ' || note
+    ELSE '// ' || note || chr(10) || 'export const e' || CAST(doc_id AS STRING) || ' = "user-' || md5(CAST(doc_id AS STRING)) || '"' || chr(10) END AS content
+FROM (SELECT doc_id, replace(translate(coalesce(text, ''), '{}()''"`', ''), chr(10), ' ') AS note FROM documents) d
+"""
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -100,6 +129,30 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files
 
 
+def documents_in_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as files below a shared folder: the registry of their projects."""
+    folder = f"{staging_dir(spark).removeprefix('file:')}/trees-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "documents").select("doc_id", "text", "source").createOrReplaceTempView("documents")
+    files = spark.sql(TREE_SQL)
+    write_tree(files, folder)
+    return files.select(F.col("project").alias("name")).distinct().select(
+        "name",
+        F.concat(F.lit(f"{folder}/"), "name").alias("path"),
+        F.array(F.lit("node_modules")).alias("ignore_patterns"),
+    )
+
+
+def hostile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that stall or break a search, and harmless ones with the documents' texts.
+
+    A file without content has a size, as one that could not be read.
+    """
+    scan = spread_small(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    scan.createOrReplaceTempView("documents")
+    files = files_from(spark.sql(HOSTILE_SQL), "project", "path", "content")
+    return files.withColumn("size", F.coalesce("size", F.lit(1)))
+
+
 def code_projects(files: DataFrame) -> DataFrame:
     """The registry of a derived corpus: every project, all languages, one ignore list."""
     return files.select(F.col("project").alias("name")).distinct().select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from sievework import rules as R
 
-from .inputs import AS_OF_EPOCH, CODE_SQL
+from .inputs import AS_OF_EPOCH, CODE_SQL, HOSTILE_SQL, TREE_SQL
 from .queries import (
     CAP,
     LICENSE_PATTERN,
@@ -680,6 +680,17 @@ def number(group: int) -> str:
     return f"coalesce(CAST(nullif(regexp_extract(clean, '^(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?', {group}), '') AS BIGINT), -1)"
 
 
+QUARANTINE = f"""
+WITH f AS (SELECT project, i, doc_id, project || '/' || path AS file, content FROM ({HOSTILE_SQL}))
+SELECT project, file, 'dead_code' AS "check", 'warning' AS severity, 'skipped' AS reason FROM f WHERE i = 0
+UNION ALL SELECT project, file, 'duplicate_code', 'warning', 'skipped' FROM f WHERE i = 1
+UNION ALL SELECT project, file, 'duplicate_code', 'warning', 'failed' FROM f WHERE i IN (2, 3)
+UNION ALL SELECT project, file, 'security_scan', 'info', 'not checked' FROM f WHERE i = 4 AND content IS NULL
+UNION ALL SELECT project, file, 'security_scan', 'warning', 'skipped' FROM f WHERE i IN (0, 1, 5)
+UNION ALL SELECT project, file, 'security_scan', 'warning', 'found' FROM f
+  WHERE i > 5 AND regexp_matches(content, '"user-[0-9a-f]{{32}}"')
+"""
+
 ORACLE = {
     "q_corpus": query(
         "SELECT project, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes, max(size) AS largest FROM doc GROUP BY project"
@@ -784,15 +795,7 @@ ORACLE = {
     ),
     "q_alert": over_audit(ALERT),
     "q_digest": over_audit(DIGEST),
-    "q_quarantine": query(
-        "SELECT "
-        + row(
-            "'warning'", "'dependency_audit'",
-            "'Check failed with error: JSONDecodeError: Expecting '','' delimiter: line 1 column ' || CAST(length(content) + 1 AS VARCHAR) "
-            "|| ' (char ' || CAST(length(content) AS VARCHAR) || ')'",
-            file="project",
-        )
-        + " FROM m WHERE NOT ok",
-        MANIFESTS,
-    ),
+    "q_quarantine": QUARANTINE,
+    "q_scan": f"SELECT project, path, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS digest "
+    f"FROM ({TREE_SQL}) WHERE path NOT LIKE 'node\\_modules/%' ESCAPE '\\'",
 }

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from sievework import operators as op
 from sievework.functions import clean_version, entropy, file_lang, parse_version, redact
 from sievework.operators.clients import client_files, clients_per_project
-from sievework.operators.extract import parse_json_facts
 from sievework.operators.lines import (
     error_group,
     insecure_group,
@@ -31,8 +30,9 @@ from sievework.rules import (
     REQUIRED_IGNORE_ENTRIES,
     SECRET_RULES,
     Rule,
+    user_secret_rules,
 )
-from sievework.schema import display_path, findings
+from sievework.schema import display_path
 from sievework.sources import (
     exclude_basenames,
     filter_ext,
@@ -40,6 +40,7 @@ from sievework.sources import (
     large_files,
     present_projects,
     read_text,
+    scan_corpus,
     select_projects,
 )
 
@@ -51,6 +52,8 @@ CAP = 5_000
 
 # Rules of a user, added to the built-in ones.
 USER_SECRET = Rule(r'token\s*=\s*"[0-9a-f]{40}"', "Token in text", "warning", needles=("token",))
+# As a config file names them: nothing is known of how they search.
+USER_PATTERNS = user_secret_rules([r"key-[0-9]", r"user-[0-9a-f]{32}"])
 TEXT_RULES = [
     Rule(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2,}", "E-mail address", "warning", needles=("@",)),
     Rule(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "Network address", "info"),
@@ -146,6 +149,12 @@ def q_absent(spark, sf):
     return present_projects(files, registry.unionByName(ghosts)).select(F.col("name").alias("project"))
 
 
+def q_scan(spark, sf):
+    """The documents written as directory trees and scanned from there."""
+    corpus = scan_corpus(spark, inputs.documents_in_trees(spark, sf))
+    return corpus.files.select("project", "path", "size", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 def q_read_cap(spark, sf):
     return read_text(inputs.documents(spark, sf), max_size=CAP).select(
         "project", "path", "size", F.length("content").cast("bigint").alias("n_chars")
@@ -521,18 +530,17 @@ def q_digest(spark, sf):
 
 
 def q_quarantine(spark, sf):
-    """Manifests through a parser that may fail; a failure becomes a finding."""
-    manifests = inputs.code(spark, sf).where(F.col("path") == "package.json")
-    parsed = manifests.select("project", parse_json_facts(F.col("content")).alias("r"))
-    return plain(
-        findings(
-            parsed.where(F.col("r.error").isNotNull()),
-            check="dependency_audit",
-            severity="warning",
-            file=F.col("project"),
-            message=F.concat(F.lit("Check failed with error: "), "r.error"),
-        )
+    """The audit of hostile files: what gave a warning in place of a check, and what was found still."""
+    files = inputs.hostile(spark, sf)
+    settings = AuditInputs(files, inputs.code_projects(files), inputs.as_of(), secret_rules=USER_PATTERNS)
+    rows = audit(settings)
+    reason = (
+        F.when(F.col("message").startswith("Check skipped"), "skipped")
+        .when(F.col("message").startswith("Check failed"), "failed")
+        .when(F.col("message").startswith("File not checked"), "not checked")
+        .when(F.col("message").startswith("Potential hardcoded secret"), "found")
     )
+    return rows.select("project", "file", "check", "severity", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("q_")}

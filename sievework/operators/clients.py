@@ -12,7 +12,7 @@ from ..rules import (
     SPRAWL_PROJECTS,
     SPRAWL_SHOWN,
     SPRAWL_TOTAL,
-    WRAPPER_PATTERN,
+    WRAPPER_LINEAR,
     WRAPPER_PROJECTS,
     WRAPPER_TOTAL,
     java_pattern,
@@ -42,7 +42,7 @@ def client_facts(text: Column, pattern: str = CLIENT_PATTERN) -> Column:
 
 
 def wrapper_facts(text: Column) -> Column:
-    names = F.regexp_extract_all(text, F.lit(java_pattern(WRAPPER_PATTERN)), F.lit(1))
+    names = F.regexp_extract_all(text, F.lit(java_pattern(WRAPPER_LINEAR)), F.lit(1))
     return F.when(
         _mentions(text, WRAPPER_NEEDLES), F.transform(names, lambda n: fact(kind="wrapper", name=n))
     ).otherwise(no_facts())

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import json
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -72,11 +71,7 @@ def with_quarantine(extract: Callable[[str], dict | None], arrow_type: pa.DataTy
     return F.arrow_udf(batch, returnType=spark_type)
 
 
-def error_finding(error: str | Column) -> Column:
-    return F.concat(F.lit("Check failed with error: "), F.col(error) if isinstance(error, str) else error)
-
-
-# Which parts of a syntax node count for its shape, in visiting order. Node types
+# Which parts of a syntax node count for its shape, in visiting order. Node types
 # not listed contribute all their children.
 SHAPE = {
     "FunctionDef": ("args.args", "body"),
@@ -263,15 +258,6 @@ def js_facts(text: Column) -> Column:
     return with_quarantine(read_js, _JS_ARROW, JS_TYPE)(text)
 
 
-def parse_json_facts(text: Column) -> Column:
-    """``error`` is filled where the text is no JSON document."""
-
-    def parse(source: str) -> None:
-        json.loads(source)
-
-    return with_quarantine(parse, pa.struct([("error", pa.string())]), "struct<error:string>")(text)
-
-
 def small_batches(spark: SparkSession, max_bytes: int = 16 * 1024 * 1024) -> None:
     """Bound Arrow batches by size: source files vary from bytes to half a megabyte."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

@@ -38,6 +38,7 @@ from ..operators.lines import (
     worth_a_look,
 )
 from ..operators.multiline import match_columns, text_matches
+from ..operators.work import ARROWS, IMPORTS, LONG_LINE, long_for_users, skipped, too_much
 from ..rules import (
     CONFIG_EXTENSIONS,
     EXTENSIONS,
@@ -180,8 +181,9 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
             reasons["skipped"] = f"more than {inputs.max_size} bytes"
         for flag, reason in reasons.items():
             said = f"File not checked: {reason}"
-            skipped = fact(kind="finding", check="security_scan", severity="info", message=said)
-            parts.append(facts_when(col(flag), F.array(skipped)))
+            unchecked = fact(kind="finding", check="security_scan", severity="info", message=said)
+            parts.append(facts_when(col(flag), F.array(unchecked)))
+        parts.append(skipped(secrets & long_for_users("content", inputs.secret_rules), "security_scan", LONG_LINE))
     if {"dependency_audit", "architecture_review"} & set(checks):
         stamp = F.unix_micros("mtime").cast("string")
         in_root = ~F.contains("path", F.lit("/"))
@@ -190,15 +192,20 @@ def extract_facts(inputs: AuditInputs, checks: Sequence[str] = tuple(PROJECT_CHE
         files = files.withColumn("py", python_facts(F.when(python, text)))
         parts.append(dups.extraction_errors(col("py.error"), "duplicate_code" if "duplicate_code" in checks else "dead_code"))
     if "duplicate_code" in checks:
-        files = files.withColumn("js", js_facts(F.when(script & F.contains("content", F.lit("{")), text)))
+        files = files.withColumn("arrows", script & too_much("content", ARROWS))
+        files = files.withColumn("js", js_facts(F.when(script & ~col("arrows") & F.contains("content", F.lit("{")), text)))
         parts += [
+            skipped(col("arrows"), "duplicate_code"),
             F.coalesce(dups.function_facts(col("py.functions")), no_facts()),
             F.coalesce(dups.block_facts(col("js.blocks")), no_facts()),
             dups.extraction_errors(col("js.error"), "duplicate_code"),
         ]
     if "dead_code" in checks:
+        files = files.withColumn("imports", script & too_much("content", IMPORTS))
         parts += [
-            facts_when(script, F.concat(usage.export_facts("content"), usage.import_facts(text, inputs.strict))),
+            skipped(col("imports"), "dead_code"),
+            facts_when(script, usage.export_facts("content")),
+            facts_when(script & ~col("imports"), usage.import_facts(text, inputs.strict)),
             F.coalesce(usage.unused_import_facts(col("py"), inputs.strict), no_facts()),
             F.coalesce(usage.definition_facts(col("py")), no_facts()),
             facts_when(python, usage.call_facts(text, inputs.strict)),

@@ -20,6 +20,7 @@ from .schema import sql_text
 
 # A rule table is folded into the query plan, so its size is checked, not assumed.
 MAX_RULES = 2_000
+MAX_USER_LINE = 100_000
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,7 @@ class Rule:
     ``linear`` tells of one line whether ``pattern`` matches it, without trying the tail
     again at every head: only the first head counts, as all that follows a later head
     also follows the first. ``shown`` finds in group 1 what the pattern finds, likewise.
+    Of a pattern ``of_user`` nothing is known; lines over MAX_USER_LINE are not tried.
     """
 
     pattern: str
@@ -73,6 +75,7 @@ class Rule:
     gate: str = ""
     shown: str = ""
     chain: Chain | None = None
+    of_user: bool = False
     linear: str = ""
 
     @property
@@ -94,7 +97,8 @@ class Rule:
 
     def found_in(self, text: str) -> str:
         """SQL test for the rule's pattern on one line."""
-        return f"({text} RLIKE {sql_text(java_pattern(self.linear or self.shown or self.pattern))})"
+        found = f"{text} RLIKE {sql_text(java_pattern(self.linear or self.shown or self.pattern))}"
+        return f"(length({text}) <= {MAX_USER_LINE} AND {found})" if self.of_user else f"({found})"
 
     def match_in(self, text: str) -> str:
         """SQL for what the pattern finds first in a line in which it finds something."""
@@ -186,7 +190,7 @@ def valid_rules(spark: SparkSession, rules: Iterable[Rule | LoopRule]) -> list[R
 def user_secret_rules(patterns: Iterable[str]) -> list[Rule]:
     """Secret rules from a user's patterns; a pattern of the catalogue keeps its short cuts."""
     known = {rule.pattern: rule for rule in SECRET_RULES}
-    return [known.get(p, Rule(p, SECRET_MESSAGE, "warning")) for p in patterns if p]
+    return [known.get(p, Rule(p, SECRET_MESSAGE, "warning", of_user=True)) for p in patterns if p]
 
 
 def rules_from(table: DataFrame, rule_set: str) -> list[Rule]:
@@ -513,6 +517,11 @@ WRAPPER_PATTERN = (
     r"(?i)(?:async\s+)?(?:function|const|let|var)\s+(\w*(?:fetch|request|api|http)\w*)\s*"
     r"(?:=\s*(?:async\s*)?\(|[\(])"
 )
+# The same without trying the word again for each name in it.
+WRAPPER_LINEAR = (
+    r"(?i)(?:async\s+)?(?:function|const|let|var)\s+(?=\w*(?:fetch|request|api|http))(\w++)\s*"
+    r"(?:=\s*(?:async\s*)?\(|[\(])"
+)
 TABLE_PATTERN = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\S+)\s*\(([\s\S]+?)\);"
 KEY_COLUMN_PATTERN = r"(?i)(\w+_id)\s+(?:integer|bigint|uuid|text)"
 MIGRATION_DIRS = ["migrations", "supabase/migrations", "prisma/migrations"]

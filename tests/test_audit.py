@@ -1,7 +1,8 @@
 """The whole audit: agreement with the single operators, invariants, reports, streams."""
 
 import datetime as dt
-import json
+import random
+import time
 from dataclasses import replace
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from sievework import operators as op
 from sievework.plans import report
 from sievework.plans.audit import CHECKS, AuditInputs, audit, extract_facts, register_check
-from sievework.rules import Rule
+from sievework.operators import work
+from sievework.rules import WRAPPER_LINEAR, WRAPPER_PATTERN, Rule, java_pattern
 from sievework.schema import FINDING_COLUMNS, findings
 from sievework.sources import read_corpus
 from sievework.streaming import audit_so_far, audit_stream
@@ -207,12 +209,43 @@ def test_hostile_files_and_rules_do_not_end_the_audit(spark, files, projects, in
     assert any(m.startswith("Rule left out") for m in messages)
 
 
-def test_bad_rows_do_not_fail_the_job(spark, files):
-    from sievework.operators.extract import parse_json_facts
+def test_hostile_files_give_a_warning_in_place_of_a_check(spark, files, projects):
+    good = "export const used = 1\n"
+    rows = files(
+        ("p", "a.ts", "import { " * 20_000), ("p", "b.ts", "const a = (" * 20_000), ("p", "c.py", "-" * 20_000 + "1"),
+        ("p", "d.ts", "function f() {\n" * 5_000 + "}" * 5_000), ("p", "ok.ts", good), ("p", "e.py", "key-" * 30_000 + "\nkey-7\n"),
+        ("p", "f.ts", "import { a } from 'x'\n" * 5_000), ("p", "g.py", "key-1 " + "x" * 90_000),
+    )
+    user = Rule("key-[0-9]", "found", "warning", of_user=True)
+    inputs = AuditInputs(rows, projects("p"), F.lit(AS_OF), secret_rules=[user])
+    start = time.time()
+    got = audit(inputs).collect()
+    assert time.time() - start < 60
+    said = {(r.check, r.file, r.message.split(":")[0]) for r in got if r.message.startswith("Check ")}
+    assert said == {
+        ("dead_code", "p/a.ts", "Check skipped"),
+        ("duplicate_code", "p/b.ts", "Check skipped"),
+        ("duplicate_code", "p/c.py", "Check failed with error"),
+        ("duplicate_code", "p/d.ts", "Check failed with error"),
+        *[("security_scan", f"p/{f}", "Check skipped") for f in ("a.ts", "b.ts", "e.py")],
+    }
+    assert any(r.file == "p/ok.ts" and r.check == "dead_code" for r in got)
+    assert sorted((r.file, r.line) for r in got if r.message == "found") == [("p/e.py", 2), ("p/g.py", 1)]
+
+
+def test_steps_count_heads_times_the_rest(spark):
+    text = "import { a" * 3_000
+    df = spark.createDataFrame([(text,), (text + "}" + text,), ("import {} " * 3_000,), ("import {",), (None,)], "content string")
+    got = [r[0] for r in df.select(work.steps("content", work.IMPORTS)).collect()]
+    assert got[0] == 3_000 * 30_000 and got[1] == 2 * got[0] and got[2] < 100_000 and got[3] == 0
+
 
-    got = files(("p", "a", "{"), ("p", "b", "{}"), ("p", "c", None)).select("path", parse_json_facts(F.col("content")).alias("r"))
-    assert {r.path for r in got.where("r.error is not null").collect()} == {"a"}
-    assert json.loads("{}") == {}
+def test_wrappers_are_found_alike_without_trying_again(spark):
+    rng = random.Random(4)
+    bits = ["fetch", "API", "x", "_", " ", "const ", "function ", "async ", "= (", "(", "=async(", "=", "http", "\n", "let "]
+    rows = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(2, 14))),) for _ in range(8_000)], "t string")
+    both = rows.select("t", *[F.regexp_extract_all("t", F.lit(java_pattern(p)), F.lit(1)).alias(n) for p, n in ((WRAPPER_PATTERN, "a"), (WRAPPER_LINEAR, "b"))])
+    assert both.where("a <> b").collect() == [] and both.where("size(a) > 0").count() > 50
 
 
 def test_hot_keys_give_whole_results(files):
