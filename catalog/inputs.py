@@ -78,6 +78,9 @@ FROM (SELECT doc_id, doc_id % 20 AS i, CAST(floor(doc_id / 20.0) AS BIGINT) AS k
 """
 
 
+# What the older versions of changed files begin with.
+OLDER = "def older(x):\n    a = x\n    b = a\n    c = b\n    d = c\n    return d\n"
+
 # The documents as files of directory trees: plain, nested, hidden and ignored paths.
 TREE_SQL = """
 SELECT replace(coalesce(source, 'none'), '/', '_') AS project,

@@ -761,6 +761,10 @@ ORACLE = {
     "q_dup_sites": query(
         "SELECT project, path, fp, n AS copies, cross_project FROM shaped JOIN groups USING (fp)", DOC_GROUPS
     ),
+    "q_stream": query(
+        dups_sql("kept", "src/dup.py", "py") + "\nUNION ALL " + dups_sql("kept", "src/dup.js", "js"),
+        "kept AS (SELECT * FROM code WHERE NOT (project LIKE '%3' AND path LIKE '%dup%'))",
+    ),
     "q_dups_py": query(dups_sql("code", "src/dup.py", "py")),
     "q_dups_js": query(dups_sql("code", "src/dup.js", "js")),
     "q_sprawl": query(sprawl_sql("doc", LICENSE_PATTERN, 2)),

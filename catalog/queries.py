@@ -6,6 +6,8 @@ in ``oracle``. Missing values are shown as '' or 0 so that both engines agree.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from sievework.operators.lines import (
 )
 from sievework.plans import report
 from sievework.plans.audit import AuditInputs, audit
-from sievework.plans.scale import stage
+from sievework.plans.scale import stage, staging_dir
 from sievework.rules import (
     CONFIG_EXTENSIONS,
     EXTENSIONS,
@@ -44,6 +46,8 @@ from sievework.sources import (
     select_projects,
 )
 
+from sievework.streaming import audit_so_far, audit_stream
+
 from . import inputs
 
 RUN_DATE = "2024-01-01"
@@ -543,4 +547,24 @@ def q_quarantine(spark, sf):
     return rows.select("project", "file", "check", "severity", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def q_stream(spark, sf):
+    """Duplicate functions after two batches of a stream, a changed and a removed file among them.
+
+    The first batch has older versions of some files and lacks some projects.
+    """
+    folder = f"{staging_dir(spark)}/stream-{uuid.uuid4().hex}"
+    files = inputs.code(spark, sf).select("project", "path", "size", "mtime", "content")
+    late, changed = F.col("project").endswith("7"), F.col("project").endswith("1") & F.col("path").contains("dup")
+    older = F.when(changed, F.concat(F.lit(inputs.OLDER), "content")).otherwise(F.col("content"))
+    settings = AuditInputs(files, inputs.code_projects(files), inputs.as_of())
+    for batch in (files.where(~late).withColumn("content", older), files.where(late | changed)):
+        batch.write.mode("append").parquet(f"{folder}/files")
+        arriving = spark.readStream.schema(files.schema).parquet(f"{folder}/files")
+        run = audit_stream(arriving, settings, f"{folder}/state", f"{folder}/progress", checks=["duplicate_code"])
+        run.awaitTermination()
+    removed = F.col("project").endswith("3") & F.col("path").contains("dup")
+    listing = files.where(~removed).select("project", "path")
+    return plain(audit_so_far(spark, settings, f"{folder}/state", check="duplicate_code", listing=listing))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("q_")}

@@ -73,27 +73,43 @@ def _site() -> Column:
     return F.struct("project", "path", "line", "name", "n_lines")
 
 
-def duplicate_groups(functions: DataFrame) -> DataFrame:
-    """Groups of equal fingerprints: fp, n, cross_project and the first site.
+def group_states(functions: DataFrame) -> DataFrame:
+    """What is kept of each fingerprint: fp, n, the smallest and largest place, the first site.
 
-    Two copies make a group; copies inside one file need to be three. Whether a
-    group spans files or projects is read off the smallest and largest site, so one
-    aggregation with partial results is all, and no group is ever gathered. Its
-    members are the rows of :func:`duplicate_sites`.
+    States of parts of a corpus merge into the state of the whole. No group is gathered.
     """
     place = F.struct("project", "path")
-    groups = functions.groupBy("fp").agg(
+    return functions.groupBy("fp").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(place).alias("low"),
         F.max(place).alias("high"),
         F.min(_site()).alias("site"),
     )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    return states.groupBy("fp").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("site").alias("site")
+    )
+
+
+def repeated(states: DataFrame) -> DataFrame:
+    """The groups among the states: fp, n, cross_project and the first site.
+
+    Two copies make a group; copies inside one file need to be three. Whether a group
+    spans files or projects is read off the smallest and largest place.
+    """
     spread = F.col("low") != F.col("high")
-    return groups.where((F.col("n") >= 3) | ((F.col("n") == 2) & spread)).select(
+    return states.where((F.col("n") >= 3) | ((F.col("n") == 2) & spread)).select(
         "fp", "n", (F.col("low.project") != F.col("high.project")).alias("cross_project"), "site"
     )
 
 
+def duplicate_groups(functions: DataFrame) -> DataFrame:
+    """Groups of equal fingerprints; their members are the rows of :func:`duplicate_sites`."""
+    return repeated(group_states(functions))
+
+
 def duplicate_sites(functions: DataFrame, groups: DataFrame) -> DataFrame:
     """Every member of every group, one row each, however large the group.
 

@@ -64,7 +64,8 @@ class AuditInputs:
 
     Files of any size are checked, unless the caller sets ``max_size``; then each larger
     file gives an info row instead. So does a file that has a size but no content.
-    ``roots`` (name) are the projects whose folder exists, where the source knows.
+    ``roots`` (name) are the projects whose folder exists, where the source knows, and
+    ``groups`` the duplicate groups of all files, where they are already known.
     """
 
     files: DataFrame
@@ -75,6 +76,7 @@ class AuditInputs:
     max_size: int | None = None
     strict: bool = False
     roots: DataFrame | None = None
+    groups: DataFrame | None = None
     facts: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
@@ -268,7 +270,9 @@ def _local(inputs: AuditInputs, check: str) -> DataFrame:
 
 
 def duplicate_code(inputs: AuditInputs) -> DataFrame:
-    groups = dups.duplicate_groups(dups.functions_from(inputs.facts))
+    groups = inputs.groups
+    if groups is None:
+        groups = dups.duplicate_groups(dups.functions_from(inputs.facts))
     return _local(inputs, "duplicate_code").unionByName(dups.duplicate_findings(groups))
 
 
@@ -366,7 +370,8 @@ def audit(
     scanned = present_projects(files, projects, inputs.roots)
     if staged:
         scanned = stage(scanned, "projects")
-    chosen = replace(inputs, files=files, projects=scanned)
+    groups = inputs.groups if project is None else None
+    chosen = replace(inputs, files=files, projects=scanned, groups=groups)
     if chosen.facts is None:
         facts = extract_facts(chosen, names)
     else:
