@@ -761,6 +761,18 @@ ORACLE = {
     "q_dup_sites": query(
         "SELECT project, path, fp, n AS copies, cross_project FROM shaped JOIN groups USING (fp)", DOC_GROUPS
     ),
+    "q_user_check": query(
+        "SELECT " + row("'info'", "'long_lines'", "'Line of ' || CAST(length(text) AS VARCHAR) || ' characters'", line="line")
+        + f" FROM ({lines_of('visible')}) WHERE path LIKE '%.ts' AND length(text) > 2000"
+    ),
+    "q_report": over_audit(
+        """SELECT run_date, (SELECT count(*) FROM scanned) AS projects_scanned, n AS total, n AS n_findings,
+  critical, warning, info FROM (
+  SELECT '2024-01-02' AS run_date, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical,
+    count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info
+  FROM found WHERE "check" = 'security_scan'
+  UNION ALL SELECT '2024-01-01', 0, 0, 0, 0)"""
+    ),
     "q_stream": query(
         dups_sql("kept", "src/dup.py", "py") + "\nUNION ALL " + dups_sql("kept", "src/dup.js", "js"),
         "kept AS (SELECT * FROM code WHERE NOT (project LIKE '%3' AND path LIKE '%dup%'))",

@@ -23,7 +23,7 @@ from sievework.operators.lines import (
     sql_group,
 )
 from sievework.plans import report
-from sievework.plans.audit import AuditInputs, audit
+from sievework.plans.audit import CHECKS, AuditInputs, audit, file_check, register_check
 from sievework.plans.scale import stage, staging_dir
 from sievework.rules import (
     CONFIG_EXTENSIONS,
@@ -547,6 +547,36 @@ def q_quarantine(spark, sf):
     return rows.select("project", "file", "check", "severity", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def long_lines(path: str, text: str):
+    """A user's own check: every line of a script that is longer than 2,000 characters."""
+    if path.endswith(".ts"):
+        for number, line in enumerate(text.split("\n"), 1):
+            if len(line) > 2_000:
+                yield "info", number, f"Line of {len(line)} characters"
+
+
+def q_user_check(spark, sf):
+    files = inputs.code(spark, sf)
+    register_check("long_lines", file_check("long_lines", long_lines))
+    try:
+        return plain(audit(AuditInputs(files, inputs.code_projects(files), inputs.as_of()), check="long_lines"))
+    finally:
+        CHECKS.pop("long_lines")
+
+
+def q_report(spark, sf):
+    """The totals of two days as read back; the first day's second run found nothing."""
+    folder = f"{staging_dir(spark)}/reports-{uuid.uuid4().hex}"
+    rows = stage(audit(audit_inputs(spark, sf), check="security_scan"), "findings")
+    projects = scanned(spark, sf)
+    report.write_report(rows, projects, folder, RUN_DATE)
+    report.write_report(rows.limit(0), projects, folder, RUN_DATE)
+    report.write_report(rows, projects, folder, "2024-01-02")
+    found_rows = report.read_report(spark, folder).groupBy("run_date").agg(F.count(F.lit(1)).alias("n_findings"))
+    totals = report.read_report(spark, folder, "totals")
+    return totals.join(found_rows, "run_date", "left").na.fill(0)
+
+
 def q_stream(spark, sf):
     """Duplicate functions after two batches of a stream, a changed and a removed file among them.
 

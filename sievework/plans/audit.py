@@ -9,7 +9,7 @@ and never the text again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +50,7 @@ from ..rules import (
     valid_rules,
 )
 from ..schema import FACT_TYPES, FINDING_COLUMNS, display_path, fact, facts_when, no_facts
-from ..sources.filters import ignored, with_ignore
+from ..sources.filters import filter_ignored, ignored, with_ignore
 from ..sources.corpus import scan_corpus
 from ..sources.registry import present_projects, read_projects, read_secret_rules, select_projects
 from .scale import small_side, stage
@@ -350,6 +350,40 @@ def register_check(name: str, run: Callable[[AuditInputs], DataFrame]) -> None:
     CHECKS[name] = run
 
 
+def file_check(
+    name: str, scan: Callable[[str, str], Iterable[tuple[str, int | None, str]]]
+) -> Callable[[AuditInputs], DataFrame]:
+    """A check from a function that looks at one file.
+
+    ``scan(path, text)`` yields (severity, line, message) rows and may stop at any time. It
+    runs as a table function beside each file that no glob ignores, so its rows stream on
+    without being gathered. An error in one file gives a warning in place of the rest of
+    that file's rows.
+    """
+
+    class Scan:
+        def eval(self, path: str, text: str):
+            try:
+                for severity, line, message in scan(path, text):
+                    yield severity, line, message
+            except Exception as problem:
+                yield "warning", None, f"Check failed with error: {type(problem).__name__}: {problem}"
+
+    table = F.udtf(Scan, returnType="severity string, line int, message string")
+
+    def run(inputs: AuditInputs) -> DataFrame:
+        files = filter_ignored(inputs.files, inputs.projects).where(F.length("content") > 0)
+        files = files.join(small_side(inputs.projects.select(F.col("name").alias("project"))), "project", "left_semi")
+        texts = files.select("project", "path", normalise_newlines("content").alias("content"))
+        rows = texts.lateralJoin(table(F.col("path").outer(), F.col("content").outer()))
+        return rows.select(
+            "project", "severity", F.lit(name).alias("check"), display_path().alias("file"), "line", "message",
+            F.lit(None).cast("string").alias("snippet"),
+        )
+
+    return run
+
+
 def audit(
     inputs: AuditInputs,
     project: str | None = None,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import SEVERITIES
+from ..schema import FINDING_COLUMNS, SEVERITIES
+from .scale import small_side
 
 ORDER = ["project", "file", "line", "check", "message"]
 
@@ -160,23 +164,41 @@ def digest_lines(
 # --- sinks -----------------------------------------------------------------
 
 
-def write_report(findings: DataFrame, folder: str, run_date: str, fmt: str = "json") -> str:
-    """Write the findings of one day; a second run on the same day replaces the first.
+def write_report(findings: DataFrame, projects: DataFrame, folder: str, run_date: str, fmt: str = "json") -> str:
+    """Write one run's findings, totals and summary; the name of the run.
 
-    The day has a folder of its own, so a run without findings leaves it empty. Readers
-    of ``folder`` see the day as the column ``run_date``.
+    Totals and summary are counted from the findings as written. A run has folders of its
+    own, and a row in ``commits`` written last makes it the run of its day: until then
+    readers see the day's former run whole, and a run that fails is never seen.
     """
-    path = f"{folder}/run_date={run_date}"
-    findings.write.mode("overwrite").format(fmt).save(path)
-    return path
-
-
-def write_totals(findings: DataFrame, projects: DataFrame, folder: str, run_date: str, fmt: str = "json") -> str:
-    """Write the totals and each project's summary beside the findings of one day."""
-    report_totals(findings, projects).write.mode("overwrite").format(fmt).save(f"{folder}/totals/run_date={run_date}")
-    summary = project_summary(findings, projects)
-    summary.write.mode("overwrite").format(fmt).save(f"{folder}/summary/run_date={run_date}")
-    return folder
+    spark = findings.sparkSession
+    run = uuid.uuid4().hex
+
+    def place(name: str) -> str:
+        return f"{folder}/{name}/run_date={run_date}/run={run}"
+
+    findings.write.format(fmt).save(place("findings"))
+    written = spark.read.format(fmt).schema(findings.schema).load(place("findings"))
+    report_totals(written, projects).write.format(fmt).save(place("totals"))
+    project_summary(written, projects).write.format(fmt).save(place("summary"))
+    # One small row for each run; the later of two equal times is the one with the larger name.
+    row = spark.range(1).select(F.lit(run_date).alias("day"), F.lit(run).alias("name"), F.lit(time.time_ns()).alias("at"))
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+    return run
+
+
+def read_report(spark: SparkSession, folder: str, name: str = "findings", fmt: str = "json") -> DataFrame:
+    """What the last committed run of every day wrote: findings, totals or summary, with ``run_date``."""
+    commits = spark.read.schema("day string, name string, at bigint").parquet(f"{folder}/commits")
+    current = commits.groupBy("day").agg(F.max_by("name", F.struct("at", "name")).alias("name"))
+    schema = {
+        "findings": ", ".join(f"`{c}` {'int' if c == 'line' else 'string'}" for c in FINDING_COLUMNS),
+        "totals": "projects_scanned bigint, total bigint, " + ", ".join(f"{s} bigint" for s in SEVERITIES),
+        "summary": "project string, total bigint, " + ", ".join(f"{s} bigint" for s in SEVERITIES),
+    }[name]
+    rows = spark.read.format(fmt).schema(f"{schema}, run_date string, run string").load(f"{folder}/{name}")
+    same = (F.col("run_date") == F.col("day")) & (F.col("run") == F.col("name"))
+    return rows.join(small_side(current), same, "left_semi").drop("run")
 
 
 def write_alert(findings: DataFrame, path: str, run_date: str, report_path: str = "/tmp") -> str | None:

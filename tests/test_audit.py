@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from sievework import operators as op
 from sievework.plans import report
-from sievework.plans.audit import CHECKS, AuditInputs, audit, extract_facts, register_check
+from sievework.plans.audit import CHECKS, AuditInputs, audit, extract_facts, file_check, register_check
 from sievework.operators import work
 from sievework.rules import WRAPPER_LINEAR, WRAPPER_PATTERN, Rule, java_pattern
 from sievework.schema import FINDING_COLUMNS, findings
 from sievework.sources import read_corpus
-from sievework.streaming import audit_so_far, audit_stream
+from sievework.streaming import audit_so_far, audit_stream, incremental
 
 AS_OF = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 KEY = "sk-abcdefghij0123456789KLMN"
@@ -113,6 +113,46 @@ def test_users_can_register_a_check(inputs):
         del CHECKS["long_names"]
 
 
+def test_a_check_of_single_files(spark, inputs):
+    def scan(path, text):
+        yield "info", 1, f"{path} has {len(text)} characters"
+        if path.endswith(".ts"):
+            raise KeyError("no")
+
+    register_check("sizes", file_check("sizes", scan))
+    try:
+        got = {(r.file, r.severity, r.line, r.message) for r in audit(inputs, check="sizes").collect()}
+    finally:
+        del CHECKS["sizes"]
+    assert ("p/b.ts", "warning", None, "Check failed with error: KeyError: 'no'") in got
+    assert ("q/readme.txt", "info", 1, "readme.txt has 7 characters") in got
+    assert not any("node_modules" in f for f, *_ in got) and len(got) == len(CORPUS)
+
+
+def test_states_of_batches_merge_into_the_groups_of_all_files(spark, tmp_path):
+    """New, changed and removed files in any order of batches against counting again."""
+    rng = random.Random(12)
+    folder, now = str(tmp_path / "state"), {}
+    facts_schema = "project string, path string, severity string, check string, line int, message string, snippet string, name string, value string, num int"
+    for number in range(4):
+        paths = {(rng.choice("pq"), f"f{rng.randint(0, 25)}") for _ in range(12)}
+        batch = {p: [f"fp{rng.randint(0, 9)}" for _ in range(rng.randint(0, 3))] for p in paths}
+        now.update({p: (number, fps) for p, fps in batch.items()})
+        rows = [(*p, None, None, i, None, None, f"n{i}", fp, 6) for p, fps in batch.items() for i, fp in enumerate(fps)]
+        spark.createDataFrame(rows, facts_schema).write.parquet(f"{folder}/facts/batch={number}/kind=function")
+        files = spark.createDataFrame(sorted(paths), "project string, path string")
+        seen = files.select("project", "path", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), incremental._bucket("project", "path").alias("bucket"))
+        seen.write.partitionBy("bucket").parquet(f"{folder}/files/batch={number}")
+        incremental.update_groups(spark, folder, number, files)
+    removed = [p for p in sorted(now) if rng.random() < 0.3]
+    gone = spark.createDataFrame([(*p, now[p][0]) for p in removed], "project string, path string, batch bigint")
+    for left_out, frame in (([], None), (removed, gone)):
+        sites = [(*p, f"n{i}", i, fp, 6) for p, (_, fps) in now.items() if p not in left_out for i, fp in enumerate(fps)]
+        functions = spark.createDataFrame(sites, "project string, path string, name string, line int, fp string, n_lines int")
+        want = sorted(map(tuple, op.duplicate_groups(functions).collect()))
+        assert sorted(map(tuple, incremental.groups_so_far(spark, folder, frame).collect())) == want and want
+
+
 def test_extraction_has_no_shuffle_but_the_registry_join_is_broadcast(inputs):
     plan = extract_facts(inputs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hash" not in plan and "Exchange range" not in plan and "BroadcastHashJoin" in plan
@@ -153,15 +193,27 @@ def test_sinks(inputs, tmp_path, spark):
     found = audit(inputs, check="security_scan")
     folder = str(tmp_path / "reports")
     for _ in range(2):
-        report.write_report(found, folder, "2024-01-01")
-    report.write_report(found.where("severity = 'critical'"), folder, "2024-01-02")
-    back = spark.read.json(folder)
-    assert back.where("run_date = '2024-01-01'").count() == found.count()
-    assert back.where("run_date = '2024-01-02'").count() < found.count()
-    report.write_report(found.limit(0), folder, "2024-01-01")
-    assert spark.read.json(folder).where("run_date = '2024-01-01'").count() == 0
-    report.write_totals(found, inputs.projects, str(tmp_path / "sums"), "2024-01-01")
-    assert spark.read.json(str(tmp_path / "sums" / "totals")).first().total == found.count()
+        report.write_report(found, inputs.projects, folder, "2024-01-01")
+    report.write_report(found.where("severity = 'critical'"), inputs.projects, folder, "2024-01-02")
+
+    def days(name="findings"):
+        return {r.run_date: r["count"] for r in report.read_report(spark, folder, name).groupBy("run_date").count().collect()}
+
+    first = days()
+    assert first["2024-01-01"] == found.count() > first["2024-01-02"] > 0
+    assert days("totals") == {"2024-01-01": 1, "2024-01-02": 1}
+    totals = {r.run_date: r.total for r in report.read_report(spark, folder, "totals").collect()}
+    assert totals == first
+    # A run that fails half way is not seen, nor is one before its commit.
+    broken = found.withColumn("message", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        report.write_report(broken, inputs.projects, folder, "2024-01-01")
+    found.limit(1).write.json(f"{folder}/findings/run_date=2024-01-01/run=later")
+    assert days() == first
+    report.write_report(found.limit(0), inputs.projects, folder, "2024-01-01")
+    assert days() == {"2024-01-02": first["2024-01-02"]}
+    assert report.read_report(spark, folder, "totals").where("run_date = '2024-01-01'").first().total == 0
+    assert report.read_report(spark, folder, "summary").where("run_date = '2024-01-02'").count() == inputs.projects.count()
     alert = str(tmp_path / "alert")
     assert report.write_alert(found.where("severity = 'info'"), alert, "d") is None
     assert report.write_alert(found, alert, "d") == alert
