@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from sievework import rules as R
 
-from .inputs import AS_OF_EPOCH, CODE_SQL, HOSTILE_SQL, TREE_SQL
+from .inputs import AS_OF_EPOCH, CODE_SQL, HOSTILE_SQL, KEYS_SQL, RULES_SQL, TREE_SQL
 from .queries import (
     CAP,
     LICENSE_PATTERN,
@@ -181,13 +181,20 @@ def multi_sql(files: str, rules) -> str:
     )
 
 
-def absent_sql(files: str) -> str:
-    rule = R.UNBOUNDED_RULES[0]
-    x = r"\.select\s*\(\s*['\"]?\*['\"]?\s*\)"
+# What each rule with a look-ahead finds, and what must not begin within so many characters.
+ABSENT = [
+    (r"\.select\s*\(\s*['\"]?\*['\"]?\s*\)", 200, r"\.limit\s*\("),
+    (r"supabase\s*\.\s*from\s*\([^)]+\)\s*\.\s*select\s*\([^)]*\)", 150, r"\.(?:limit|single|maybeSingle)\s*\("),
+    (r"\.fetchall\s*\(\s*\)", 50, "LIMIT"),
+]
+
+
+def absent_sql(files: str, which: int = 0) -> str:
+    rule, (x, n, y) = R.UNBOUNDED_RULES[which], ABSENT[which]
     return (
         "SELECT "
-        + row("'warning'", "'performance_lint'", lit(rule.message), line="line", snippet=shown("found"))
-        + f" FROM ({pieces(files, x)}) WHERE NOT regexp_matches(substr(content, stop + 1), '^(?s:.{{0,200}})\\.limit\\s*\\(')"
+        + row(lit(rule.severity), "'performance_lint'", lit(rule.message), line="line", snippet=shown("found"))
+        + f" FROM ({pieces(files, x)}) WHERE NOT regexp_matches(substr(content, stop + 1), '^(?s:.{{0,{n}}}){y}')"
     )
 
 
@@ -259,7 +266,7 @@ def imports_sql(files: str) -> str:
         + f""" FROM (SELECT project, path, line, trim(unnest(string_split(substr(text, 8), ','))) AS name
   FROM ({lines_of(files)}) WHERE path LIKE '%.py' AND regexp_matches(text, '^import ')) i
 WHERE NOT EXISTS (SELECT 1 FROM ({lines_of(files)}) u WHERE u.project = i.project AND u.path = i.path
-  AND NOT regexp_matches(u.text, '^import ') AND list_contains(regexp_extract_all(u.text, '{W}+'), i.name))"""
+  AND NOT regexp_matches(u.text, '^(import |# )') AND list_contains(regexp_extract_all(u.text, '{W}+'), i.name))"""
     )
 
 
@@ -484,7 +491,8 @@ def dups_sql(files: str, path: str, lang: str) -> str:
             project="''",
         )
         + f""" FROM (SELECT project, path, {lines} AS n, regexp_replace(content, '\\d+', 'N', 'g') AS shape,
-  regexp_extract(content, '(?:def|function) (\\w+)', 1) AS fn FROM {files} WHERE path = {lit(path)})
+  regexp_extract(content, '(?:def|function) (\\w+)', 1) AS fn
+  FROM (SELECT project, path, regexp_replace(content, '(?:#|//) [^\\n]*\\n$', '') AS content FROM {files} WHERE path = {lit(path)}))
 GROUP BY shape HAVING count(*) >= 2"""
     )
 
@@ -761,6 +769,14 @@ ORACLE = {
     "q_dup_sites": query(
         "SELECT project, path, fp, n AS copies, cross_project FROM shaped JOIN groups USING (fp)", DOC_GROUPS
     ),
+    "q_rules": query(
+        "\nUNION ALL ".join(
+            [multi_sql("scripts", R.N_PLUS_1_RULES), multi_sql("ruled", R.EXPENSIVE_RULES), *[absent_sql("ruled", i) for i in range(3)]]
+        ),
+        f"ruled AS ({RULES_SQL})",
+        "scripts AS (SELECT * FROM ruled WHERE path LIKE '%.js')",
+    ),
+    "q_prefixes": query(prefix_sql("keyed"), f"keyed AS ({KEYS_SQL})"),
     "q_user_check": query(
         "SELECT " + row("'info'", "'long_lines'", "'Line of ' || CAST(length(text) AS VARCHAR) || ' characters'", line="line")
         + f" FROM ({lines_of('visible')}) WHERE path LIKE '%.ts' AND length(text) > 2000"

@@ -27,10 +27,13 @@ from sievework.plans.audit import CHECKS, AuditInputs, audit, file_check, regist
 from sievework.plans.scale import stage, staging_dir
 from sievework.rules import (
     CONFIG_EXTENSIONS,
+    EXPENSIVE_RULES,
     EXTENSIONS,
     IGNORE_ALTERNATIVES,
+    N_PLUS_1_RULES,
     REQUIRED_IGNORE_ENTRIES,
     SECRET_RULES,
+    UNBOUNDED_RULES,
     Rule,
     user_secret_rules,
 )
@@ -235,6 +238,17 @@ def q_multi(spark, sf):
     return plain(op.multiline_scan(files, PAGE_RULES))
 
 
+def q_rules(spark, sf):
+    """Every whole-text rule but the loop folds, with hits and near misses in every document."""
+    rules = N_PLUS_1_RULES + UNBOUNDED_RULES + EXPENSIVE_RULES
+    return plain(op.multiline_scan(inputs.written(spark, sf, inputs.RULES_SQL), rules))
+
+
+def q_prefixes(spark, sf):
+    """Every key prefix, with a near miss of each."""
+    return plain(op.prefix_scan(inputs.written(spark, sf, inputs.KEYS_SQL)))
+
+
 def q_absent_within(spark, sf):
     return plain(
         op.absent_within(
