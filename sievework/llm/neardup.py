@@ -42,6 +42,7 @@ FUNCTIONS = TREES * DEPTH
 DENSE = 512
 MAP_BITS = 1 << 27
 NEAREST = 4
+WINDOW = 16
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
 
@@ -205,31 +206,46 @@ def in_regions(orders: np.ndarray):
 
 
 def neighbours(limit: int):
-    """Next to each other in one order, with a common prefix and similar sketches."""
+    """Pairs next to each other in one order, with a common prefix and similar sketches.
+
+    Besides the row after it, each row is paired with the most similar of the WINDOW rows
+    after it. In a large group of near copies many rows have links to few others only, and
+    a link found here keeps a row out of the search of its whole regions.
+    """
+    width = 1 + 4 * LEVELS[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            key = np.array(batch.column("key").to_pylist(), dtype=object)
+            keys = b"".join(k[:width] for k in batch.column("key").to_pylist())
+            prefix = np.frombuffer(keys, np.uint8).reshape(-1, width)
             cls = batch.column("cls").to_pylist()
             sk = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
-            prefix = [k[: 1 + 4 * LEVELS[0]] for k in key]
-            rows = (prefix, cls, sk)
-            if last is not None:
-                rows = ([last[0]] + prefix, [last[1]] + cls, np.concatenate([last[2][None], sk]))
-            prefix, cls, sk = rows
-            last = (prefix[-1], cls[-1], sk[-1])
-            x = sk[1:] ^ sk[:-1]
-            x |= x >> np.uint64(2)
-            x |= x >> np.uint64(1)
-            apart = np.bitwise_count(x & np.uint64(NIBBLES)).sum(axis=1)
-            pairs = [
-                (cls[i], cls[i + 1], int(apart[i]))
-                for i in np.flatnonzero(apart <= limit)
-                if prefix[i] == prefix[i + 1]
-            ]
+            new = len(cls)
+            if held is not None:
+                prefix, cls, sk = np.concatenate([held[0], prefix]), held[1] + cls, np.concatenate([held[2], sk])
+            n = len(cls)
+            # Each pair once: with the batch in which its later row is.
+            next_one = np.full(n, limit + 1)
+            best, place = np.full(n, limit + 1), np.zeros(n, np.int64)
+            for lag in range(1, min(WINDOW, n - 1) + 1):
+                x = sk[lag:] ^ sk[:-lag]
+                x |= x >> np.uint64(2)
+                x |= x >> np.uint64(1)
+                apart = np.bitwise_count(x & np.uint64(NIBBLES)).sum(axis=1).astype(np.int64)
+                apart[(prefix[lag:] != prefix[:-lag]).any(axis=1)] = limit + 1
+                apart[: max(n - new - lag, 0)] = limit + 1
+                if lag == 1:
+                    next_one[: n - 1] = apart
+                    continue
+                closer = apart < best[: n - lag]
+                best[: n - lag][closer] = apart[closer]
+                place[: n - lag][closer] = lag
+            pairs = [(cls[i], cls[i + 1], int(next_one[i])) for i in np.flatnonzero(next_one <= limit)]
+            pairs += [(cls[i], cls[i + place[i]], int(best[i])) for i in np.flatnonzero(best <= limit)]
+            held = (prefix[-WINDOW:], cls[-WINDOW:], sk[-WINDOW:])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([p[0] for p in pairs], pa.binary()),
@@ -368,7 +384,7 @@ def _across(nodes: DataFrame, threshold: float) -> DataFrame:
         dense = F.col("n") - F.col("top.size") > DENSE
         judged = mixed.join(largest.select("region", F.col("top.comp").alias("main"), dense.alias("dense")), "region")
         last = depth == DEPTH
-        pairs = _region_pairs(judged if last else judged.where(~F.col("dense")), nodes, limit)
+        pairs = _region_pairs(judged if last else judged.where(~F.col("dense")), nodes, limit, round(100 * threshold))
         found = pairs if found is None else found.unionByName(pairs)
         if last:
             break
@@ -379,9 +395,12 @@ def _across(nodes: DataFrame, threshold: float) -> DataFrame:
     return found
 
 
-def _region_pairs(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """Pairs across components within regions, each smaller side against the rest."""
-    sketch = nodes.select("cls", *SKETCH)
+def _region_pairs(rows: DataFrame, nodes: DataFrame, limit: int, per_cent: int) -> DataFrame:
+    """Pairs across components within regions, each smaller side against the rest.
+
+    Sets whose sizes differ by more than the threshold allows can't be similar.
+    """
+    sketch = nodes.select("cls", "n", *SKETCH)
     full = rows.select("region", "cls", "comp", "main").join(sketch, "cls")
     minor = full.where(F.col("comp") != F.col("main")).alias("a")
     other = full.alias("b")
@@ -390,6 +409,7 @@ def _region_pairs(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
         (F.col("a.region") == F.col("b.region"))
         & (F.col("a.comp") != F.col("b.comp"))
         & once
+        & (100 * F.least("a.n", "b.n") >= per_cent * F.greatest("a.n", "b.n"))
         & (_apart("a", "b") <= limit)
     )
     return minor.join(other, condition).select(
@@ -418,7 +438,11 @@ def near_duplicates(
     nodes = stage(
         signed.where(F.col("n_shingles") > 0)
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", *SKETCH)]),
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.first("n_shingles").cast("int").alias("n"),
+            *[F.first(c).alias(c) for c in ("sig", *SKETCH)],
+        ),
         "nodes",
     )
 
