@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..plans.scale import stage
 from ..schema import sql_text
 from .boosting import Boosted, Cell, fit, threshold
-from .spans import digest, digits, hits, in_order, listed, luhn, number_of, spans
+from .spans import digest, digits, hits, in_order, listed, luhn, number_of, place, smaller, spans, touching
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
@@ -87,22 +87,20 @@ def _proposals(text: str) -> Column:
     """All proposals with their features; one hit may be proposed as several kinds."""
     parts = []
     for _, kinds, pattern, possible in GENERATORS:
-        found = hits(text, pattern, possible.replace("text", text))
+        found = hits(text, pattern, possible.replace("text", text), CONTEXT)
         for kind in kinds:
-            parts.append(F.transform(found, _proposed(F.col(text), kind)))
+            parts.append(F.transform(found, _proposed(kind)))
     return F.concat(*parts)
 
 
-def _proposed(text: Column, kind: str) -> Callable[[Column], Column]:
-    return lambda h: _features(text, h, kind)
+def _proposed(kind: str) -> Callable[[Column], Column]:
+    return lambda h: _features(h, kind)
 
 
-def _features(text: Column, h: Column, kind: str) -> Column:
-    found, start, end = h["found"], h["start"].cast("int"), h["end"].cast("int")
+def _features(h: Column, kind: str) -> Column:
+    found = h["found"]
     n = F.length(digits(found))
     joints = F.regexp_replace(found, r"[\p{L}\p{N}_%+]", "")
-    context = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
-    left = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
     return F.struct(
         h["start"].alias("start"),
         h["end"].alias("end"),
@@ -118,28 +116,22 @@ def _features(text: Column, h: Column, kind: str) -> Column:
         .otherwise(5)
         .alias("joint"),
         F.startswith(found, F.lit("+")).cast("int").alias("plus"),
-        _class_of(left).alias("before"),
-        _class_of(F.substring(text, end + 1, F.lit(1))).alias("after"),
-        context.rlike(CUES[kind]).cast("int").alias("cue"),
+        _class_of(F.right(h["before"], F.lit(1))).alias("before"),
+        _class_of(h["after"]).alias("after"),
+        h["before"].rlike(CUES[kind]).cast("int").alias("cue"),
     )
 
 
 def read_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, proposals, fold) of whole texts; ``known`` in a proposal is its label."""
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", in_order(_base("text"), KINDS).alias("base"))
-
-    def labelled(p: Column) -> Column:
-        same = F.exists(
-            F.col("base"),
-            lambda b: (b["kind"] == p["kind_name"]) & (b["start"] < p["end"]) & (p["start"] < b["end"]),
-        )
-        return p.withField("known", same.cast("int"))
-
     fold = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(2)).cast("int")
-    return rows.select(
-        "doc_id", "base", F.transform(_proposals("text"), labelled).alias("proposals"), fold.alias("fold")
+    rows = rows.select(
+        "doc_id", in_order(_base("text"), KINDS).alias("base"), _proposals("text").alias("proposals"), fold.alias("fold")
     )
+    met = touching(F.col("proposals"), F.col("base"), lambda p: p["kind"] + 1, lambda b: b["k"])
+    labelled = F.zip_with("proposals", met, lambda p, n: p.withField("known", (n > 0).cast("int")))
+    return rows.select("doc_id", "base", labelled.alias("proposals"), "fold")
 
 
 def train(read: DataFrame, precision: float = PRECISION) -> tuple[Boosted, dict[str, float | None]]:
@@ -161,25 +153,62 @@ def train(read: DataFrame, precision: float = PRECISION) -> tuple[Boosted, dict[
 
 def select_spans(read: DataFrame, model: Boosted, limits: dict[str, float | None]) -> DataFrame:
     """Adds ``spans``: the base spans and the proposals that pass, without overlaps among the added."""
+    short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    base = F.transform("base", short)
+    if all(limit is None for limit in limits.values()):
+        return read.select("doc_id", "base", in_order(base, KINDS).alias("spans"))
     margin = model.sql([f"p.{f}" for f in FEATURES])
     scored = F.expr(
-        "transform(proposals, p -> named_struct('start', p.start, 'end', p.end, "
-        f"'kind', p.kind_name, 'known', p.known, 'margin', {margin}))"
+        "transform(proposals, p -> named_struct('k', p.kind, 'start', p.start, 'end', p.end, "
+        f"'kind', p.kind_name, 'margin', {margin}))"
     )
     passes = " OR ".join(
         f"(q.kind = {sql_text(k)} AND q.margin >= {m!r}D)" for k, m in limits.items() if m is not None
     )
-    rows = read.withColumn("scored", scored)
-    free = "NOT exists(base, b -> b.start < q.end AND q.start < b.end)"
-    rows = rows.withColumn("chosen", F.expr(f"filter(scored, q -> ({passes or 'false'}) AND {free})"))
-    better = (
-        "exists(chosen, r -> r.start < q.end AND q.start < r.end AND (r.margin > q.margin OR (r.margin = q.margin "
-        "AND struct(r.start, r.end, r.kind) < struct(q.start, q.end, q.kind))))"
-    )
-    rows = rows.withColumn("added", F.expr(f"filter(chosen, q -> NOT {better})"))
-    kept = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.select("doc_id", "base", in_order(F.concat(base, kept), KINDS).alias("spans"))
+    rows = read.withColumn("passed", F.filter(scored, lambda q: _passes(q, limits)))
+    free = F.zip_with("passed", touching(F.col("passed"), F.col("base")), lambda q, n: F.when(n == 0, q))
+    rows = rows.withColumn("chosen", F.sort_array(F.filter(free, lambda q: q.isNotNull())))
+    kept = F.filter(_unbeaten(), lambda q: q.isNotNull())
+    return rows.select("doc_id", "base", in_order(F.concat(base, F.transform(kept, short)), KINDS).alias("spans"))
+
+
+def _passes(q: Column, limits: dict[str, float | None]) -> Column:
+    passes = F.lit(False)
+    for kind, limit in limits.items():
+        if limit is not None:
+            passes = passes | ((q["kind"] == kind) & (q["margin"] >= limit))
+    return passes
+
+
+def _unbeaten() -> Column:
+    """The array ``chosen``, with null for those that overlap a better one.
+
+    The chosen of one kind are disjoint, so those that meet a span are a range of the
+    sorted array, and all ranges together are not longer than the array times the kinds.
+    """
+    chosen = F.col("chosen")
+    left = F.transform(chosen, lambda q: q)
+    for k in range(len(KINDS)):
+        lo = smaller(
+            F.transform(chosen, lambda r: place(r["k"], r["end"])),
+            F.transform(chosen, _placed_as(k, lambda q: q["start"] + 1)),
+        )
+        hi = smaller(
+            F.transform(chosen, lambda r: place(r["k"], r["start"])),
+            F.transform(chosen, _placed_as(k, lambda q: q["end"])),
+        )
+        meets = F.zip_with(lo, hi, lambda a, b: F.slice(chosen, (a + 1).cast("int"), (b - a).cast("int")))
+        left = F.zip_with(left, meets, lambda q, rs: F.when(~F.exists(rs, _better_than(q)), q))
+    return left
+
+
+def _placed_as(k: int, at: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda q: place(k, at(q))
+
+
+def _better_than(q: Column) -> Callable[[Column], Column]:
+    order = lambda s: F.struct(s["start"], s["end"], s["kind"])
+    return lambda r: (r["margin"] > q["margin"]) | ((r["margin"] == q["margin"]) & (order(r) < order(q)))
 
 
 def find_personal_data(

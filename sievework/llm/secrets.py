@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entropy
 from ..plans.scale import stage
-from .spans import digest, hits, in_order, listed, number_of, spans
+from .spans import digest, hits, in_order, listed, number_of, place, smaller, spans, touching
 
 KINDS = ("assign", "access", "hex", "weak")
 REACH = 200
@@ -74,26 +74,36 @@ def _parts(text: str) -> Column:
 
 
 def read_parts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, base, weak, parts, breaks) of whole texts.
+    """(row, doc_id, base, weak, parts) of whole texts.
 
-    ``breaks`` are the places of blank lines, where paragraphs end; they are only kept for
-    texts that have both candidates and parts.
+    Weak candidates and parts are structs of start, end and scope, the number of blank
+    lines before, where paragraphs end. They are only kept for texts that have both.
     """
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", in_order(_base("text"), KINDS).alias("base"), _parts("text").alias("found"))
-    touches = "exists(base, b -> b.start < w.end AND w.start < b.end)"
-    weak = F.expr(f"filter(found, w -> w.kind = 'weak' AND NOT {touches})")
-    rows = rows.withColumn("weak", weak).withColumn("parts", F.expr("filter(found, p -> p.kind = 'part')"))
-    both = (F.size("weak") > 0) & (F.size("parts") > 0)
-    breaks = F.transform(hits("text", r"\n[\x20\t\r]*+\n"), lambda h: h["start"])
-    none = F.array().cast("array<bigint>")
-    return rows.select(
+    rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        "text",
+        in_order(_base("text"), KINDS).alias("base"),
+        _parts("text").alias("found"),
+    )
+    touched = F.zip_with(
+        "found", touching(F.col("found"), F.col("base")), lambda f, n: F.when((f["kind"] == "part") | (n == 0), f)
+    )
+    rows = rows.withColumn("found", F.filter(touched, lambda f: f.isNotNull()))
+    both = F.exists("found", lambda f: f["kind"] == "part") & F.exists("found", lambda f: f["kind"] == "weak")
+    rows = rows.withColumn("found", F.when(both, F.col("found")).otherwise(F.filter("found", lambda f: F.lit(False))))
+    scopes = smaller(
+        F.transform(hits("text", r"\n[\x20\t\r]*+\n", "size(found) > 0"), lambda h: place(0, h["start"])),
+        F.transform("found", lambda f: place(0, f["start"])),
+    )
+    rows = rows.withColumn("found", F.zip_with("found", scopes, lambda f, n: f.withField("scope", n)))
+    return rows.select(
+        "row",
+        "doc_id",
         "base",
-        F.when(both, F.col("weak")).otherwise(F.expr("filter(weak, w -> false)")).alias("weak"),
-        F.when(both, F.col("parts")).otherwise(F.expr("filter(parts, p -> false)")).alias("parts"),
-        F.when(both, breaks).otherwise(none).alias("breaks"),
+        F.filter("found", lambda f: f["kind"] == "weak").alias("weak"),
+        F.filter("found", lambda f: f["kind"] == "part").alias("parts"),
     )
 
 
@@ -101,10 +111,8 @@ def link(read: DataFrame, reach: int = REACH) -> DataFrame:
     """(row, start, end) of the weak candidates that a complementary part supports."""
 
     def placed(column: str) -> DataFrame:
-        one = F.explode(column).alias("s")
-        rows = read.select("row", "breaks", one)
-        scope = F.size(F.filter("breaks", lambda b: b < F.col("s.start")))
-        return rows.select("row", "s.start", "s.end", scope.alias("scope"), F.floor(F.col("s.start") / reach).alias("window"))
+        rows = read.select("row", F.inline(column))
+        return rows.select("row", "start", "end", "scope", F.floor(F.col("start") / reach).alias("window"))
 
     weak = placed("weak").alias("w")
     # A part also shows in the windows before and after its own, as a gap may cross one.

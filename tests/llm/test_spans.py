@@ -99,6 +99,72 @@ def test_long_and_missing_texts(spark):
     assert secrets.find_secrets(table(spark, [])).collect() == []
 
 
+NUMBERS = st.tuples(st.integers(0, 3), st.integers(0, 40))
+
+
+@settings(**LENIENT)
+@given(st.lists(st.tuples(st.lists(NUMBERS, max_size=9), st.lists(NUMBERS, max_size=9)), min_size=8, max_size=12))
+def test_ranks_and_overlaps_as_stated(spark, rows):
+    span = "array<struct<k:int,start:bigint,end:bigint>>"
+    wide = [([(k, a, a + 1 + 3 * k) for k, a in ones], [(k, a, a + 1 + a % 7) for k, a in others]) for ones, others in rows]
+    data = spark.createDataFrame([(i, *w) for i, w in enumerate(wide)], f"i int, ones {span}, others {span}")
+    col = pii.F.col
+    found = data.select(
+        "i",
+        spans.touching(col("ones"), col("others")).alias("any"),
+        spans.touching(col("ones"), col("others"), lambda s: s["k"], lambda s: s["k"]).alias("own"),
+    )
+    for r in found.collect():
+        ones, others = wide[r.i]
+        meet = [[o for o in others if o[1] < e and s < o[2]] for _, s, e in ones]
+        assert r["any"] == [len(m) for m in meet]
+        assert r.own == [sum(o[0] == one[0] for o in m) for one, m in zip(ones, meet)]
+
+
+def test_the_best_of_overlapping_proposals(spark):
+    """Against comparing all pairs; the proposals of one kind are disjoint, as matches are."""
+    rng = random.Random(8)
+    better = lambda r, q: r[4] > q[4] or (r[4] == q[4] and r[1:4] < q[1:4])
+    rows, want = [], {}
+    for i in range(60):
+        chosen = []
+        for _ in range(rng.randrange(25)):
+            k, start, size = rng.randrange(4), rng.randrange(60), rng.randrange(1, 25)
+            if all(k != c[0] or c[2] <= start or start + size <= c[1] for c in chosen):
+                chosen.append((k, start, start + size, pii.KINDS[k], float(rng.randrange(3))))
+        chosen.sort()
+        rows.append((i, chosen))
+        want[i] = [q for q in chosen if not any(r[1] < q[2] and q[1] < r[2] and better(r, q) for r in chosen)]
+    data = spark.createDataFrame(
+        rows, "i int, chosen array<struct<k:int,start:bigint,end:bigint,kind:string,margin:double>>"
+    )
+    kept = data.select("i", pii.F.filter(pii._unbeaten(), lambda q: q.isNotNull()).alias("kept"))
+    assert {r.i: [tuple(q) for q in r.kept] for r in kept.collect()} == want
+
+
+def test_context_across_blocks(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["12.5.1.9", "7.7.7.7", " ", " é", " x ", "\n", " mail to ", "y" * 40]) for _ in range(5000))
+    row = table(spark, [(1, text)]).select(spans.hits("text", pii.DOTTED_LIKE, "true", 24).alias("h")).first()
+    want = [
+        (m.start(), m.end(), m[0], text[max(m.start() - 24, 0) : m.start()], text[m.end() : m.end() + 1])
+        for m in re.finditer(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])", text)
+    ]
+    assert len(want) > 2 * spans.BLOCK and [tuple(h) for h in row.h] == want
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Were the work quadratic, each of these texts would take minutes."""
+    many = 40_000
+    personal = table(spark, [(1, "x@y.zz " * many), (2, "1.2.3.4 " * many), (3, "+1 555 123 4567\n" * (many // 2))])
+    found = pii.find_personal_data(personal).collect()
+    assert {r.doc_id: (len(r.base), len(r.spans)) for r in found} == {1: (many,) * 2, 2: (many,) * 2, 3: (many // 2,) * 2}
+    value = "aB3dE6gH9jK2mN5pQ8sT"
+    scopes = table(spark, [(1, f"user = admin {value}\n\n" * 10_000 + f"{value}\n\n" * 10_000)])
+    found = secrets.find_secrets(scopes).collect()
+    assert [len(r.spans) for r in found] == [10_000]
+
+
 def test_proposals_like_the_rest_are_added(spark):
     rng = random.Random(1)
     rows = []
@@ -147,7 +213,7 @@ def test_weak_candidates_need_a_complement_in_their_scope(spark):
 
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in llm_queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE) <= set(llm_queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE) <= set(llm_queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "tokens"]
 
 
