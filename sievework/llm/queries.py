@@ -72,8 +72,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PLAIN_TEXT).alias("text"),
     )
-    pieces = stage(chat.format_turns(turns.unionByName(extra)), "chat")
-    return chat.digests(pieces)
+    pieces = chat.format_turns(turns.unionByName(extra))
+    return chat.digests(pieces, stage(chat.examples(pieces), "examples"))
 
 
 def op9_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,7 +237,7 @@ def test_conversations_round_trip(spark):
     rows += [(None, None, "assistant", "no id", "x"), (3, 0, "assistant", "tie", "x"), (3, 0, "assistant", "tie", "x")]
     turns = spark.createDataFrame(rows, TURNS)
     pieces = chat.format_turns(turns.repartition(4))
-    got = {r.conv_id: r for r in chat.digests(pieces).collect()}
+    got = {r.conv_id: r for r in chat.digests(pieces, chat.examples(pieces)).collect()}
     key = lambda r: tuple((x is not None, x) if x is not None else (False, 0 if isinstance(x, int) else "") for x in r[1:4])
     spelled = {}
     for r in chat.example_texts(pieces).collect():
@@ -256,7 +256,31 @@ def test_conversations_round_trip(spark):
 
 
 def test_chat_of_an_empty_table(spark):
-    assert chat.digests(chat.format_turns(spark.createDataFrame([], TURNS))).collect() == []
+    pieces = chat.format_turns(spark.createDataFrame([], TURNS))
+    assert chat.digests(pieces, chat.examples(pieces)).collect() == []
+
+
+def test_a_hot_conversation_is_split_and_read_through_its_examples(spark, monkeypatch):
+    roles = ["user", "assistant", "system"]
+    rows = [(7 if i % 3 else i, i, roles[i % 3], f"turn {i}" * (i % 5), "x") for i in range(6000)]
+    seen, in_parts = [], chat._in_parts
+    monkeypatch.setattr(chat, "_in_parts", lambda turns: seen.append(in_parts(turns)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = chat.format_turns(spark.createDataFrame(rows, TURNS))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0].where("conv_id = 7").select("part").distinct().count() > 1
+    hot = sorted((r for r in pieces.collect() if r.conv_id == 7), key=lambda r: r.n)
+    assert [r.n for r in hot] == list(range(4000))
+    assert [r.begin for r in hot] == [sum(len(h.piece) for h in hot[:i]) for i in range(len(hot))]
+    chosen = chat.examples(pieces)
+    one = chat.digests(pieces, chosen).where("conv_id = 7").first()
+    said = [r[3] for r in rows if r[0] == 7 and r[2] == "assistant"]
+    assert (one.n_examples, one.loss_sha256) == (2000, hashlib.sha256("".join(said).encode()).hexdigest())
+    # Only what the examples name is trainable.
+    few = chat.digests(pieces, chosen.where("target < 2")).where("conv_id = 7").first()
+    assert (few.n_turns, few.n_examples, few.loss_chars) == (4000, 1, len(said[0]))
 
 
 # --- nearest codes ----------------------------------------------------------
