@@ -43,6 +43,8 @@ NOISE = 64
 RATE = 0.15
 WARM = 16
 BLOCK = 4096
+FAN = 64
+MODELS = "block int, task int, weight double, part binary"
 MAX_STEP = 4.0
 
 
@@ -269,22 +271,39 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, seed:
                 names=["block", "task", "weight", "part"],
             )
 
-    def mean(found: pa.Table) -> pa.Table:
-        found = found.sort_by("task")
-        weight = found.column("weight").to_numpy()
-        total = sum(
-            w * np.frombuffer(x, np.float32).astype(float) for w, x in zip(weight, found.column("part").to_pylist())
-        )
-        out = (total / weight.sum()).astype(np.float32).tobytes()
-        return pa.table({"block": found.column("block")[:1], "part": pa.array([out], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(run, "block int, task int, weight double, part binary")
-    rows = parts.groupBy("block").applyInArrow(mean, "block int, part binary").collect()
+    parts = docs.select("text").mapInArrow(run, MODELS)
+    rows = averaged(stage(parts, "models")).collect()
     if not rows:
         return flat
     return np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(rows, key=lambda r: r.block)])
 
 
+def averaged(parts: DataFrame) -> DataFrame:
+    """The weighted mean of each block over all tasks, as a tree: at most FAN parts meet in one group."""
+    top = parts.agg(F.max("task")).first()[0] or 0
+    while True:
+        parts = parts.groupBy("block", F.floor(F.col("task") / FAN).alias("above")).applyInArrow(_mean, MODELS)
+        if top < FAN:
+            return parts
+        top //= FAN
+
+
+def _mean(found: pa.Table) -> pa.Table:
+    found = found.sort_by("task")
+    weight = found.column("weight").to_numpy()
+    total = sum(
+        w * np.frombuffer(x, np.float32).astype(float) for w, x in zip(weight, found.column("part").to_pylist())
+    )
+    return pa.table(
+        {
+            "block": found.column("block")[:1],
+            "task": pa.array([found.column("task")[0].as_py() // FAN], pa.int32()),
+            "weight": pa.array([weight.sum()]),
+            "part": pa.array([(total / weight.sum()).astype(np.float32).tobytes()], pa.binary()),
+        }
+    )
+
+
 class Scorer:
     """Log10 probabilities under fixed parameters; the normalisers are one matrix product."""
 

@@ -115,6 +115,22 @@ def test_probabilities_add_up_to_one(spark):
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_models_of_many_tasks_are_averaged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 4)
+    rng = np.random.default_rng(3)
+    parts = rng.normal(size=(2, 70, 5)).astype(np.float32)
+    weights = rng.integers(1, 1000, 70).astype(float)
+    tasks = [t for t in range(70) if t % 9 != 4]
+    rows = [(b, t, float(weights[t]), bytearray(parts[b, t].tobytes())) for b in (0, 1) for t in tasks]
+    got = lm.averaged(spark.createDataFrame(rows, lm.MODELS)).collect()
+    assert sorted(r.block for r in got) == [0, 1]
+    for r in got:
+        want = np.average(parts[r.block][tasks], axis=0, weights=weights[tasks])
+        assert np.allclose(np.frombuffer(r.part, np.float32), want, atol=1e-5)
+        assert r.weight == weights[tasks].sum()
+    assert lm.averaged(spark.createDataFrame([], lm.MODELS)).collect() == []
+
+
 def test_the_model_learns_an_order_of_words(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["red apple", "blue sky", "green leaf"]) for _ in range(400))) for i in range(60)]
