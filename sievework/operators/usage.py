@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import matched_lines
 from ..functions.text import in_basenames, strip
-from ..plans.scale import salted_anti
+from ..plans.scale import likely_among, salted_anti, stage
 from ..rules import (
     EXPORT_PATTERN,
     FRAMEWORK_BASENAMES,
@@ -190,13 +190,12 @@ def definition_facts(py: Column) -> Column:
 def uncalled(definitions: DataFrame, calls: DataFrame) -> DataFrame:
     """Definitions whose name nothing in their project calls.
 
-    Calls are made distinct before anything else: a name that every file of a large
-    project calls is then one row. As the definitions left after the in-file test are
-    few, the calls are next cut down to names that occur among them.
+    Most calls name nothing that is defined here. A map of the definitions' names drops
+    them where they are read; what is left is made distinct in each task, so a name that
+    every file of a large project calls is one row of each, and only those rows move.
     """
     keys = ["project", "name"]
-    wanted = definitions.select(*keys).distinct()
-    relevant = calls.select(*keys).distinct().join(wanted, keys, "left_semi")
+    relevant = likely_among(calls.select(*keys), definitions.select(*keys), keys)
     return salted_anti(definitions, relevant, keys, spread_by=["path", "line"])
 
 
@@ -220,7 +219,6 @@ def unused_functions(files: DataFrame, strict: bool = False) -> DataFrame:
     python = files.where(F.col("path").endswith(".py"))
     parsed = python.select("project", "path", python_facts(F.col("content")).alias("py"))
     definitions = parsed.select("project", "path", F.inline(definition_facts(F.col("py"))))
+    definitions = stage(definitions.select("project", "path", "name", "line"), "definitions")
     calls = python.select("project", F.explode(called_names(F.col("content"), strict)).alias("name"))
-    return unused_function_findings(
-        uncalled(definitions.select("project", "path", "name", "line"), calls)
-    )
+    return unused_function_findings(uncalled(definitions, calls))

@@ -13,6 +13,8 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 SALTS = 8
 # A table is only broadcast after it was found to have no more rows than this.
 SMALL_ROWS = 200_000
+# Bits of the map that stands for a set of keys: 16 MB when every part of it is used.
+KEY_BITS = 1 << 27
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -93,3 +95,22 @@ def salted_anti(
     places = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     known = right.select(*keys).distinct().select(*keys, places.alias("__place"))
     return left.withColumn("__place", place).join(known, [*keys, "__place"], "left_anti").drop("__place")
+
+
+def likely_among(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], bits: int = KEY_BITS) -> DataFrame:
+    """The rows whose keys may be among those of ``wanted``, without moving ``rows``.
+
+    The keys of ``wanted`` become a map of ``bits`` bits at their hashes. The map is cut
+    into buckets of 4 KB, of which only those with a bit exist, so what is sent to the
+    tasks is at most bits / 8 bytes however many keys there are. Every row with a wanted
+    key stays; of the others about as large a share stays as bits are set. Rows with a
+    null key stay only if such a key is wanted.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    held = wanted.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__held")
+    )
+    placed = rows.withColumns({"__bucket": F.bitmap_bucket_number(place), "__bit": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.substring("__held", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(held), "__bucket")
+    return found.where(F.bit_get(byte, (F.col("__bit") % 8).cast("int")) == 1).select(*rows.columns)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sievework import operators as op
 from sievework.operators.extract import guarded, python_shape, read_js, read_python
+from sievework.operators.usage import uncalled
+from sievework.plans.scale import likely_among
 
 
 def sites(df):
@@ -26,6 +28,27 @@ def test_unused_exports(files):
     assert strict == [("p/a.ts", 3, "Gone"), ("q/c.js", 1, "used")]
 
 
+def test_rows_whose_keys_may_be_wanted(spark):
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("p"), F.concat(F.lit("n"), "id").alias("name"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, "n1", -1), (1, None, -2)], "p bigint, name string, id bigint"))
+    wanted = rows.where("id % 100 = 7 OR id = -1").select("p", "name")
+    got = {r.id for r in likely_among(rows, wanted, ["p", "name"]).collect()}
+    want = {i for i in range(20_000) if i % 100 == 7} | {-1}
+    assert want <= got and len(got) <= len(want) + 5
+    crowded = {r.id for r in likely_among(rows, wanted, ["p", "name"], bits=64).collect()}
+    assert want <= crowded
+    assert likely_among(rows, wanted.where("false"), ["p", "name"]).collect() == []
+    assert likely_among(rows.where("false"), wanted, ["p", "name"]).columns == rows.columns
+
+
+def test_calls_of_names_not_defined_do_not_move(spark):
+    defined = spark.createDataFrame([("p", "a.py", f"f{i}", i) for i in range(50)], "project string, path string, name string, line int")
+    called = [("p", f"f{i}") for i in range(0, 50, 2)] + [("p", f"other{i}") for i in range(5000)] + [("q", "f1")] * 3
+    calls = spark.createDataFrame(called, "project string, name string")
+    assert sorted(r.line for r in uncalled(defined, calls).collect()) == list(range(1, 50, 2))
+    assert likely_among(calls, defined, ["project", "name"]).count() <= 25 + 2
+
+
 def test_unused_imports(files):
     text = (
         "from __future__ import annotations\nimport os.path\nimport re, json as j\nfrom x import *\n"
