@@ -9,16 +9,19 @@ classes that share a long prefix in some order are candidates:
    then all neighbours that are still in different components, and what is linked is
    contracted to components. A large group of near copies is one component then.
 2. In each order, regions (classes with three common values) that still hold more than
-   one component are searched for pairs across components. A region is dense when more
-   than ``DENSE`` of its classes lie outside its largest component, as each class is then
-   compared with more than that many. Classes of dense regions are dealt again, into
-   regions of five values and, where those are dense, of eight. Each time they get so
-   many new orders that a pair is missed there four times less often than at depth three.
-
-Candidates must agree on a sketch of four bits for each MinHash value; the limit loses ten
-times fewer pairs at the threshold than the orders do. Every link is confirmed on the full
-shingle sets. Regions at the last depth are searched whole, whatever their size: members of the largest component are paired
-only with members of others.
+   one component are searched for pairs across components. Where few classes lie outside
+   the largest component, each is compared with the rest by its sketch: four bits for each
+   MinHash value, whose limit loses ten times fewer pairs at the threshold than the orders
+   do. A region with more than ``DIRECT`` such classes is searched by differences.
+
+Differences. In a dense region many pairs lie just below the threshold, where neither deeper
+prefixes nor sketches tell them from links. There every set A goes as its difference d(A) from
+one pivot set P. Sets A and B that are linked differ in at most D = (1 - t) / (1 + t) * (|A| + |B|)
+shingles, so d(A) and d(B) share at least s = (|d(A)| + |d(B)| - D) / 2 of theirs. If that is 0 or
+less, both are linked with P itself; else, with differences sorted from their rarest shingle
+on, they share one among the first |d(A)| - s + 1 and |d(B)| - s + 1. So an equi-join on the rare
+shingles of differences finds all links, and what a whole group has in common is in none.
+No link is lost in this step. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ from .graph import components
 from .hashing import bound_batches, chunks, mix, word_hashes
 
 TREES = 16
-LEVELS = (3, 5, 8)
-DEPTH = LEVELS[-1]
+SHARED = 3
+DEPTH = 8
 FUNCTIONS = TREES * DEPTH
-DENSE = 512
+DIRECT = 32
 MAP_BITS = 1 << 27
 NEAREST = 4
 WINDOW = 16
@@ -147,7 +150,7 @@ def sketch_limit(threshold: float) -> int:
     binomial, with which the orders miss it.
     """
     differ = (1 - threshold) * 15 / 16
-    enough = (1 - threshold ** LEVELS[0]) ** TREES / 10
+    enough = (1 - threshold ** SHARED) ** TREES / 10
     limit, beyond = FUNCTIONS, 0.0
     while limit > 0:
         beyond += comb(FUNCTIONS, limit) * differ**limit * (1 - differ) ** (FUNCTIONS - limit)
@@ -157,52 +160,23 @@ def sketch_limit(threshold: float) -> int:
     return limit
 
 
-def missed(orders: int, depth: int, threshold: float) -> float:
-    """The chance that a pair at the threshold agrees in none of ``orders`` random choices of ``depth`` values."""
-    total = 0.0
-    for m in range(FUNCTIONS + 1):
-        chance = comb(FUNCTIONS, m) * threshold**m * (1 - threshold) ** (FUNCTIONS - m)
-        total += chance * (1 - comb(m, depth) / comb(FUNCTIONS, depth)) ** orders
-    return total
-
-
-def choices(depth: int, threshold: float) -> np.ndarray:
-    """The MinHash functions of each order at a depth, one row per order.
-
-    The shallowest depth takes the beginnings of the sorted orders. Deeper ones have as
-    many random choices as keep the shallowest depth's recall.
-    """
-    if depth == LEVELS[0] or threshold >= 1:
-        return np.arange(FUNCTIONS).reshape(TREES, DEPTH)[:, :depth]
-    enough = (1 - threshold ** LEVELS[0]) ** TREES / 4
-    orders = TREES
-    while missed(orders, depth, threshold) > enough:
-        orders += 1 + orders // 64
-    rng = np.random.default_rng(depth)
-    return np.stack([rng.choice(FUNCTIONS, depth, replace=False) for _ in range(orders)])
-
-
-def in_regions(orders: np.ndarray):
-    """(cls, comp, region) of each class in each order; ``region`` hashes the order and its values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u4").reshape(-1, FUNCTIONS)
-                region = np.empty((len(orders), len(sig)), np.uint64)
-                for j, chosen in enumerate(orders):
-                    h = mix(np.full(len(sig), (len(chosen) << 32) + j + 1, np.uint64))
-                    for f in chosen:
-                        h = mix(h ^ sig[:, f].astype(np.uint64))
-                    region[j] = h
-                again = pa.array(np.tile(np.arange(len(sig)), len(orders)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("cls").take(again), part.column("comp").take(again), pa.array(region.view(np.int64).ravel())],
-                    names=["cls", "comp", "region"],
-                )
-
-    return run
+def in_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, comp, n, region) of each class in each order; ``region`` hashes the order and its first values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u4").reshape(-1, FUNCTIONS)
+            region = np.empty((TREES, len(sig)), np.uint64)
+            for j in range(TREES):
+                h = mix(np.full(len(sig), j + 1, np.uint64))
+                for f in range(j * DEPTH, j * DEPTH + SHARED):
+                    h = mix(h ^ sig[:, f].astype(np.uint64))
+                region[j] = h
+            again = pa.array(np.tile(np.arange(len(sig)), TREES))
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c).take(again) for c in ("cls", "comp", "n")], pa.array(region.view(np.int64).ravel())],
+                names=["cls", "comp", "n", "region"],
+            )
 
 
 def neighbours(limit: int):
@@ -212,7 +186,7 @@ def neighbours(limit: int):
     after it. In a large group of near copies many rows have links to few others only, and
     a link found here keeps a row out of the search of its whole regions.
     """
-    width = 1 + 4 * LEVELS[0]
+    width = 1 + 4 * SHARED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -280,6 +254,35 @@ def confirm(words: int, per_cent: int):
     return run
 
 
+def differences(words: int):
+    """The shingles in which the set of ``text_v`` differs from that of ``text_u``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text_v"):
+                pivots = {}
+                offsets, hashes = shingle_sets(part.column("text_v"), words)
+                found = []
+                for i, u in enumerate(part.column("u").to_pylist()):
+                    if u not in pivots:
+                        pivots = {u: shingle_sets(part.column("text_u").slice(i, 1), words)[1]}
+                    found.append(np.setxor1d(pivots[u], hashes[offsets[i] : offsets[i + 1]], assume_unique=True))
+                at = np.zeros(len(found) + 1, np.int64)
+                np.cumsum([len(f) for f in found], out=at[1:])
+                items = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("u"),
+                        part.column("v"),
+                        pa.array(np.diff(at)),
+                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items)),
+                    ],
+                    names=["pivot", "cls", "m", "items"],
+                )
+
+    return run
+
+
 def _near_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Documents whose id may be among ``wanted.rep``, by a bit map of id hashes.
 
@@ -319,11 +322,15 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> D
     return found.mapInArrow(own, "cls binary, text string").dropDuplicates(["cls"])
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per_cent: int) -> DataFrame:
+def _with_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     texts = stage(_texts(docs, nodes, pairs, words), "texts")
     left = texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("cls").alias("v"), F.col("text").alias("text_v"))
-    rows = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per_cent: int) -> DataFrame:
+    rows = _with_texts(docs, nodes, pairs, words)
     return stage(rows.mapInArrow(confirm(words, per_cent), "u binary, v binary"), "links")
 
 
@@ -362,37 +369,100 @@ def _between(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.col("cu") != F.col("cv")).select("u", "v")
 
 
-def _across(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of different components, from regions of adaptive depth.
+def _across(docs: DataFrame, nodes: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Candidate pairs of different components that share a region.
 
-    ``nodes`` has cls, sig, the sketch and ``comp``, the component's hash.
+    ``nodes`` has cls, rep, n, sig, the sketch, ``root`` and ``comp``, the component's hash.
     """
-    limit = sketch_limit(threshold)
-    rows = nodes.select("cls", "sig", "comp")
-    found = None
-    for depth in LEVELS:
-        keyed = rows.mapInArrow(in_regions(choices(depth, threshold)), "cls binary, comp bigint, region bigint")
-        regions = (
-            keyed.groupBy("region")
-            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-            .where(F.col("low") != F.col("high"))
-            .select("region")
-        )
-        mixed = stage(keyed.join(regions, "region"), "regions")
-        sizes = mixed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("region").agg(F.sum("size").alias("n"), F.max(F.struct("size", "comp")).alias("top"))
-        dense = F.col("n") - F.col("top.size") > DENSE
-        judged = mixed.join(largest.select("region", F.col("top.comp").alias("main"), dense.alias("dense")), "region")
-        last = depth == DEPTH
-        pairs = _region_pairs(judged if last else judged.where(~F.col("dense")), nodes, limit, round(100 * threshold))
-        found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            break
-        crowded = judged.where("dense").select("cls").distinct()
-        rows = stage(rows.join(crowded, "cls", "left_semi"), "crowded")
-        if rows.isEmpty():
-            break
-    return found
+    per_cent = round(100 * threshold)
+    keyed = nodes.select("cls", "comp", "n", "sig").mapInArrow(in_regions, "cls binary, comp bigint, n int, region bigint")
+    regions = (
+        keyed.groupBy("region")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("region")
+    )
+    mixed = stage(keyed.join(regions, "region"), "regions")
+    sizes = mixed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n"))
+    outside = F.sum("size") - F.max("size")
+    judged = stage(
+        sizes.groupBy("region").agg(
+            F.max(F.struct("size", "comp"))["comp"].alias("main"),
+            F.percentile_approx("n", 0.5).alias("middle"),
+            (outside > DIRECT).alias("dense"),
+        ),
+        "judged",
+    )
+    few = mixed.join(judged.where(~F.col("dense")).select("region", "main"), "region")
+    pairs = _region_pairs(few, nodes, sketch_limit(threshold), per_cent)
+    dense = judged.where("dense")
+    if dense.isEmpty():
+        return pairs
+    # The pivot is of the largest component; of several, one of middle size.
+    chosen = F.max(F.struct("size", (F.col("n") == F.col("middle")).alias("fits"), "comp"))["comp"]
+    pivots = sizes.join(dense, "region").groupBy("region").agg(chosen.alias("at"))
+    roots = nodes.where(F.col("cls") == F.col("root")).select(F.col("comp").alias("at"), F.col("cls").alias("pivot"))
+    crowded = (
+        mixed.join(pivots.join(roots, "at"), "region")
+        .where(F.col("pivot") != F.col("cls"))
+        .select(F.col("pivot").alias("u"), F.col("cls").alias("v"))
+        .distinct()
+    )
+    return pairs.unionByName(_by_differences(docs, nodes, stage(crowded, "crowded"), words, per_cent))
+
+
+def _by_differences(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """Candidate pairs among the classes ``v`` of each pivot ``u``, and of these with their pivot.
+
+    Every linked pair of different components is among them or follows from them.
+    """
+    rows = _with_texts(docs, nodes, crowded, words).mapInArrow(
+        differences(words), "pivot binary, cls binary, m bigint, items array<bigint>"
+    )
+    apart, joined = 100 - per_cent, 100 + per_cent
+    side = nodes.select("cls", "n", "comp")
+    of_pivot = nodes.select(F.col("cls").alias("pivot"), F.col("n").alias("n_pivot"), F.col("comp").alias("comp_pivot"))
+    sets = stage(stage(rows, "differences").join(side, "cls").join(of_pivot, "pivot"), "sets")
+    linked = (F.col("comp") != F.col("comp_pivot")) & (joined * F.col("m") <= apart * (F.col("n") + F.col("n_pivot")))
+    with_pivot = sets.where(linked).select(F.least("pivot", "cls").alias("u"), F.greatest("pivot", "cls").alias("v"))
+
+    posts = sets.select("pivot", "cls", F.explode("items").alias("item"))
+    often = posts.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
+    # Shingles of one set only come first and link nothing, so they are counted and not moved on.
+    shared = posts.join(often, ["pivot", "item"])
+    by_rarity = Window.partitionBy("pivot", "cls").orderBy("often", "item")
+    ends = sets.select("pivot", "cls", "n", "m", "comp")
+    common = shared.groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("common"))
+    placed = (
+        shared.withColumn("place", F.row_number().over(by_rarity) - 1)
+        .join(common, ["pivot", "cls"])
+        .join(ends, ["pivot", "cls"])
+        .withColumn("place", F.col("place") + F.col("m") - F.col("common"))
+        .select("pivot", "item", "cls", "comp", "n", "m", "place")
+    )
+    # The larger difference (a) looks up the smaller (b). Sets that can be linked with one of n
+    # shingles have at most 100 n / per_cent, so the two differ in at most apart * n / per_cent.
+    reach = F.floor(apart * F.col("n") / per_cent)
+    looked = stage(placed, "placed")
+    a = looked.where(F.col("place") <= F.col("m") - F.greatest(F.lit(1), F.col("m") - reach)).alias("a")
+    b = looked.where(2 * per_cent * F.col("place") <= apart * F.col("n")).alias("b")
+
+    def early(x: str) -> Column:
+        rest = 2 * (F.col(f"{x}.m") - F.col(f"{x}.place")) - F.col("a.m") - F.col("b.m")
+        return joined * rest + apart * (F.col("a.n") + F.col("b.n")) >= 0
+
+    larger = (F.col("a.m") > F.col("b.m")) | ((F.col("a.m") == F.col("b.m")) & (F.col("a.cls") < F.col("b.cls")))
+    condition = (
+        (F.col("a.pivot") == F.col("b.pivot"))
+        & (F.col("a.item") == F.col("b.item"))
+        & (F.col("a.comp") != F.col("b.comp"))
+        & (100 * F.least("a.n", "b.n") >= per_cent * F.greatest("a.n", "b.n"))
+        & larger
+        & early("a")
+        & early("b")
+    )
+    found = a.join(b, condition).select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"))
+    return with_pivot.unionByName(found)
 
 
 def _region_pairs(rows: DataFrame, nodes: DataFrame, limit: int, per_cent: int) -> DataFrame:
@@ -463,10 +533,12 @@ def near_duplicates(
     more = _confirmed(docs, nodes, others, words, per_cent)
     tight = components(_edges(tight).unionByName(more))
 
-    comp = F.xxhash64(F.coalesce("root", "cls")).alias("comp")
-    grouped = nodes.join(tight, F.col("cls") == F.col("node"), "left").select(*nodes.columns, comp)
+    root = F.coalesce("root", "cls")
+    grouped = nodes.join(tight, F.col("cls") == F.col("node"), "left").select(
+        *nodes.columns, root.alias("root"), F.xxhash64(root).alias("comp")
+    )
     grouped = stage(grouped, "grouped")
-    rest = stage(_across(grouped, threshold).distinct(), "pairs")
+    rest = stage(_across(docs, grouped, words, threshold).distinct(), "pairs")
     more = _confirmed(docs, nodes, rest, words, per_cent)
     roots = stage(components(_edges(tight).unionByName(more)), "roots")
 

@@ -112,39 +112,52 @@ def test_near_duplicates_equal_all_pairs(spark):
         assert sorted([tuple(r) for r in got], key=str) == brute_components(rows, n, round(100 * threshold))
 
 
-def test_dense_regions_are_searched_at_greater_depth(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "DENSE", 4)
+def test_dense_regions_are_searched_by_differences(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DIRECT", 4)
     rows = near_rows(6)
     got = neardup.near_duplicates(table(spark, rows), 3, 0.85).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute_components(rows, 3, 85)
 
 
-@pytest.mark.parametrize("comps", ["own", "one group"])
-def test_a_pair_of_dense_regions_only_is_found(spark, monkeypatch, comps):
-    monkeypatch.setattr(neardup, "DENSE", 4)
-    rng = np.random.default_rng(1)
-    start = rng.integers(0, 1 << 32, (neardup.TREES, neardup.DEPTH), dtype=np.uint32)
-    others = rng.integers(0, 1 << 32, (12, *start.shape), dtype=np.uint32)
-    others[:, :, :3] = start[:, :3]
-    near = start.copy()
-    near[:, 3] ^= 1
-    sigs = np.concatenate([start[None], near[None], others]).reshape(14, -1)
-    sketch = neardup._sketch(sigs)
-    rows = [
-        (bytes([i]), sigs[i].astype(">u4").tobytes(), 99 if comps == "one group" and i != 1 else i, *map(int, sketch[i]))
-        for i in range(14)
-    ]
-    names = ", ".join(f"{s} bigint" for s in neardup.SKETCH)
-    nodes = spark.createDataFrame(rows, f"cls binary, sig binary, comp bigint, {names}")
-    found = {(bytes(r.u), bytes(r.v)) for r in neardup._across(nodes, 0.85).collect()}
-    assert (b"\x00", b"\x01") in found
-
-
-def test_deeper_regions_keep_the_recall_of_shallow_ones():
-    for threshold in (0.8, 0.85):
-        for depth in neardup.LEVELS[1:]:
-            orders = len(neardup.choices(depth, threshold))
-            assert neardup.missed(orders, depth, threshold) <= (1 - threshold**3) ** 16 / 4
+def crowd(seed, n=150, edits=6):
+    """Copies of one text around the threshold, some with later changes of their own."""
+    rng = random.Random(seed)
+    base = prose(rng, 150).split(" ")
+    texts = [base]
+    while len(texts) < n:
+        w = list(base if rng.random() < 0.7 else rng.choice(texts))
+        for _ in range(rng.randint(1, edits)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(400)}"
+        texts.append(w + prose(rng, rng.choice([1, 1, 20])).split(" "))
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed,n,threshold", [(1, 3, 0.85), (2, 5, 0.8), (3, 3, 0.85)])
+def test_differences_find_every_link_of_a_crowd(spark, seed, n, threshold):
+    """Against all pairs, each text a component of its own, so no other step can help."""
+    rows = crowd(seed)
+    per_cent = round(100 * threshold)
+    docs = table(spark, rows).select("doc_id", "text")
+    offsets, hashes = neardup.shingle_sets(pa.array([t for _, t in rows]), n)
+    sets = [frozenset(hashes[x:y].tolist()) for x, y in zip(offsets[:-1], offsets[1:])]
+    keys = [bytes(k) for k in neardup.set_keys(offsets, hashes)]
+    unique = sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values())
+    nodes = spark.createDataFrame(
+        [(keys[i], i, len(sets[i]), i) for i in unique], "cls binary, rep bigint, n int, comp bigint"
+    )
+    pivot = keys[unique[len(unique) // 2]]
+    crowded = spark.createDataFrame([(pivot, keys[i]) for i in unique if keys[i] != pivot], "u binary, v binary")
+    found = {frozenset((bytes(r.u), bytes(r.v))) for r in neardup._by_differences(docs, nodes, crowded, n, per_cent).collect()}
+    linked = set()
+    for i in unique:
+        for j in unique:
+            both = len(sets[i] & sets[j])
+            if i < j and 100 * both >= per_cent * len(sets[i] | sets[j]):
+                linked.add(frozenset((keys[i], keys[j])))
+    with_pivot = {k for pair in linked if pivot in pair for k in pair}
+    missing = [pair for pair in linked - found if not pair <= with_pivot]
+    assert len(linked) > 50 and missing == []
+    assert len(found) < len(unique) * (len(unique) - 1) // 4
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
