@@ -5,11 +5,23 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework import operators as op
 from sievework.operators.extract import block_ends, read_js
 from sievework.operators.gaps import chain_spans
-from sievework.rules import EXPENSIVE_RULES, LOOP_RULES, N_PLUS_1_RULES, PERFORMANCE_RULES, UNBOUNDED_RULES, Rule
+from sievework.operators.multiline import TAIL
+from sievework.rules import (
+    EXPENSIVE_RULES,
+    LOOP_LINEAR,
+    LOOP_RULES,
+    N_PLUS_1_RULES,
+    PERFORMANCE_RULES,
+    SPACE,
+    UNBOUNDED_RULES,
+    Rule,
+    java_pattern,
+)
 
 
 def found(df):
@@ -197,3 +209,23 @@ def test_hostile_texts_end_soon(files):
     start = time.time()
     op.multiline_scan(rows, PERFORMANCE_RULES).collect()
     assert time.time() - start < 2 * 2 * len(HOSTILE)
+
+
+def test_loop_flags_agree_with_the_patterns_they_stand_for(spark):
+    rng = random.Random(11)
+    signs = ["for", "while", " ", " ", ":", "x", "\r", " ", "\t", " "]
+    rows = [("".join(rng.choice(signs) for _ in range(rng.randint(0, 9))),) for _ in range(4_000)]
+    header, ends = LOOP_RULES[0].header, rf"[{SPACE}]*\z"
+    lines = spark.createDataFrame(rows, "line string")
+    tail = lines.where(F.col("line").rlike(TAIL) != F.col("line").rlike(rf"[^{SPACE}].*:{ends}"))
+    head = lines.where(F.col("line").rlike(java_pattern(LOOP_LINEAR)) != F.col("line").rlike(java_pattern(header) + ends))
+    assert tail.collect() == [] and head.collect() == []
+
+
+def test_loop_rules_read_a_long_line_once(files):
+    loop = "for x in ids:\n    db.execute(x)\n"
+    long = ["# " + "for x " * 30_000, "a" * 200_000, "a" * 100_000 + ":" * 100_000 + "b"]
+    begun = time.perf_counter()
+    got = op.loop_scan(files(*[("p", f"{i}.py", f"{loop}{line}\n") for i, line in enumerate(long)]))
+    assert [line for _, line, _, _ in found(got)] == [1, 1, 1]
+    assert time.perf_counter() - begun < 20
