@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .hashing import bound_batches, chunks
 
 END_ID = 2
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 LINES = 4096
+# The pieces of so much text are held as Python strings at once.
+PART_BYTES = 1 << 20
 OPTIONS = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -39,8 +41,10 @@ OPTIONS = {
 ENCODED = "file int, doc_id bigint, file_start bigint, n_tokens bigint, ids array<int>"
 
 # Byte-level pre-tokenisers never join tokens over these borders, so pieces may be
-# encoded one by one.
-PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# encoded one by one. A word goes without the signs behind it, which would make many
+# pieces of one word, unless the next sign is an apostrophe or may be of the word.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ"
+PIECE = re.compile(rf" ?[{LETTERS}]++(?=[\x00-&(-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
 # White space to Python only; texts with these are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -130,7 +134,7 @@ def _encode(path: str, end_id: int):
         encoder = encoder_of(path)
         file, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART_BYTES):
                 found = [ids + end for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 counts = np.array([len(ids) // 4 for ids in found], np.int64)
                 offsets = np.zeros(len(found) + 1, np.int64)

@@ -37,6 +37,14 @@ def test_pieces_encode_like_the_whole(text):
     assert got == plain_ids(text)[:-1]
 
 
+def test_a_word_is_one_piece_whatever_sign_follows():
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    texts = ["a word, a word. a word! a word", "été, été? cafe\u0301, слово. слова\u0301 naïveꙁ, x\u00d7y a1,b2 don't, \u01c5z."]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+    assert got == [plain_ids(t)[:-1] for t in texts]
+    assert sum("word" in piece for piece in encoder.known) == 1
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(0, 50))) for i in rng.sample(range(500), 60)]
