@@ -46,6 +46,9 @@ DIRECT = 32
 MAP_BITS = 1 << 27
 NEAREST = 4
 WINDOW = 16
+# Items before an item that tell whether a pair has met at an earlier one.
+BEFORE = 8
+PART_BYTES = 1 << 20
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
 
@@ -122,7 +125,7 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
 def sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART_BYTES):
                 offsets, hashes = shingle_sets(part.column("text"), words)
                 filled = np.diff(offsets) > 0
                 some = signatures(offsets, hashes)
@@ -241,7 +244,7 @@ def confirm(words: int, per_cent: int):
             for name in ("text_u", "text_v"):
                 sides.append([])
                 one = batch.select([name])
-                for part in chunks(one, name):
+                for part in chunks(one, name, PART_BYTES):
                     offsets, hashes = shingle_sets(part.column(0), words)
                     sides[-1] += [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
             keep = []
@@ -259,7 +262,7 @@ def differences(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text_v"):
+            for part in chunks(batch, "text_v", PART_BYTES):
                 pivots = {}
                 offsets, hashes = shingle_sets(part.column("text_v"), words)
                 found = []
@@ -313,7 +316,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> D
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART_BYTES):
                 keys = _fixed(set_keys(*shingle_sets(part.column("text"), words)), 16)
                 yield part.select(["cls", "text"]).filter(pa.compute.equal(keys, part.column("cls")))
 
@@ -431,20 +434,21 @@ def _by_differences(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, words
     # Shingles of one set only come first and link nothing, so they are counted and not moved on.
     shared = posts.join(often, ["pivot", "item"])
     by_rarity = Window.partitionBy("pivot", "cls").orderBy("often", "item")
+    lately = F.collect_list("item").over(by_rarity.rowsBetween(-BEFORE, -1))
     ends = sets.select("pivot", "cls", "n", "m", "comp")
     common = shared.groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("common"))
     placed = (
-        shared.withColumn("place", F.row_number().over(by_rarity) - 1)
+        shared.withColumns({"place": F.row_number().over(by_rarity) - 1, "lately": lately})
         .join(common, ["pivot", "cls"])
         .join(ends, ["pivot", "cls"])
         .withColumn("place", F.col("place") + F.col("m") - F.col("common"))
-        .select("pivot", "item", "cls", "comp", "n", "m", "place")
+        .select("pivot", "item", "cls", "comp", "n", "m", "place", "lately")
     )
     # The larger difference (a) looks up the smaller (b). Sets that can be linked with one of n
     # shingles have at most 100 n / per_cent, so the two differ in at most apart * n / per_cent.
     reach = F.floor(apart * F.col("n") / per_cent)
-    looked = stage(placed, "placed")
-    a = looked.where(F.col("place") <= F.col("m") - F.greatest(F.lit(1), F.col("m") - reach)).alias("a")
+    looked = stage(placed.where(F.col("place") <= reach), "placed")
+    a = looked.alias("a")
     b = looked.where(2 * per_cent * F.col("place") <= apart * F.col("n")).alias("b")
 
     def early(x: str) -> Column:
@@ -460,6 +464,9 @@ def _by_differences(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, words
         & larger
         & early("a")
         & early("b")
+        # All sets have their shingles in one order, so a pair that shares one of those just
+        # before has met there under the same conditions: the first it shares is never left out.
+        & ~F.arrays_overlap("a.lately", "b.lately")
     )
     found = a.join(b, condition).select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"))
     return with_pivot.unionByName(found)

@@ -160,6 +160,19 @@ def test_differences_find_every_link_of_a_crowd(spark, seed, n, threshold):
     assert len(found) < len(unique) * (len(unique) - 1) // 4
 
 
+def test_a_pair_that_shares_many_differences_is_one_row(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), *(" ".join([*base[:186], *[f"z{i}" for i in range(14)], f"own{k}"]) for k in range(6))]
+    docs = table(spark, list(enumerate(texts))).select("doc_id", "text")
+    offsets, hashes = neardup.shingle_sets(pa.array(texts), 3)
+    keys, sizes = [bytes(k) for k in neardup.set_keys(offsets, hashes)], np.diff(offsets).tolist()
+    nodes = spark.createDataFrame([(k, i, sizes[i], i) for i, k in enumerate(keys)], "cls binary, rep bigint, n int, comp bigint")
+    crowded = spark.createDataFrame([(keys[0], k) for k in keys[1:]], "u binary, v binary")
+    got = [(bytes(r.u), bytes(r.v)) for r in neardup._by_differences(docs, nodes, crowded, 3, 85).collect()]
+    among = [pair for pair in got if keys[0] not in pair]
+    assert len(among) == len(set(among)) == 15
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
 def test_the_sketch_loses_less_than_the_orders(threshold):
     n, differ = neardup.FUNCTIONS, (1 - threshold) * 15 / 16
