@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sievework import operators as op
 from sievework.operators.lines import error_group, insecure_group, line_scan, prefix_group, secret_group, sql_group
-from sievework.rules import ERROR_RULES, INSECURE_RULES, SECRET_RULES, SQL_RULES, Rule, valid_rules
+from sievework.rules import ERROR_RULES, INSECURE_RULES, SECRET_RULES, SQL_RULES, Rule, needle_parts, valid_rules
 
 KEY = "abcdefghij0123456789KLMN"
 
@@ -163,3 +163,10 @@ def test_a_bad_rule_is_left_out_and_reported(files, spark):
     assert [r.message for r in op.multiline_scan(rows, rules).collect()] == ["good"]
     assert op.secret_scan(rows, rules).count() == 1
     assert len(rule_errors(spark, rules).collect()) == 2
+
+
+def test_needles_are_looked_for_from_their_rarest_sign():
+    assert [needle_parts(n)[0] for n in ("token", "request.", "key", "fetch", "sk-", "-")] == ["ken", "quest.", "key", "fetch", "k-", "-"]
+    for rule in (*SECRET_RULES, *INSECURE_RULES, *ERROR_RULES, *SQL_RULES):
+        for needle in rule.needles:
+            assert needle_parts(needle)[-1] == needle and needle.endswith(needle_parts(needle)[0])
