@@ -21,6 +21,8 @@ shingles, so d(A) and d(B) share at least s = (|d(A)| + |d(B)| - D) / 2 of their
 less, both are linked with P itself; else, with differences sorted from their rarest shingle
 on, they share one among the first |d(A)| - s + 1 and |d(B)| - s + 1. So an equi-join on the rare
 shingles of differences finds all links, and what a whole group has in common is in none.
+Any order that is the same for all sets serves. Shingles are counted at a bounded number of
+places by their hashes, so each set is sorted on its own and only its first shingles move on.
 No link is lost in this step. Every link is confirmed on the full shingle sets.
 """
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scale import stage
+from ..plans.scale import discard, stage
 from .graph import components
 from .hashing import bound_batches, chunks, mix, word_hashes
 
@@ -48,6 +50,8 @@ NEAREST = 4
 WINDOW = 16
 # Items before an item that tell whether a pair has met at an earlier one.
 BEFORE = 8
+# Places at which shingles of differences are counted, two bytes each.
+PLACES = 1 << 21
 PART_BYTES = 1 << 20
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
@@ -286,6 +290,65 @@ def differences(words: int):
     return run
 
 
+def _often(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the differences fall on each of PLACES places (65,535: that or more).
+
+    The map has 4 MB however many sets there are. A shingle alone on its place is in one set
+    only; others that meet there just come later in the order than they need.
+    """
+    place = F.col("item").bitwiseXOR(F.col("salt")).bitwiseAND(F.lit(PLACES - 1)).cast("int")
+    counts = (
+        sets.select("salt", F.explode("items").alias("item"))
+        .groupBy(place.alias("place"))
+        .agg(F.least(F.count(F.lit(1)), F.lit(65_535)).cast("int").alias("often"))
+        .where(F.col("often") > 1)
+        .toArrow()
+    )
+    seen = np.zeros(PLACES, np.uint16)
+    seen[counts.column("place").to_numpy()] = counts.column("often").to_numpy()
+    return seen
+
+
+def first_items(seen: np.ndarray, per_cent: int):
+    """The shingles at the beginning of each difference, rarest first, that other sets may share.
+
+    Shingles of one set only come first and link nothing: they count as places but make no row.
+    ``lately`` holds the BEFORE shared ones before. Sets that can be linked with one of n shingles
+    have at most 100 n / per_cent, so the two differ in at most (100 - per_cent) * n / per_cent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            at, items = lists.offsets.to_numpy(), lists.values.to_numpy()
+            salts, sizes = batch.column("salt").to_numpy(), batch.column("n").to_numpy()
+            row, item, place, lately = [], [], [], []
+            for i in range(batch.num_rows):
+                own = items[at[i] : at[i + 1]]
+                often = seen[(own ^ salts[i]) & (PLACES - 1)]
+                order = np.lexsort((own, often))
+                shared = np.flatnonzero(often[order] > 1)
+                shared = shared[shared <= (100 - per_cent) * int(sizes[i]) // per_cent]
+                found = own[order[shared]].tolist()
+                row += [i] * len(found)
+                item += found
+                place += shared.tolist()
+                lately += [found[max(k - BEFORE, 0) : k] for k in range(len(found))]
+            taken = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("pivot").take(taken),
+                    pa.array(item, pa.int64()),
+                    *[batch.column(c).take(taken) for c in ("cls", "comp", "n", "m")],
+                    pa.array(place, pa.int64()),
+                    pa.array(lately, pa.list_(pa.int64())),
+                ],
+                names=["pivot", "item", "cls", "comp", "n", "m", "place", "lately"],
+            )
+
+    return run
+
+
 def _near_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Documents whose id may be among ``wanted.rep``, by a bit map of id hashes.
 
@@ -425,29 +488,16 @@ def _by_differences(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, words
     apart, joined = 100 - per_cent, 100 + per_cent
     side = nodes.select("cls", "n", "comp")
     of_pivot = nodes.select(F.col("cls").alias("pivot"), F.col("n").alias("n_pivot"), F.col("comp").alias("comp_pivot"))
-    sets = stage(stage(rows, "differences").join(side, "cls").join(of_pivot, "pivot"), "sets")
+    sets = stage(rows, "differences").join(side, "cls").join(of_pivot, "pivot")
+    sets = stage(sets.withColumn("salt", F.xxhash64("pivot")), "sets")
     linked = (F.col("comp") != F.col("comp_pivot")) & (joined * F.col("m") <= apart * (F.col("n") + F.col("n_pivot")))
     with_pivot = sets.where(linked).select(F.least("pivot", "cls").alias("u"), F.greatest("pivot", "cls").alias("v"))
 
-    posts = sets.select("pivot", "cls", F.explode("items").alias("item"))
-    often = posts.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
-    # Shingles of one set only come first and link nothing, so they are counted and not moved on.
-    shared = posts.join(often, ["pivot", "item"])
-    by_rarity = Window.partitionBy("pivot", "cls").orderBy("often", "item")
-    lately = F.collect_list("item").over(by_rarity.rowsBetween(-BEFORE, -1))
-    ends = sets.select("pivot", "cls", "n", "m", "comp")
-    common = shared.groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("common"))
-    placed = (
-        shared.withColumns({"place": F.row_number().over(by_rarity) - 1, "lately": lately})
-        .join(common, ["pivot", "cls"])
-        .join(ends, ["pivot", "cls"])
-        .withColumn("place", F.col("place") + F.col("m") - F.col("common"))
-        .select("pivot", "item", "cls", "comp", "n", "m", "place", "lately")
-    )
-    # The larger difference (a) looks up the smaller (b). Sets that can be linked with one of n
-    # shingles have at most 100 n / per_cent, so the two differ in at most apart * n / per_cent.
-    reach = F.floor(apart * F.col("n") / per_cent)
-    looked = stage(placed.where(F.col("place") <= reach), "placed")
+    seen = _often(sets)
+    columns = "pivot binary, item bigint, cls binary, comp bigint, n int, m bigint, place bigint, lately array<bigint>"
+    beginnings = sets.select("pivot", "cls", "comp", "n", "m", "salt", "items").mapInArrow(first_items(seen, per_cent), columns)
+    looked = stage(beginnings, "placed")
+    # The larger difference (a) looks up the smaller (b).
     a = looked.alias("a")
     b = looked.where(2 * per_cent * F.col("place") <= apart * F.col("n")).alias("b")
 
@@ -523,6 +573,10 @@ def near_duplicates(
         "nodes",
     )
 
+    # The signatures, which make up most of these tables, are kept once.
+    ids = stage(signed.select("doc_id", "n_shingles", "cls"), "ids")
+    discard(signed)
+
     order = _in_orders(nodes, *SKETCH).repartitionByRange("key", "cls")
     near = stage(
         order.sortWithinPartitions("key", "cls")
@@ -545,16 +599,17 @@ def near_duplicates(
         *nodes.columns, root.alias("root"), F.xxhash64(root).alias("comp")
     )
     grouped = stage(grouped, "grouped")
+    discard(nodes)
     rest = stage(_across(docs, grouped, words, threshold).distinct(), "pairs")
-    more = _confirmed(docs, nodes, rest, words, per_cent)
+    more = _confirmed(docs, grouped, rest, words, per_cent)
     roots = stage(components(_edges(tight).unionByName(more)), "roots")
 
-    owned = nodes.join(roots, F.col("cls") == F.col("node"), "left").select(
+    owned = grouped.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root")
     )
     labels = owned.groupBy("root").agg(F.min("rep").alias("label"))
     label = owned.join(labels, "root").select("cls", "label", F.lit(True).alias("known"))
-    out = signed.select("doc_id", "n_shingles", "cls").join(label, "cls", "left")
+    out = ids.join(label, "cls", "left")
     return out.select(
         "doc_id",
         "n_shingles",

@@ -160,6 +160,38 @@ def test_differences_find_every_link_of_a_crowd(spark, seed, n, threshold):
     assert len(found) < len(unique) * (len(unique) - 1) // 4
 
 
+def test_only_beginnings_of_differences_become_rows(spark):
+    """Sets sorted from the rarest shingle on; the rest is neither joined nor made rows of."""
+    rng = random.Random(8)
+    lists = [sorted(rng.sample(range(1000, 1400), 60)) for _ in range(30)] + [[7, 8, 9]]
+    rows = [(bytes([1]), bytes([k]), k, 100, len(own), 5, own) for k, own in enumerate(lists)]
+    sets = spark.createDataFrame(rows, "pivot binary, cls binary, comp bigint, n int, m bigint, salt bigint, items array<bigint>")
+    seen = neardup._often(sets)
+    count = {x: sum(x in own for own in lists) for own in lists for x in own}
+    assert all(seen[(x ^ 5) & (neardup.PLACES - 1)] == (k if k > 1 else 0) for x, k in count.items())
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in sets.collect()], pa.schema(
+        [("pivot", pa.binary()), ("cls", pa.binary()), ("comp", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("salt", pa.int64()), ("items", pa.list_(pa.int64()))]
+    ))
+    got = [(r["cls"][0], r["item"], r["place"], r["lately"]) for b in neardup.first_items(seen, 85)([batch]) for r in b.to_pylist()]
+    want = []
+    for k, own in enumerate(lists):
+        order = sorted(own, key=lambda x: (count[x] if count[x] > 1 else 0, x))
+        shared = [x for x in order if count[x] > 1]
+        for place, x in enumerate(order[: 15 * 100 // 85 + 1]):
+            if count[x] > 1:
+                want.append((k, x, place, shared[max(shared.index(x) - neardup.BEFORE, 0) : shared.index(x)]))
+    assert got == want and len(got) < sum(map(len, lists)) / 3
+
+
+def test_signatures_are_staged_once(spark, monkeypatch):
+    """What holds whole signatures is deleted when the next table that does is written."""
+    gone, discard = [], neardup.discard
+    monkeypatch.setattr(neardup, "discard", lambda rows: (gone.append(rows.columns), discard(rows)))
+    got = neardup.near_duplicates(table(spark, near_rows(2)), 3, 0.85).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_components(near_rows(2), 3, 85)
+    assert [("sig" in columns) for columns in gone] == [True, True]
+
+
 def test_a_pair_that_shares_many_differences_is_one_row(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base), *(" ".join([*base[:186], *[f"z{i}" for i in range(14)], f"own{k}"]) for k in range(6))]
