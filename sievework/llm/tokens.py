@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from .hashing import bound_batches, chunks
 
 END_ID = 2
 CACHE_PIECES = 300_000
-LINES = 4096
 # The pieces of so much text are held as Python strings at once.
 PART_BYTES = 1 << 20
 OPTIONS = {
@@ -45,6 +45,8 @@ ENCODED = "file int, doc_id bigint, file_start bigint, n_tokens bigint, ids arra
 # pieces of one word, unless the next sign is an apostrophe or may be of the word.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ"
 PIECE = re.compile(rf" ?[{LETTERS}]++(?=[\x00-&(-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
+# One word to such pre-tokenisers, whatever stands around it.
+WORD = re.compile(rf" ?[{LETTERS}]++")
 # White space to Python only; texts with these are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -55,12 +57,39 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Pieces(dict):
+    """The ids of pieces; a piece that is not there is encoded, and kept while there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes], room: int):
+        self.encode, self.room = encode, room
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < self.room:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """A byte-level BPE tokenizer with a bounded memory of pieces it has encoded.
 
-    Strings of special tokens in a text are ordinary text. New pieces are encoded many at
-    a time, as lines of one text: no token crosses a line end, and a line end's own token
-    shows where the next piece begins.
+    Strings of special tokens in a text are ordinary text. A new word goes straight to the
+    tokenizer's merges where what comes before them (normaliser, added tokens, cuts) leaves
+    words as they are; any other piece takes the whole way.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -69,52 +98,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.line_end = self._ids("\n")
-        self.known: dict[str, bytes] = {}
-        self.room = cache_pieces
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        spaces = [p for p in pieces if p.isspace()] if len(self.line_end) == 1 else pieces
-        found = {p: self._ids(p).tobytes() for p in spaces}
-        words = [p for p in pieces if p not in found]
-        for k in range(0, len(words), LINES):
-            part = words[k : k + LINES]
-            ids = self._ids("\n".join(part))
-            cut = np.flatnonzero(ids == self.line_end[0])
-            raw, begin = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-            found.update((p, raw[a:b]) for p, a, b in zip(part, begin, [*(4 * cut).tolist(), len(raw)]))
-        return found
+        self.model = self.tokenizer.model if self._plain_words() else None
+        self.known = Pieces(self._encode_piece, cache_pieces)
+
+    def _plain_words(self) -> bool:
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        tokenizer, cuts = self.tokenizer, self.tokenizer.pre_tokenizer
+        return (
+            tokenizer.normalizer is None
+            and isinstance(cuts, ByteLevel)
+            and cuts.use_regex
+            and not cuts.add_prefix_space
+            and isinstance(tokenizer.model, BPE)
+            and tokenizer.truncation is None
+            and tokenizer.padding is None
+            and all(token.special for token in tokenizer.get_added_tokens_decoder().values())
+        )
+
+    def _ids(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _encode_piece(self, piece: str) -> bytes:
+        if self.model is None or not WORD.fullmatch(piece):
+            return self._ids(piece)
+        signs = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return packed([token.id for token in self.model.tokenize(signs)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        out, open_texts, fresh = [], [], {}
-        for text in texts:
-            if ODD_SPACE.search(text):
-                out.append(self._ids(text).tobytes())
-                continue
-            pieces = PIECE.findall(text)
-            parts = list(map(self.known.get, pieces))
-            if None in parts:
-                holes = [k for k, part in enumerate(parts) if part is None]
-                fresh.update((pieces[k], None) for k in holes)
-                open_texts.append((len(out), parts, [(k, pieces[k]) for k in holes]))
-                out.append(b"")
-            else:
-                out.append(b"".join(parts))
-        if open_texts:
-            new = self._encode_pieces(list(fresh))
-            for place, parts, holes in open_texts:
-                for k, piece in holes:
-                    parts[k] = new[piece]
-                out[place] = b"".join(parts)
-            for piece, ids in new.items():
-                if len(self.known) >= self.room:
-                    break
-                self.known[piece] = ids
-        return out
+        piece = self.known.__getitem__
+        return [self._ids(t) if ODD_SPACE.search(t) else b"".join(map(piece, PIECE.findall(t))) for t in texts]
 
 
 # One encoder for each vocabulary and Python worker, which serves many tasks.

@@ -37,6 +37,24 @@ def test_pieces_encode_like_the_whole(text):
     assert got == plain_ids(text)[:-1]
 
 
+def test_new_words_go_straight_to_the_merges(tmp_path):
+    """No cuts by the tokenizer for a word; other pieces, and words it would change, go the whole way."""
+    text = "Straße über élan слово thingeare a" + "b" * 3000 + " x1 3.5 Don't"
+    encoder = tokens.Encoder(tokens.vocabulary_path(), cache_pieces=2)
+    whole, asked = encoder._ids, []
+    encoder._ids = lambda piece: asked.append(piece) or whole(piece)
+    assert encoder.encode([text])[0] == whole(text)
+    assert asked == ["1", " 3.5", " Don't"] and len(encoder.known) == 2
+
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(tokens.vocabulary_path())
+    other.normalizer = normalizers.Lowercase()
+    other.save(str(tmp_path / "lower.json"))
+    lower = tokens.Encoder(str(tmp_path / "lower.json"))
+    assert lower.encode(["Some Words"])[0] == encoder.encode(["some words"])[0] != encoder.encode(["Some Words"])[0]
+
+
 def test_a_word_is_one_piece_whatever_sign_follows():
     encoder = tokens.Encoder(tokens.vocabulary_path())
     texts = ["a word, a word. a word! a word", "été, été? cafe\u0301, слово. слова\u0301 naïveꙁ, x\u00d7y a1,b2 don't, \u01c5z."]
