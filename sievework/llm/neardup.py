@@ -52,6 +52,8 @@ WINDOW = 16
 BEFORE = 8
 # Places at which shingles of differences are counted, two bytes each.
 PLACES = 1 << 21
+# Places of one row of counts.
+STRETCH = 1 << 17
 PART_BYTES = 1 << 20
 SKETCH = [f"s{j}" for j in range(FUNCTIONS // 16)]
 NIBBLES = 0x1111111111111111
@@ -63,6 +65,8 @@ _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 _SIGNED = "doc_id bigint, n_shingles bigint, cls binary, sig binary, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
+_COUNTED = pa.schema([("part", pa.int32()), ("place", pa.list_(pa.int32())), ("often", pa.list_(pa.int32()))])
+
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): the sorted distinct shingle hashes of each text.
@@ -290,22 +294,55 @@ def differences(words: int):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per task and STRETCH of places that has any: the places and their counts."""
+    counts = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        lists = batch.column("items")
+        at, items = lists.offsets.to_numpy(), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        salts = np.repeat(batch.column("salt").to_numpy(), np.diff(at))
+        counts += np.bincount((items ^ salts) & (PLACES - 1), minlength=PLACES)
+    for part in range(0, PLACES, STRETCH):
+        yield from _stretch(part, counts[part : part + STRETCH])
+
+
+def _stretch(part: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    place = np.flatnonzero(counts)
+    if len(place):
+        yield pa.RecordBatch.from_pydict(
+            {"part": [part], "place": [place.astype(np.int32)], "often": [np.minimum(counts[place], 65_535).astype(np.int32)]},
+            _COUNTED,
+        )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' counts added up, stretch after stretch as they are sorted; the places of two or more."""
+    held, counts = None, np.zeros(STRETCH, np.int64)
+    for batch in batches:
+        for part, place, often in zip(batch.column("part").to_pylist(), batch.column("place"), batch.column("often")):
+            if part != held:
+                if held is not None:
+                    yield from _stretch(held, np.where(counts > 1, counts, 0))
+                held, counts = part, np.zeros(STRETCH, np.int64)
+            counts[place.values.to_numpy()] += often.values.to_numpy()
+    if held is not None:
+        yield from _stretch(held, np.where(counts > 1, counts, 0))
+
+
 def _often(sets: DataFrame) -> np.ndarray:
     """How many shingles of the differences fall on each of PLACES places (65,535: that or more).
 
     The map has 4 MB however many sets there are. A shingle alone on its place is in one set
-    only; others that meet there just come later in the order than they need.
+    only; others that meet there just come later in the order than they need. Each task counts
+    its own sets, so shingles are no rows; a task that adds up holds one stretch.
     """
-    place = F.col("item").bitwiseXOR(F.col("salt")).bitwiseAND(F.lit(PLACES - 1)).cast("int")
-    counts = (
-        sets.select("salt", F.explode("items").alias("item"))
-        .groupBy(place.alias("place"))
-        .agg(F.least(F.count(F.lit(1)), F.lit(65_535)).cast("int").alias("often"))
-        .where(F.col("often") > 1)
-        .toArrow()
-    )
+    kind = "part int, place array<int>, often array<int>"
+    own = sets.select("salt", "items").mapInArrow(_counted, kind)
+    dealt = own.repartition(PLACES // STRETCH, "part").sortWithinPartitions("part")
     seen = np.zeros(PLACES, np.uint16)
-    seen[counts.column("place").to_numpy()] = counts.column("often").to_numpy()
+    for row in dealt.mapInArrow(_added, kind).toArrow().to_batches():
+        for part, place, often in zip(row.column("part").to_pylist(), row.column("place"), row.column("often")):
+            seen[part + place.values.to_numpy()] = often.values.to_numpy()
     return seen
 
 

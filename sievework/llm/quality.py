@@ -149,24 +149,36 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, as one row."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    found = pa.Table.from_batches(held).combine_chunks()
+    order = np.lexsort((found.column("digest").to_numpy(), found.column("label").to_numpy()))
+    label = found.column("label").to_numpy()
+    place, value = (found.column(c).chunk(0) for c in ("place", "value"))
+    model = fit_ftrl([(place[i].values.to_numpy(), value[i].values.to_numpy(), int(label[i])) for i in order.tolist()])
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` rows of (doc_id, text, label 0/1).
 
     Rows without a label or id are left out. The sample is the rows with the smallest
-    hash of the id, so it does not depend on order, source or key.
+    hash of the id, so it does not depend on order, source or key. One task learns from
+    these rows; the driver gets the model alone.
     """
     bound_batches(labelled.sparkSession)
     known = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).distinct()
     chosen = chosen.orderBy("h", "doc_id", "label").limit(max_rows).select("doc_id", "label")
     texts = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    found = texts.mapInArrow(_sparse, "label int, digest bigint, place array<int>, value array<float>").toArrow()
-    order = np.lexsort((found.column("digest").to_numpy(), found.column("label").to_numpy()))
-    found = found.combine_chunks()
-    label = found.column("label").to_numpy()
-    place, value = (found.column(c).chunk(0) if found.num_rows else None for c in ("place", "value"))
-    rows = [(place[i].values.to_numpy(), value[i].values.to_numpy(), int(label[i])) for i in order.tolist()]
-    return fit_ftrl(rows)
+    sparse = texts.mapInArrow(_sparse, "label int, digest bigint, place array<int>, value array<float>")
+    fitted = sparse.repartition(1).mapInArrow(_fit, "weights binary, bias double").toArrow()
+    if fitted.num_rows == 0:
+        return fit_ftrl([])
+    return Model(np.frombuffer(fitted.column("weights")[0].as_py(), np.float64), fitted.column("bias")[0].as_py())
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,20 @@ def test_differences_find_every_link_of_a_crowd(spark, seed, n, threshold):
     assert len(found) < len(unique) * (len(unique) - 1) // 4
 
 
+def test_shingles_are_counted_without_rows_of_their_own(spark):
+    """A task gives a row for each stretch of places at most, and the rows add up."""
+    rng = random.Random(9)
+    lists = [rng.sample(range(-(1 << 40), 1 << 40), 400) + [5, -7] for _ in range(20)]
+    schema = pa.schema([("salt", pa.int64()), ("items", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_pylist([{"salt": 3, "items": own} for own in lists], schema)
+    rows = [r for b in neardup._counted([batch.slice(0, 7), batch.slice(7)]) for r in b.to_pylist()]
+    assert len(rows) <= neardup.PLACES // neardup.STRETCH and sum(sum(r["often"]) for r in rows) == 20 * 402
+    want = Counter((x ^ 3) & (neardup.PLACES - 1) for own in lists for x in own)
+    sets = spark.createDataFrame([(3, own) for own in lists], "salt bigint, items array<bigint>").repartition(4)
+    seen = neardup._often(sets)
+    assert {int(p): int(seen[p]) for p in np.flatnonzero(seen)} == {p: k for p, k in want.items() if k > 1}
+
+
 def test_only_beginnings_of_differences_become_rows(spark):
     """Sets sorted from the rarest shingle on; the rest is neither joined nor made rows of."""
     rng = random.Random(8)
@@ -267,6 +282,17 @@ def test_training_without_labels_gives_even_odds(spark):
     assert quality.score(docs, model).first().score == pytest.approx(0.5)
 
 
+def test_only_the_model_reaches_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = table(spark, [(i, prose(rng, 40)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    frame, sizes = type(docs), []
+    whole = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: sizes.append((t := whole(self)).num_rows) or t)
+    model = quality.train_on_labels(docs, labels)
+    assert sizes == [1] and np.count_nonzero(model.weights) > 0
+
+
 def test_training_is_repeatable_and_bounded(spark):
     docs, labels = labelled(spark, 120)
     one = quality.train_on_labels(docs, labels, max_rows=30)
