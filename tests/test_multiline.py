@@ -3,25 +3,30 @@
 import random
 import re
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievework import operators as op
-from sievework.operators.extract import block_ends, read_js
+from sievework.operators.extract import JS_FUNCTION, block_ends, may_hold_functions, read_js, worth_reading_js
 from sievework.operators.gaps import chain_spans
 from sievework.operators.multiline import TAIL
 from sievework.rules import (
+    ERROR_RULES,
     EXPENSIVE_RULES,
+    INSECURE_RULES,
     LOOP_LINEAR,
     LOOP_RULES,
     N_PLUS_1_RULES,
     PERFORMANCE_RULES,
     SPACE,
+    SQL_RULES,
     UNBOUNDED_RULES,
     Rule,
     java_pattern,
 )
+from sievework.schema import sql_text
 
 
 def found(df):
@@ -191,6 +196,49 @@ def test_many_nested_functions_end_soon():
     assert time.time() - start < 5
 
 
+def test_blocks_that_are_too_much_are_not_cut_out_first():
+    source = "function f() {\n" * 5_000 + "}" * 5_000
+    tracemalloc.start()
+    with pytest.raises(ValueError, match="nested functions"):
+        read_js(source)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
+
+
+def test_texts_that_are_not_sent_hold_no_function(spark):
+    rng = random.Random(8)
+    bits = ["function", "func", "=>", "=", ">", "const f", " ", "{", "}", "(", ")", "async ", "x", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(3_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string")
+    sent = [r[0] for r in rows.where(worth_reading_js("content")).collect()]
+    assert sorted(sent) == sorted(filter(may_hold_functions, texts)) and 0 < len(sent) < len(texts)
+    assert any(JS_FUNCTION.search(t) for t in sent)
+    assert not any(JS_FUNCTION.search(t) and "{" in t for t in texts if not may_hold_functions(t))
+
+
+def test_every_match_holds_the_sign_of_its_rule(spark):
+    """Texts of the rules' own literals: none that a pattern finds fails the test of its file."""
+    rng = random.Random(9)
+    rules = INSECURE_RULES + ERROR_RULES + SQL_RULES + N_PLUS_1_RULES + UNBOUNDED_RULES + EXPENSIVE_RULES
+    bits = {
+        part for r in rules for n in (*r.needles, r.sign) for part in (n, n.upper()) if part
+    } | {"(x)", ")", " ", "=", "'", '"', "*", "{", "}", "\n", "for (x) {", "execute(f'", ".select(", "from(", "origin", "shell=True", "false", "KEY"}
+    texts = ["".join(rng.choice(sorted(bits)) for _ in range(rng.randint(1, 12))) for _ in range(6_000)]
+    texts += ["eval (", "innerHTML =", "cors origin *", "a.sort( )", "except :", "PASSWORD = 'x'", "sha1(", ".fetchall( )"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    signed = [r for r in rules if r.sign]
+    assert len(signed) > 15
+    lost = " OR ".join(f"(t RLIKE {sql_text(r.java)} AND NOT {r.possible_in_file('t', 'lower(t)')})" for r in rules)
+    hits = rows.select(*[F.expr(f"count_if(t RLIKE {sql_text(r.java)})") for r in signed]).first()
+    assert rows.where(lost).collect() == [] and sum(n > 0 for n in hits) > 10
+    loops = ["for x in y:\n  re.match(", "while a:\n\tdb.fetchone (", "for x in y\n re.match(", "for x: a.b(", "for x:\n .from_("]
+    rows = spark.createDataFrame([(t,) for t in loops], "t string")
+    for rule in LOOP_RULES:
+        found_in = f"t RLIKE {sql_text(java_pattern(rule.call))} AND t RLIKE {sql_text(java_pattern(rule.header))}"
+        assert rows.where(f"{found_in} AND NOT {rule.possible_in('t')}").collect() == [] and rows.where(found_in).count() > 0
+
+
 HOSTILE = [
     "for (", "for (x) {", "){await .", "for (x) {await ", "while(", ".forEach(", ".map({supabase", "for(supabase", "supabase.from(", "supabase.from(x).select(",
     ".select('*')", ".select(*).limit", ".fetchall()", "for(JSON.parse", "JSON.parse(", "async function ", "=> { readFileSync", ".eq('", ".sort()", "for(+=", ".sort( ).reverse",
